@@ -103,15 +103,15 @@ def learn_profiles(labelled: DataFrame, *, text_col: str = "text", lang_col: str
 
     At most about ``max_docs`` rows of each language are read for it: those with the
     smallest ``order`` (by default a hash of the text; rows that tie at the bound all
-    count).  n-grams are counted in the tasks and summed by (language, n-gram); only
-    ``size`` rows per language reach the driver, so their number is bounded by the
-    number of labels.
+    count).  n-grams are counted in the tasks and summed by (language, n-gram).  One
+    row per language is broadcast and ``size`` rows per language reach the driver; the
+    labels are taken to be a fixed set of languages.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (order if order is not None else F.xxhash64(text_col)).alias("pos"))
     rows = rows.where("lang is not null and text is not null")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("pos"))
     last = rows.select("lang", "pos").withColumn("nth", nth).where(F.col("nth") <= max_docs).groupBy("lang").agg(F.max("pos").alias("last"))
-    sample = rows.join(last, "lang").where("pos <= last").select("lang", "text")
+    sample = rows.join(F.broadcast(last), "lang").where("pos <= last").select("lang", "text")
     grams = sample.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = grams.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()

@@ -60,7 +60,7 @@ class Weights:
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss on binary features."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros(1 << BITS)
         self.n = np.zeros(1 << BITS)
@@ -70,9 +70,9 @@ class Ftrl:
         rate = (self.beta + np.sqrt(n)) / self.alpha + self.l2
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / rate)
 
-    def learn(self, index: np.ndarray, label: int) -> None:
+    def learn(self, index: np.ndarray, label: int, importance: float = 1.0) -> None:
         w = self.weights(index)
-        gradient = _sigmoid(w.sum()) - label
+        gradient = importance * (_sigmoid(w.sum()) - label)
         n = self.n[index]
         self.z[index] += gradient - (np.sqrt(n + gradient**2) - np.sqrt(n)) / self.alpha * w
         self.n[index] = n + gradient**2
@@ -83,7 +83,7 @@ def _sigmoid(x):
 
 
 def _train(texts: pa.Array, labels: np.ndarray, epochs: int) -> Weights:
-    """Passes over the rows in a fixed shuffled order."""
+    """Passes over the rows in a fixed shuffled order; a rarer toxic label counts for more."""
     index: list[np.ndarray] = []
     for _, _, data, offsets in text_blocks(texts):
         row, feature = features(data, offsets)
@@ -91,16 +91,18 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int) -> Weights:
         cuts = np.searchsorted(key >> BITS, np.arange(1, len(offsets) - 1))
         index += [np.append(x & BIAS, BIAS).astype(np.int32) for x in np.split(key, cuts)]
     model = Ftrl()
+    toxic = max(1, int(labels.sum()))
+    importance = (1.0, max(1.0, (len(labels) / toxic - 1) ** 0.5))
     order = np.random.default_rng(7).permutation(len(index))
     for _ in range(epochs):
         for i in order:
-            model.learn(index[i], int(labels[i]))
+            model.learn(index[i], int(labels[i]), importance[int(labels[i])])
     w = model.weights(slice(None))
     kept = np.flatnonzero(w)
     return Weights(kept, w[kept])
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id", epochs: int = 3) -> Weights:
+def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id", epochs: int = 5) -> Weights:
     """Weights from labelled rows, learned in one task on an executor.
 
     The caller bounds the rows (:func:`bounded_sample`): online learning is sequential.
