@@ -88,9 +88,11 @@ def as_text(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, *, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, *, id_col: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``next_<column>``: the values of the row with the next smaller id, after the last those of the first.
 
+    ``derived`` columns are computed from the row after it was dealt, once for each row,
+    so that they are not shuffled; they get a ``next_`` form as well.
     Rows are dealt to cells of neighbouring ids, so no window holds the table; the row
     that opens each cell is sent to the cell before it as well.  Ids that tie are ordered
     by the columns themselves; null ids come last.
@@ -98,7 +100,8 @@ def with_next(docs: DataFrame, *, id_col: str, columns: list[str]) -> DataFrame:
     keyed = docs.select(id_col, *columns)
     span = keyed.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(F.lit(1)).alias("n")).first()
     if not span["n"]:
-        return docs.select(id_col, *columns, *[F.col(c).alias(f"next_{c}") for c in columns])
+        empty = docs.select(id_col, *columns).withColumns(derived or {})
+        return empty.select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *(derived or {})]])
     cells = -(-span["n"] // CELL_ROWS)
     low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // cells))
     # Cells in descending order of ids; null ids in a cell of their own after all others.
@@ -111,8 +114,9 @@ def with_next(docs: DataFrame, *, id_col: str, columns: list[str]) -> DataFrame:
     heads = heads.select(*[f"k.{c}" for c in [id_col, *columns]], F.col("previous").alias("cell"))
     heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where("nth = 1").drop("nth").withColumn("guest", F.lit(1))
     rows = keyed.withColumn("guest", F.lit(0)).unionByName(heads)
+    rows = rows.repartition("cell").withColumns(derived or {})
     inside = Window.partitionBy("cell").orderBy("guest", *order)
-    followed = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns})
+    followed = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in [*columns, *(derived or {})]})
     return followed.where("guest = 0").drop("guest", "cell")
 
 
@@ -123,11 +127,11 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first code points of the next document's text, or all of them if it has fewer.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = with_next(texts, id_col="id", columns=["text"])
+    pairs = with_next(texts, id_col="id", columns=["text"], derived={"own": sketch(F.col("text"), k)})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    made = pairs.select("id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("own"), sketch(edited, k).alias("changed"), sketch(F.col("next_text"), k).alias("following"))
+    made = pairs.select("id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "own", sketch(edited, k).alias("changed"), F.col("next_own").alias("following"))
     return made.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed"), k).alias("near_edited"), resemblance(F.col("own"), F.col("following"), k).alias("near_next"),
