@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, mixing, near_dedup, secret_scan, token_counts, topk_search, toxicity
+from . import bpe, fingerprints, language_id, mixing, near_dedup, secret_scan, suffix_dedup, token_counts, topk_search, toxicity
 
 #: The rank file of the queries that encode; a parameter of the operators.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,6 +50,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(_documents(spark, sf_dir), RANKS, PATTERN))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
