@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests on one
-    machine) gets a folder of its own.
+    It is the one that ``spark.checkpoint.dir`` names; only a session without one (tests
+    on one machine) gets a folder of its own.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -62,15 +62,14 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
-def toxicity_weights(spark: SparkSession, sf_dir: str) -> toxicity.Weights:
-    """Learned from labels outside the held-out fold; at most 12000 of them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0)
-    return toxicity.train(toxicity.bounded_sample(labels, _documents(spark, sf_dir)))
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels outside the held-out fold."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "text")
-    return toxicity.score(docs, toxicity_weights(spark, sf_dir))
+    return toxicity.score(docs, toxicity.train(toxicity.bounded_sample(learned_labels(spark, sf_dir), docs)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
