@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     last, weigh ``weights`` in turn and divide ``share`` times all words.  A target ends
     at ``most`` times its source's size; what is over goes to the others by weight: taken
     by ascending ceiling per weight, a source is full if its ceiling is no more than its
-    part of what the fuller ones leave.
+    part of what the fuller ones leave, and the first that is not full sets the level.
     """
     by_source = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     everything = Window.partitionBy(F.lit(1))
     level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     filled = ceiling.withColumn("level", level)
-    last = F.min(F.when(F.col("ceiling") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
+    last = F.max(F.when(F.col("ceiling") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
     filled = filled.withColumn("last", last)
     target = F.when(F.col("last").isNull(), F.col("ceiling")).otherwise(F.least(F.col("ceiling"), F.col("last") * F.col("weight")))
     return filled.select("source", "n", "source_size", target.alias("target"))

@@ -97,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         ), levels AS (
           SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
-        ), last_level AS (SELECT min(level) FILTER (ceiling / weight > level) AS last FROM levels
+        ), last_level AS (SELECT max(level) FILTER (ceiling / weight > level) AS last FROM levels
         ), targets AS (
           SELECT source, source_size, CASE WHEN last IS NULL THEN ceiling ELSE least(ceiling, last * weight) END AS target FROM levels, last_level
         ), counted AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY source, size_class) / 4096.0))::BIGINT AS cells FROM classed
