@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeingraph.lineage import shared_folder
 from skeingraph.llm import bpe, mixing, near_dedup, secret_scan, toxicity
-from skeingraph.llm._cluster import shared_folder
 from skeingraph.llm.queries import DOCUMENTS, PATTERN, RANKS, learned_labels
 
 

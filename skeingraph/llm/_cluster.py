@@ -1,29 +1,11 @@
-"""What the iterative operators share: lineage cuts and connected components."""
+"""Connected components for the operators that link documents."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
-
-    It is the one that ``spark.checkpoint.dir`` names; only a session without one (tests
-    on one machine) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from ..lineage import cut
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ._arrays import LOWER, RollingHash, mix, text_blocks, words
-from ._cluster import components, cut
+from ._cluster import components
 
 #: Registers, registers of a band, bits of mantissa in a register.
 REGISTERS, BAND, MANTISSA = 256, 6, 10
