@@ -1 +1,6 @@
-"""Part of the property-graph engine."""
+"""Queries over the test tables, each with the SQL that states its result."""
+
+from . import store  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
