@@ -19,9 +19,9 @@ def _keyed(key: str) -> str:
 
 #: The graph of ``sources.tables`` in DuckDB's SQL.
 DEFINITIONS = {
-    "tasks": f"SELECT 'T' || c_custkey AS id, 'TASK' AS type, c_name AS name, c_mktsegment AS description, concat_ws(' ', c_name, c_mktsegment) AS content, {_keyed('c_custkey')}, updated_at FROM customer LEFT JOIN (SELECT o_custkey, max(epoch_ms(o_orderdate)) AS updated_at FROM orders GROUP BY 1) ON c_custkey = o_custkey",
-    "skills": f"SELECT 'S' || p_partkey AS id, 'SKILL' AS type, p_name AS name, concat_ws(' ', p_brand, p_type) AS description, concat_ws(' ', p_name, p_brand, p_type) AS content, {_keyed('p_partkey')}, updated_at FROM part LEFT JOIN (SELECT l_partkey, max(epoch_ms(l_shipdate)) AS updated_at FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
-    "event_nodes": f"SELECT 'E' || event_id AS id, 'EVENT' AS type, event_type || '-' || user_id AS name, event_type AS description, props AS content, {_keyed('event_id')}, epoch_ms(ts) AS updated_at FROM events",
+    "tasks": f"SELECT 'T' || c_custkey AS id, 'TASK' AS type, c_name AS name, c_mktsegment AS description, concat_ws(' ', c_name, c_mktsegment) AS content, {_keyed('c_custkey')}, updated_at FROM customer LEFT JOIN (SELECT o_custkey, max((epoch_us(o_orderdate) // 1000)) AS updated_at FROM orders GROUP BY 1) ON c_custkey = o_custkey",
+    "skills": f"SELECT 'S' || p_partkey AS id, 'SKILL' AS type, p_name AS name, concat_ws(' ', p_brand, p_type) AS description, concat_ws(' ', p_name, p_brand, p_type) AS content, {_keyed('p_partkey')}, updated_at FROM part LEFT JOIN (SELECT l_partkey, max((epoch_us(l_shipdate) // 1000)) AS updated_at FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
+    "event_nodes": f"SELECT 'E' || event_id AS id, 'EVENT' AS type, event_type || '-' || user_id AS name, event_type AS description, props AS content, {_keyed('event_id')}, (epoch_us(ts) // 1000) AS updated_at FROM events",
     "nodes": "SELECT * FROM tasks UNION ALL SELECT * FROM skills UNION ALL SELECT * FROM event_nodes",
     "errors": "SELECT * FROM events WHERE event_type = 'error'",
     "edges": """
@@ -34,7 +34,7 @@ DEFINITIONS = {
     "both_ways": "SELECT from_id AS a, to_id AS b FROM edges UNION ALL SELECT to_id, from_id FROM edges",
     "messages": "SELECT 'm' || conv_id || '-' || turn AS id, conv_id::VARCHAR AS session_key, turn, role, text AS content FROM conversations",
     "mentions": "SELECT DISTINCT 'O' || l_orderkey AS msg_id, 'S' || l_partkey AS node_id FROM lineitem",
-    "judged": "SELECT 'f' || user_id || '-' || (epoch_ms(ts) // 86400000) AS feedback_id, 'S' || (event_id % 50) AS node_id, max(CASE WHEN event_type = 'purchase' THEN 'used' ELSE 'unused' END) AS verdict, max(epoch_ms(ts)) AS ts FROM events GROUP BY 1, 2",
+    "judged": "SELECT 'f' || user_id || '-' || ((epoch_us(ts) // 1000) // 86400000) AS feedback_id, 'S' || (event_id % 50) AS node_id, max(CASE WHEN event_type = 'purchase' THEN 'used' ELSE 'unused' END) AS verdict, max((epoch_us(ts) // 1000)) AS ts FROM events GROUP BY 1, 2",
 }
 
 
