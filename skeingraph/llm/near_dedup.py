@@ -9,13 +9,13 @@
    resemblance.  42 bands of 6 registers leave out a pair of resemblance 0.85 with a
    chance of 2e-9, one of 0.8 with 3e-6.
 3. Pairs that share a band are compared on their registers; the estimate is corrected
-   for registers that agree by collision, and pairs five standard errors or more below
+   for registers that agree by collision, and pairs four standard errors or more below
    the threshold go.
 4. The rest are confirmed on the full sets, and links are closed to components.
 
-Large bands are not paired out.  First every member is tried against a few hubs of its
-band only (a number of pairs linear in the members), and links found so far are closed.
-Then pairs are made only inside bands that still hold several components, and only
+Large bands are not paired out.  First every member is tried against one hub of its band
+only (a number of pairs linear in the members), and links found so far are closed; that
+repeats with other hubs while bands hold far more pairs than members.  Then pairs are made only inside bands that still hold several components, and only
 between components; bands of many members are cut in tiles that tasks share.  A pair of
 one component needs no link of its own, so no link between components is lost, and no
 band or group is capped.
@@ -44,8 +44,8 @@ from ._cluster import components
 #: Registers, registers of a band, bits of mantissa in a register.
 REGISTERS, BAND, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // BAND
-#: Hubs of a band, members of a tile.
-HUBS, TILE = 3, 2048
+#: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
+TILE, TURNS, CROWDED = 2048, 8, 8
 #: Stands for a null id where one is compared.
 _NO_KEY = -(1 << 63)
 _ORDER = np.arange(BANDS * BAND).reshape(BAND, BANDS).T
@@ -128,8 +128,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _least(filled: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimates below this are five standard errors short of the threshold."""
-    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
+    """Estimates below this are four standard errors short of the threshold."""
+    return threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
 
 
 def _sketch_batches(size: int):
@@ -255,20 +255,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = classes.select("id", "n_shingles", "sketch")
 
     banded = members.select("id", "sketch").mapInArrow(_band_batches, "id long, band long")
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *_hub_columns()).where("members > 1")
-    banded = cut(banded.join(crowded.select("band", "members", F.array(*[F.col(f"hub{i}") for i in range(HUBS)]).alias("hubs")), "band"))
-    stars = banded.select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    near = cut(_close(stars, members, threshold))
-    first = cut(_links(near, _wanted(source, classes, near), shingle, percent))
-    label = components(first)
-
-    known = banded.select("id", "band", "members").where("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    banded = cut(banded.join(shared, "band"))
+    links = label = None
+    for turn in range(TURNS):
+        known = banded if label is None else banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = known.withColumn("component", F.col("id")) if label is None else known
+        if turn and not _crowded(known):
+            break
+        near = cut(_close(_to_hubs(known, turn), members, threshold))
+        found = cut(_links(near, _wanted(source, classes, near), shingle, percent))
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+
+    known = banded.where("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     tiles = _tiled(known.join(mixed, "band").join(members, "id"))
-    pairs = tiles.groupBy("band", "low", "high").applyInPandas(_cross_pairs(threshold), "a long, b long")
-    pairs = cut(pairs.distinct().join(near, ["a", "b"], "left_anti"))
-    second = _links(pairs, _wanted(source, classes, pairs), shingle, percent)
-    label = components(first.unionByName(second)).withColumnRenamed("node", "id")
+    pairs = cut(tiles.groupBy("band", "low", "high").applyInPandas(_cross_pairs(threshold), "a long, b long").distinct())
+    label = components(links.unionByName(_links(pairs, _wanted(source, classes, pairs), shingle, percent))).withColumnRenamed("node", "id")
 
     reached = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = reached.groupBy("component").agg(F.min("least_key").alias("component_id"))
@@ -278,10 +282,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
-def _hub_columns() -> list:
-    """Three members of a band: the smallest id, and the extremes by a hash of id and band."""
-    drawn = F.xxhash64("id", "band")
-    return [F.min("id").alias("hub0"), F.min_by("id", drawn).alias("hub1"), F.max_by("id", drawn).alias("hub2")]
+def _to_hubs(known: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member of a band with the band's hub, if that is of another component.
+
+    The hub is the smallest member by a hash that bands share and turns do not, so bands
+    with much the same members have the same hub and a member has few of them.
+    """
+    drawn = F.xxhash64("id", F.lit(turn))
+    hub = known.groupBy("band").agg(F.min_by(F.struct("id", "component"), drawn).alias("hub"))
+    pairs = known.join(hub, "band").where("component <> hub.component")
+    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def _crowded(known: DataFrame) -> bool:
+    """Whether pairs between components of one band are far more than members."""
+    parts = known.groupBy("band", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    total = bands.agg(F.sum(F.col("n") * F.col("n") - F.col("within")).alias("across"), F.sum("n").alias("members")).first()
+    return bool(total["members"]) and total["across"] > CROWDED * total["members"]
 
 
 def _close(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
