@@ -16,7 +16,8 @@
 Large bands are not paired out.  First every member is tried against one hub of its band
 only (a number of pairs linear in the members), and links found so far are closed; that
 repeats with other hubs while bands hold far more pairs than members.  Then pairs are made only inside bands that still hold several components, and only
-between components; bands of many members are cut in tiles that tasks share.  A pair of
+between components; bands of many members are cut in tiles that tasks share, and a tile's
+pairs are confirmed where they are made, on the sets of the members concerned.  A pair of
 one component needs no link of its own, so no link between components is lost, and no
 band or group is capped.
 
@@ -45,7 +46,9 @@ from ._cluster import components
 REGISTERS, BAND, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // BAND
 #: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
-TILE, TURNS, CROWDED = 2048, 8, 8
+TILE, TURNS, CROWDED = 2048, 3, 8
+#: So many ids (16 bytes each) may be broadcast.
+BROADCAST_IDS = 500_000
 #: Stands for a null id where one is compared.
 _NO_KEY = -(1 << 63)
 _ORDER = np.arange(BANDS * BAND).reshape(BAND, BANDS).T
@@ -175,27 +178,72 @@ def _estimate_pairs(threshold: float):
     return run
 
 
-def _cross_pairs(threshold: float):
-    """Pairs between components of one tile pair, each only in the first band that its ends share."""
+def _across(own: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, key: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a tile pair, the others it may link with.
+
+    They are of another component, near by estimate, and share no earlier band with it.
+    """
+    bands = band_keys(own)
+    here = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
+    for i in np.flatnonzero(side == key[1]):
+        j = np.arange(i + 1, len(ids)) if key[1] == key[2] else np.flatnonzero(side == key[2])
+        j = j[(component[j] != component[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
+        if here and len(j):
+            j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]
+        if len(j):
+            good = estimate(own[j], own[i], n[j], n[i : i + 1]) >= _least(((own[j] | own[i]) != 0).sum(axis=1), threshold)
+            if good.any():
+                yield i, j[good]
+
+
+def _candidates(threshold: float):
+    """The members of a tile pair that have anyone to be confirmed with."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id").reset_index(drop=True)
+        ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
+        wanted = np.zeros(len(ids), dtype=bool)
+        for i, j in _across(_sketches(group["sketch"]), ids, component, n, side, key, threshold):
+            wanted[i] = True
+            wanted[j] = True
+        return group.loc[wanted, ["band", "low", "high", "id", "component", "n_shingles", "tile"]]
+
+    return run
+
+
+def _links_within(threshold: float, percent: int):
+    """Links between the components of a tile pair, confirmed on full sets; joined ones need no second link."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
+        group = group.sort_values("id").reset_index(drop=True)
         ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
-        own = _sketches(group["sketch"])
-        bands = band_keys(own)
-        here = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
-        out_a, out_b = [], []
-        low, high = key[1], key[2]
-        for i in np.flatnonzero(side == low):
-            j = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero(side == high)
-            j = j[(component[j] != component[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
-            if here and len(j):
-                j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]
-            if len(j):
-                good = estimate(own[j], own[i], n[j], n[i : i + 1]) >= _least(((own[j] | own[i]) != 0).sum(axis=1), threshold)
-                out_a.append(np.full(int(good.sum()), ids[i]))
-                out_b.append(ids[j[good]])
-        return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group["members"]]
+        own = np.stack([registers(x) for x in sets])
+        _, component = np.unique(component, return_inverse=True)
+        root = np.arange(component.max() + 1)
+        a, b = [], []
+        for i, near in _across(own, ids, component, n, side, key, threshold):
+            for j in near:
+                if root[component[i]] == root[component[j]]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    root[root == root[component[j]]] = root[component[i]]
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return run
+
+
+def _set_batches(size: int):
+    """The full set of each text, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_blocks(batch.column(1)):
+                sets = [s.tobytes() for s in shingle_sets(data, offsets, size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.binary())], names=["id", "members"])
 
     return run
 
@@ -264,15 +312,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if turn and not _crowded(known):
             break
         near = cut(_close(_to_hubs(known, turn), members, threshold))
-        found = cut(_links(near, _wanted(source, classes, near), shingle, percent))
+        found = cut(_links(near, _wanted(source, classes, _ends(near)), shingle, percent))
         links = found if links is None else links.unionByName(found)
         label = components(links)
 
     known = banded.where("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    tiles = _tiled(known.join(mixed, "band").join(members, "id"))
-    pairs = cut(tiles.groupBy("band", "low", "high").applyInPandas(_cross_pairs(threshold), "a long, b long").distinct())
-    label = components(links.unionByName(_links(pairs, _wanted(source, classes, pairs), shingle, percent))).withColumnRenamed("node", "id")
+    tiles = _tiled(known.join(mixed, "band").join(members, "id")).groupBy("band", "low", "high")
+    asked = cut(tiles.applyInPandas(_candidates(threshold), "band long, low int, high int, id long, component long, n_shingles long, tile int"))
+    sets = _wanted(source, classes, asked.select("id").distinct()).select("id", "text").mapInArrow(_set_batches(shingle), "id long, members binary")
+    more = asked.join(sets, "id").groupBy("band", "low", "high").applyInPandas(_links_within(threshold, percent), "a long, b long")
+    label = components(links.unionByName(more)).withColumnRenamed("node", "id")
 
     reached = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = reached.groupBy("component").agg(F.min("least_key").alias("component_id"))
@@ -310,10 +360,19 @@ def _close(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return held.mapInArrow(_estimate_pairs(threshold), "a long, b long")
 
 
-def _wanted(source: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the classes that occur in pairs, one row for each."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = classes.join(ids, "id", "left_semi").select("id", "row_key")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _wanted(source: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the classes with these ids, one row for each.
+
+    The ids are broadcast while they are at most ``BROADCAST_IDS``, which saves a shuffle
+    of all texts; beyond that both sides are shuffled.
+    """
+    rows = cut(classes.join(ids, "id", "left_semi").select("id", "row_key"))
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
     texts = source.select(F.col("text_hash").alias("id"), F.coalesce("key", F.lit(_NO_KEY)).alias("row_key"), "text")
     return texts.join(rows, ["id", "row_key"], "left_semi").dropDuplicates(["id"])
 
