@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,9 +272,10 @@ def repeated_spans(source: DataFrame, length: int, gathered: int = GATHERED) ->
     rows = columns.mapInArrow(_emit_segments(length, False), _SEGMENT)
     # Batches are counted before the shuffle, so a content that many texts share moves once for each batch.
     counts = columns.mapInArrow(_emit_segments(length, True), "anchor long, content long, n long")
-    contents = counts.groupBy("anchor", "content").agg(F.sum("n").alias("n"))
-    anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total")).where("total > 1")
-    repeated = contents.join(anchors, "anchor").select("anchor", "content", "n", "distinct")
+    # Dealt by anchor alone: contents and anchors are both summed on the one exchange.
+    contents = counts.repartition("anchor").groupBy("anchor", "content").agg(F.sum("n").alias("n"))
+    of_anchor = Window.partitionBy("anchor")
+    repeated = contents.withColumns({"distinct": F.count(F.lit(1)).over(of_anchor), "total": F.sum("n").over(of_anchor)}).where("total > 1").drop("total")
     found = rows.join(repeated, ["anchor", "content"])
     sure = found.where("n > 1").select("key", "start", "windows")
     single = found.where("distinct > 1 and n = 1").select("anchor", "distinct", "key", "start", "windows", F.lit(False).alias("known"))
