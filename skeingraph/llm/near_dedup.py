@@ -46,7 +46,7 @@ from ._cluster import components
 REGISTERS, BAND, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // BAND
 #: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
-TILE, TURNS, CROWDED = 2048, 3, 8
+TILE, TURNS, CROWDED = 2048, 2, 8
 #: So many ids (16 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
 #: Stands for a null id where one is compared.
@@ -305,6 +305,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = members.select("id", "sketch").mapInArrow(_band_batches, "id long, band long")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = cut(banded.join(shared, "band"))
+    # From here on only classes that share a band with another are moved.
+    members = cut(members.join(banded.select("id").distinct(), "id", "left_semi"))
     links = label = None
     for turn in range(TURNS):
         known = banded if label is None else banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
