@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -47,7 +48,7 @@ class Codec:
         self._ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
         self._size = {i: len(b) for b, i in ranks.items()}
-        self._piece = __import__("regex").compile(pattern)
+        self._piece = regex.compile(pattern)
         self._leaf_chars, self._leaf_bytes = max(2, leaf_chars), max(2, leaf_bytes)
         self._stable = lru_cache(maxsize=1 << 16)(self._pair_stays)
 

@@ -309,8 +309,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = cut(members.join(banded.select("id").distinct(), "id", "left_semi"))
     links = label = None
     for turn in range(TURNS):
-        known = banded if label is None else banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        known = known.withColumn("component", F.col("id")) if label is None else known
+        known = _labelled(banded, label)
         if turn and not _crowded(known):
             break
         near = cut(_close(_to_hubs(known, turn), members, threshold))
@@ -318,7 +317,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = found if links is None else links.unionByName(found)
         label = components(links)
 
-    known = banded.where("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = _labelled(banded.where("members > 2"), label)
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     tiles = _tiled(known.join(mixed, "band").join(members, "id")).groupBy("band", "low", "high")
     asked = cut(tiles.applyInPandas(_candidates(threshold), "band long, low int, high int, id long, component long, n_shingles long, tile int"))
@@ -334,6 +333,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
+def _labelled(banded: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members of bands with their component so far; without links each is its own."""
+    if label is None:
+        return banded.withColumn("component", F.col("id"))
+    known = banded.join(label.withColumnRenamed("node", "id"), "id", "left")
+    return known.withColumn("component", F.coalesce("component", "id"))
+
+
 def _to_hubs(known: DataFrame, turn: int) -> DataFrame:
     """Pairs of each member of a band with the band's hub, if that is of another component.
 
