@@ -12,8 +12,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows in an Arrow batch, where the session sets no bound.
+BATCH_BYTES = 8 << 20
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -84,6 +88,12 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = end
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes; 10,000 long texts or pairs of texts would else be held at once."""
+    if spark.conf.get(_BATCH_BOUND, None) is None:
+        spark.conf.set(_BATCH_BOUND, str(BATCH_BYTES))
+
+
 def _mask(members: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(members)] = True

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ._arrays import LOWER, RollingHash, mix, text_blocks, words
+from ._arrays import LOWER, RollingHash, bound_batches, mix, text_blocks, words
 from ._cluster import components
 
 #: Registers, registers of a band, bits of mantissa in a register.
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id that a row reaches, itself included, and ``kept`` marks that one.
     """
     threshold = percent / 100
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     sketched = cut(source.mapInArrow(_sketch_batches(shingle), "key long, text_hash long, n_shingles long, set_hash binary, sketch binary"))
     # One class per distinct set, represented by one of its rows and named by that row's text.
@@ -307,15 +308,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = cut(banded.join(shared, "band"))
     # From here on only classes that share a band with another are moved.
     members = cut(members.join(banded.select("id").distinct(), "id", "left_semi"))
-    links = label = None
+    label = None
     for turn in range(TURNS):
         known = _labelled(banded, label)
         if turn and not _crowded(known):
             break
         near = cut(_close(_to_hubs(known, turn), members, threshold))
         found = cut(_links(near, _wanted(source, classes, _ends(near)), shingle, percent))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        label = components(_with_known(found, label))
 
     known = _labelled(banded.where("members > 2"), label)
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     asked = cut(tiles.applyInPandas(_candidates(threshold), "band long, low int, high int, id long, component long, n_shingles long, tile int"))
     sets = _wanted(source, classes, asked.select("id").distinct()).select("id", "text").mapInArrow(_set_batches(shingle), "id long, members binary")
     more = asked.join(sets, "id").groupBy("band", "low", "high").applyInPandas(_links_within(threshold, percent), "a long, b long")
-    label = components(links.unionByName(more)).withColumnRenamed("node", "id")
+    label = components(_with_known(more, label)).withColumnRenamed("node", "id")
 
     reached = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = reached.groupBy("component").agg(F.min("least_key").alias("component_id"))
@@ -341,6 +341,11 @@ def _labelled(banded: DataFrame, label: DataFrame | None) -> DataFrame:
     return known.withColumn("component", F.coalesce("component", "id"))
 
 
+def _with_known(links: DataFrame, label: DataFrame | None) -> DataFrame:
+    """New links beside those of closed components, of which one to the smallest member stands for all."""
+    return links if label is None else links.unionByName(label.toDF("a", "b"))
+
+
 def _to_hubs(known: DataFrame, turn: int) -> DataFrame:
     """Pairs of each member of a band with the band's hub, if that is of another component.
 
