@@ -4,10 +4,12 @@
    are dealt to 256 buckets, and of each bucket's smallest hash the number of leading
    zeros and a few mantissa bits are kept, 16 bits in all.  Texts with equal sets are
    one class from here on, so copies are never paired.
-2. For banding, an empty register borrows from the next one that is not (and how far it
-   went is part of the value), which keeps the chance that registers agree at the
-   resemblance.  42 bands of 6 registers leave out a pair of resemblance 0.85 with a
-   chance of 2e-9, one of 0.8 with 3e-6.
+2. Sets of more than 1536 shingles fill nearly all registers, and 42 bands of 6 registers
+   are theirs.  Smaller sets leave registers empty, and borrowing from a neighbour would make
+   the bands copies of one another, so 42 bands of 6 minima under hash functions of their own
+   are made of the whole set instead.  Sets between the two sizes that a linked pair can have
+   get both kinds, so linked sets always share a kind.  Either leaves out a pair of
+   resemblance 0.85 with a chance of 2e-9, one of 0.8 with 3e-6.
 3. Pairs that share a band are compared on their registers; the estimate is corrected
    for registers that agree by collision, and pairs four standard errors or more below
    the threshold go.
@@ -45,6 +47,10 @@ from ._cluster import components
 #: Registers, registers of a band, bits of mantissa in a register.
 REGISTERS, BAND, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // BAND
+#: Sets of more shingles have bands of registers.
+DENSE = 1536
+#: Pairs are confirmed unless their estimate is so many standard errors short of the threshold.
+GATE = 4
 #: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
 TILE, TURNS, CROWDED = 2048, 2, 8
 #: So many ids (16 bytes each) may be broadcast.
@@ -52,6 +58,9 @@ BROADCAST_IDS = 500_000
 #: Stands for a null id where one is compared.
 _NO_KEY = -(1 << 63)
 _ORDER = np.arange(BANDS * BAND).reshape(BAND, BANDS).T
+_FACTORS = mix(np.arange(BANDS * BAND, dtype=np.uint64) + np.uint64(424243)) | np.uint64(1)
+#: Bytes of the registers, which a sketch starts with; the keys of a small set's bands follow.
+_WIDTH = 2 * REGISTERS
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -112,8 +121,42 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key
 
 
+def few_shingles(percent: int) -> int:
+    """Sets of so many shingles have bands of minima; a set that links with a larger one has over ``DENSE``."""
+    return DENSE * 100 // max(percent, 1)
+
+
+def small_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit key per band for each set, none of them empty, from independent minima of the whole set."""
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    hashes = np.concatenate(sets)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS + 1), (len(sets), BANDS))
+    for columns in _ORDER.T:
+        least = np.stack([np.minimum.reduceat(hashes * _FACTORS[c], at) for c in columns], axis=1)
+        key = mix(key * np.uint64(11) + least)
+    return key
+
+
+def _all_keys(own: np.ndarray, small: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys of both kinds of bands, 0 where a set does not have the kind."""
+    return np.concatenate((small, np.where(n[:, None] > DENSE, band_keys(own), np.uint64(0))), axis=1)
+
+
+def _packed(sets: list[np.ndarray], few: int) -> list[bytes | None]:
+    """Registers and small keys of each set; none for an empty one."""
+    small = [i for i, s in enumerate(sets) if 0 < len(s) <= few]
+    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    if small:
+        keys[small] = small_keys([sets[i] for i in small])
+    return [registers(s).tobytes() + k.tobytes() if len(s) else None for s, k in zip(sets, keys, strict=True)]
+
+
 def _sketches(column: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(x[:_WIDTH] for x in column), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _small(column: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[_WIDTH:] for x in column), dtype=np.uint64).reshape(-1, BANDS)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -131,18 +174,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _least(filled: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimates below this are four standard errors short of the threshold."""
-    return threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
+    """Estimates below this are ``GATE`` standard errors short of the threshold."""
+    return threshold - GATE * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
 
 
-def _sketch_batches(size: int):
+def _sketch_batches(size: int, few: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch.column(2)):
                 sets = shingle_sets(data, offsets, size)
                 part = batch.slice(first, end - first)
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) for s in sets], pa.binary())]
-                columns.append(pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()))
+                columns.append(pa.array(_packed(sets, few), pa.binary()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["key", "text_hash", "n_shingles", "set_hash", "sketch"])
 
     return run
@@ -159,9 +202,11 @@ def _band_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            keys = band_keys(_sketches(part.column(1).to_pylist()))
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.ravel().view(np.int64), pa.int64())], names=["id", "band"])
+            packed = part.column(1).to_pylist()
+            keys = _all_keys(_sketches(packed), _small(packed), part.column(2).to_numpy(zero_copy_only=False))
+            there = keys != 0
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), there.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys[there].view(np.int64), pa.int64())], names=["id", "band"])
 
 
 def _estimate_pairs(threshold: float):
@@ -178,18 +223,17 @@ def _estimate_pairs(threshold: float):
     return run
 
 
-def _across(own: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, key: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+def _across(own: np.ndarray, bands: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, key: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each member of a tile pair, the others it may link with.
 
     They are of another component, near by estimate, and share no earlier band with it.
     """
-    bands = band_keys(own)
     here = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
     for i in np.flatnonzero(side == key[1]):
         j = np.arange(i + 1, len(ids)) if key[1] == key[2] else np.flatnonzero(side == key[2])
         j = j[(component[j] != component[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
         if here and len(j):
-            j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]
+            j = j[~((bands[j, :here] == bands[i, :here]) & (bands[i, :here] != 0)).any(axis=1)]
         if len(j):
             good = estimate(own[j], own[i], n[j], n[i : i + 1]) >= _least(((own[j] | own[i]) != 0).sum(axis=1), threshold)
             if good.any():
@@ -203,7 +247,8 @@ def _candidates(threshold: float):
         group = group.sort_values("id").reset_index(drop=True)
         ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
         wanted = np.zeros(len(ids), dtype=bool)
-        for i, j in _across(_sketches(group["sketch"]), ids, component, n, side, key, threshold):
+        own = _sketches(group["sketch"])
+        for i, j in _across(own, _all_keys(own, _small(group["sketch"]), n), ids, component, n, side, key, threshold):
             wanted[i] = True
             wanted[j] = True
         return group.loc[wanted, ["band", "low", "high", "id", "component", "n_shingles", "tile"]]
@@ -218,11 +263,13 @@ def _links_within(threshold: float, percent: int):
         group = group.sort_values("id").reset_index(drop=True)
         ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["members"]]
-        own = np.stack([registers(x) for x in sets])
+        packed = _packed(sets, few_shingles(percent))
+        own = _sketches(packed)
+        bands = _all_keys(own, _small(packed), n)
         _, component = np.unique(component, return_inverse=True)
         root = np.arange(component.max() + 1)
         a, b = [], []
-        for i, near in _across(own, ids, component, n, side, key, threshold):
+        for i, near in _across(own, bands, ids, component, n, side, key, threshold):
             for j in near:
                 if root[component[i]] == root[component[j]]:
                     continue
@@ -296,14 +343,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     threshold = percent / 100
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    sketched = cut(source.mapInArrow(_sketch_batches(shingle), "key long, text_hash long, n_shingles long, set_hash binary, sketch binary"))
+    sketched = cut(source.mapInArrow(_sketch_batches(shingle, few_shingles(percent)), "key long, text_hash long, n_shingles long, set_hash binary, sketch binary"))
     # One class per distinct set, represented by one of its rows and named by that row's text.
     mark = F.struct("text_hash", F.coalesce("key", F.lit(_NO_KEY)).alias("key")).alias("mark")
     classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("key").alias("least_key"), F.min(F.struct(mark, "sketch")).alias("row"))
     classes = cut(classes.select("n_shingles", "set_hash", "least_key", F.col("row.mark.text_hash").alias("id"), F.col("row.mark.key").alias("row_key"), "row.sketch"))
     members = classes.select("id", "n_shingles", "sketch")
 
-    banded = members.select("id", "sketch").mapInArrow(_band_batches, "id long, band long")
+    banded = members.select("id", "sketch", "n_shingles").mapInArrow(_band_batches, "id long, band long")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = cut(banded.join(shared, "band"))
     # From here on only classes that share a band with another are moved.
@@ -368,8 +415,8 @@ def _crowded(known: DataFrame) -> bool:
 
 def _close(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimate is near enough to the threshold."""
-    a = members.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    b = members.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    a = members.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.substring("sketch", 1, _WIDTH).alias("sa"))
+    b = members.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.substring("sketch", 1, _WIDTH).alias("sb"))
     held = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
     return held.mapInArrow(_estimate_pairs(threshold), "a long, b long")
 

@@ -265,6 +265,41 @@ def test_a_band_of_near_copies(spark):
     assert [got[i] for i in range(60)] == group
 
 
+def test_small_near_copies_share_a_band():
+    """Pairs of few shingles at the threshold, many of each size; no chance of a miss is over 3e-6."""
+    rng = np.random.default_rng(11)
+    for union, shared in ((5, 4), (7, 6), (10, 8), (20, 16), (40, 34), (60, 51), (200, 160)):
+        hashes = rng.integers(0, 1 << 64, (2000, union), dtype=np.uint64)
+        half = shared + (union - shared) // 2
+        a = [np.sort(h[:half]) for h in hashes]
+        b = [np.sort(np.concatenate((h[:shared], h[half:]))) for h in hashes]
+        assert (near_dedup.small_keys(a) == near_dedup.small_keys(b)).any(axis=1).all(), union
+
+
+def test_pairs_across_the_sizes_share_a_kind_of_bands():
+    rng = np.random.default_rng(12)
+    few = near_dedup.few_shingles(80)
+    for n in (near_dedup.DENSE - 5, near_dedup.DENSE + 1, few - 50, few):
+        big = np.sort(rng.integers(0, 1 << 64, n * 100 // 85, dtype=np.uint64))
+        sets = [big, np.sort(rng.permutation(big)[:n])]
+        packed = near_dedup._packed(sets, few)
+        keys = near_dedup._all_keys(near_dedup._sketches(packed), near_dedup._small(packed), np.array([len(s) for s in sets]))
+        assert ((keys[0] == keys[1]) & (keys[0] != 0)).any(), n
+
+
+def test_planted_short_pairs(spark):
+    """300 pairs of 5 to 60 shingles, each with one word changed at an end: all link and no others do."""
+    rows, words_of, draw = [], [f"w{i}" for i in range(5000)], random.Random(13)
+    for k in range(300):
+        own = [draw.choice(words_of) for _ in range(draw.randrange(9, 63))]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], "changed"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    want = {i: i - i % 2 if 100 * len(sets[i] & sets[i ^ 1]) >= 75 * len(sets[i] | sets[i ^ 1]) else i for i in sets}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, shingle=3, percent=75).collect()}
+    assert got == want
+
+
 def test_register_estimates():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
