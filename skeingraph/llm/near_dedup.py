@@ -11,8 +11,9 @@
    get both kinds, so linked sets always share a kind.  Either leaves out a pair of
    resemblance 0.85 with a chance of 2e-9, one of 0.8 with 3e-6.
 3. Pairs that share a band are compared on their registers; the estimate is corrected
-   for registers that agree by collision, and pairs four standard errors or more below
-   the threshold go.
+   for registers that agree by collision, and pairs six standard errors or more below
+   the threshold go (at most 2e-6 of those at 0.85 and 2.5e-7 of those at 0.8, by the
+   binomial tail; 2.4e-8 and 1.2e-8 with all registers filled).
 4. The rest are confirmed on the full sets, and links are closed to components.
 
 Large bands are not paired out.  First every member is tried against one hub of its band
@@ -50,7 +51,7 @@ BANDS = REGISTERS // BAND
 #: Sets of more shingles have bands of registers.
 DENSE = 1536
 #: Pairs are confirmed unless their estimate is so many standard errors short of the threshold.
-GATE = 4
+GATE = 6
 #: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
 TILE, TURNS, CROWDED = 2048, 2, 8
 #: So many ids (16 bytes each) may be broadcast.

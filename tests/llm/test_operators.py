@@ -1,6 +1,7 @@
 """Each operator against a brute-force form on small tables with nulls, copies, ties and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -300,6 +301,14 @@ def test_planted_short_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_the_gate_keeps_pairs_at_the_threshold(percent):
+    p = percent / 100
+    for n in range(1, 257):
+        lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < near_dedup._least(np.array(n), p))
+        assert lost < 3e-6, n
+
+
 def test_register_estimates():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
