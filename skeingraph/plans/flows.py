@@ -232,4 +232,4 @@ def stream_turn_pairs(spark, sf):
 def stream_sessions(spark, sf):
     schema = t.read(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return streams.drain(streams.stream_sessions(events, "6 hours", "1 day"))
+    return streams.drain_whole(streams.stream_sessions(events, "6 hours", "1 day"))

@@ -68,6 +68,25 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain_whole(stream: DataFrame) -> DataFrame:
+    """What an aggregation yields from the input that is there, windows still open at its end included.
+
+    Append mode would hold those back for a watermark that never comes; here each
+    micro-batch writes the whole result and the last one stands.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    written = []
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        written.append(number)
+
+    writer = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(written)}") if written else spark.createDataFrame([], stream.schema)
+
+
 def each_batch(stream: DataFrame, refresh: Callable[[DataFrame, int], None]) -> None:
     """Calls ``refresh`` with every micro-batch; a batch that failed comes again with its number."""
     spark = stream.sparkSession
