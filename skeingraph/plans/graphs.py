@@ -183,7 +183,8 @@ def community_links(spark, sf):
 
 @query("hierarchy")
 def hierarchy(spark, sf):
-    edges, labels = _communities(spark, sf)
+    edges = t.edges(spark, sf)
+    labels = graph.label_propagation(t.nodes(spark, sf), edges)
     grouped = graph.hierarchy_level(graph.community_links(edges, labels), labels)
     topics = spark.createDataFrame(grouped, "label string, topic string")
     above = labels.join(topics, "label").select("id", F.col("topic").alias("label"))
