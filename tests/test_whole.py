@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from skeingraph import plans
-from skeingraph.operators import graph
+from skeingraph.operators import graph, maintenance
 from skeingraph.sources import tables as t
 
 
@@ -81,3 +81,15 @@ def test_hierarchy_takes_every_edge_type(spark, monkeypatch):
     domain = loop_level(pairs, {i: topic[x] for i, x in label.items()})
     got = plans.QUERIES["hierarchy"](spark, "").collect()
     assert {r["label"]: (r["topic"], r["domain"]) for r in got} == {n: (topic[n], domain[topic[n]]) for n in topic}
+
+
+def test_maintenance_is_given_the_whole_graph(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(maintenance, "run", lambda state, now_ms, phases=None: seen.append((state, phases)) or (state, None))
+    sf = "/root/testdata/sf0.001"
+    plans.QUERIES["maintenance_full"](spark, sf)
+    (state, phases), = seen
+    assert phases in (None, maintenance.Phases())
+    assert {r[0] for r in state.nodes.select("type").distinct().collect()} == {"TASK", "SKILL", "EVENT"}
+    assert state.edges.count() == t.edges(spark, sf).count() and state.mentions.count() == t.mentions(spark, sf).count()
+    assert state.embeddings.columns == ["id", "embedding"] and state.embeddings.count() == t.read(spark, sf, "embeddings").count()
