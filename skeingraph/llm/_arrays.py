@@ -88,10 +88,9 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches of the session by bytes; 10,000 long texts or pairs of texts would else be held at once."""
-    if spark.conf.get(_BATCH_BOUND, None) is None:
-        spark.conf.set(_BATCH_BOUND, str(BATCH_BYTES))
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """The setting that bounds Arrow batches by bytes, where the session has none; 10,000 long texts would else be held at once."""
+    return {_BATCH_BOUND: str(BATCH_BYTES)} if spark.conf.get(_BATCH_BOUND, None) is None else {}
 
 
 def _mask(members: bytes) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, replace
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("big").agg(F.min("small").alias("low"))
         joined = large.join(low, "big")
         small = joined.select(F.col("small").alias("big"), F.col("low").alias("small")).unionByName(joined.select("big", F.col("low").alias("small")))
-        pairs = cut(small.where("big <> small").distinct())
+        pairs = replace(pairs, small.where("big <> small").distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
         if now == before:
-            return pairs.groupBy("big").agg(F.min("small").alias("component")).withColumnRenamed("big", "node").unionByName(pairs.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct())
+            out = pairs.groupBy("big").agg(F.min("small").alias("component")).withColumnRenamed("big", "node").unionByName(pairs.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct())
+            return replace(pairs, out)
         before = now

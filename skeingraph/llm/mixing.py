@@ -8,7 +8,10 @@ are spread evenly over the sample and the words taken stay near the target.
 
 No window holds a whole source: documents are dealt to cells of a source by size class
 and hash, cells have a bounded expected number of rows, and a document's position is the
-rows of the cells before it plus its place in its own cell.
+rows of the cells before it plus its place in its own cell.  What is known of sources,
+classes and cells comes from one narrow table of (source, size, draw) that is written once;
+the tables made of it are small files, which Spark broadcasts by their size or, if they
+are large, joins by shuffles.
 
 Null and empty texts have size 0 and take no words.  Null sources form one source, last
 in order.  Rows that tie in every ordering column are interchangeable.  Sources without
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 #: Characters that a word may not hold are ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a cell of a source is expected to hold at most.
@@ -68,23 +73,17 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     keep = keep or []
     shown = {c: f"__{i}" for i, c in enumerate(dict.fromkeys([id_col, *keep]))}
-    rows = docs.select(*[F.col(c).alias(a) for c, a in shown.items()], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw"))
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
-    size_class = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    classed = rows.withColumn("size_class", size_class)
-    cells = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CELL_ROWS)).cast("long")
-    classes = classed.groupBy("source", "size_class").agg(cells.alias("cells"))
-    # A few hundred rows for each source.
-    plan = classes.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "size_class", "cells", "n", "source_size", "target")
-    dealt = classed.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source and r.size_class = p.size_class")).select("r.*", "cells", "source_size", "target")
-    dealt = dealt.withColumn("cell", F.pmod(F.conv(F.substring("draw", 9, 8), 16, 10).cast("long"), F.col("cells")))
-    held = classed.alias("r").join(classes.alias("c"), F.expr("r.source <=> c.source and r.size_class = c.size_class")).select("r.source", "r.size_class", F.pmod(F.conv(F.substring("draw", 9, 8), 16, 10).cast("long"), F.col("cells")).alias("cell"))
-    held = held.groupBy("source", "size_class", "cell").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy("source").orderBy("size_class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = held.withColumn("start", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+    draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(*[F.col(c).alias(a) for c, a in shown.items()], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw"))
+    rows = rows.withColumn("size_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    facts = cut(rows if not keep else rows.select("source", "size", "size_class", "draw"))
+    rows = facts if not keep else rows
+    classes, cells = _plan(facts, source_targets(facts, weights, share, most))
+    dealt = rows.alias("r").join(classes.alias("c"), F.expr("r.source <=> c.source and r.size_class = c.size_class")).select("r.*", "cells", "source_size", "target")
+    dealt = dealt.withColumn("cell", _cell())
     inside = Window.partitionBy("source", "size_class", "cell").orderBy("size", "draw", *[F.col(a) for a in shown.values()][:1])
     placed = dealt.withColumn("place", F.row_number().over(inside))
-    placed = placed.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source and r.size_class = s.size_class and r.cell = s.cell")).select("r.*", "start")
+    placed = placed.alias("r").join(cells.alias("s"), F.expr("r.source <=> s.source and r.size_class = s.size_class and r.cell = s.cell")).select("r.*", "start")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _fraction(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))))
     at = F.col("start") + F.col("place")
@@ -94,6 +93,24 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return done.select(*back, "size", "source_size", "target", "copies", "taken")
 
 
+def _cell() -> Column:
+    return F.pmod(F.conv(F.substring("draw", 9, 8), 16, 10).cast("long"), F.col("cells"))
+
+
+def _plan(facts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each size class of a source its cells and target, and of each cell how many rows lie before it."""
+    cells = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CELL_ROWS)).cast("long")
+    classes = cut(facts.groupBy("source", "size_class").agg(F.count(F.lit(1)).alias("rows"), cells.alias("cells")))
+    earlier = Window.partitionBy("source").orderBy("size_class").rowsBetween(Window.unboundedPreceding, -1)
+    known = classes.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    known = cut(known.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "size_class", "cells", "before", "source_size", "target"))
+    held = facts.alias("r").join(known.alias("c"), F.expr("r.source <=> c.source and r.size_class = c.size_class")).select("r.source", "r.size_class", "before", _cell().alias("cell"))
+    held = held.groupBy("source", "size_class", "cell").agg(F.count(F.lit(1)).alias("rows"), F.min("before").alias("before"))
+    earlier = Window.partitionBy("source", "size_class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.withColumn("start", F.col("before") + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    return known, cut(starts.select("source", "size_class", "cell", "start"))
+
+
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as it is taken, in the columns of ``docs``."""
     columns = docs.columns

@@ -1,15 +1,13 @@
 """Near-duplicate detection with HyperMinHash sketches, confirmed on full shingle sets.
 
-1. Each text becomes the set of its hashed word shingles and a HyperMinHash: the hashes
-   are dealt to 256 buckets, and of each bucket's smallest hash the number of leading
-   zeros and a few mantissa bits are kept, 16 bits in all.  Texts with equal sets are
-   one class from here on, so copies are never paired.
-2. Sets of more than 1536 shingles fill nearly all registers, and 42 bands of 6 registers
-   are theirs.  Smaller sets leave registers empty, and borrowing from a neighbour would make
-   the bands copies of one another, so 42 bands of 6 minima under hash functions of their own
-   are made of the whole set instead.  Sets between the two sizes that a linked pair can have
-   get both kinds, so linked sets always share a kind.  Either leaves out a pair of
-   resemblance 0.85 with a chance of 2e-9, one of 0.8 with 3e-6.
+1. Each text becomes the set of its hashed word shingles and a HyperMinHash: registers of
+   16 bits that keep of a smallest hash the number of leading zeros and ten bits of mantissa.
+   Sets of over 1536 shingles are dealt to 256 buckets with a register each.  Smaller sets
+   would leave buckets empty, so each of their 252 registers has a hash function of its own
+   and looks at the whole set; sets between the two sizes that a linked pair can have get
+   both kinds.  Texts with equal sets are one class from here on, so copies are never paired.
+2. Registers are banded, 42 bands of 6.  A pair of resemblance 0.85 shares no band with a
+   chance of 2e-9, one of 0.8 with 3e-6.
 3. Pairs that share a band are compared on their registers; the estimate is corrected
    for registers that agree by collision, and pairs six standard errors or more below
    the threshold go (at most 2e-6 of those at 0.85 and 2.5e-7 of those at 0.8, by the
@@ -18,17 +16,21 @@
 
 Large bands are not paired out.  First every member is tried against one hub of its band
 only (a number of pairs linear in the members), and links found so far are closed; that
-repeats with other hubs while bands hold far more pairs than members.  Then pairs are made only inside bands that still hold several components, and only
-between components; bands of many members are cut in tiles that tasks share, and a tile's
-pairs are confirmed where they are made, on the sets of the members concerned.  A pair of
-one component needs no link of its own, so no link between components is lost, and no
-band or group is capped.
+repeats with other hubs while bands hold far more pairs than members.  Then pairs are made
+only inside bands that still hold several components, and only between components; bands of
+many members are cut in tiles that tasks share, and a tile's pairs are confirmed where they
+are made, on the sets of the members concerned.  A pair of one component needs no link of
+its own, and no band or group is capped.
+
+A class has a number of its own, given when the table of classes is written, so no two
+classes can meet under one name; sets are told apart by their size and 128 bits of hash.
 
 Words are runs of bytes other than ASCII white space; only A-Z is folded.  A text with
 fewer words than a shingle has its whole sequence as its one shingle; a null text or one
-without words has an empty set and links with nothing.  Rows that
-share an id are rows of their own; a null id takes part but never names a component,
-which is null if no member has an id.  Empty tables give no rows.
+without words has an empty set and links with nothing.  Rows that share an id are rows of
+their own; a null id takes part but never names a component, which is null if no member
+has an id.  Empty tables give no rows; other columns of the input are not looked at, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -41,27 +43,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
-from ._arrays import LOWER, RollingHash, bound_batches, mix, text_blocks, words
+from ..lineage import cut, drop, replace, settings
+from ._arrays import LOWER, RollingHash, mix, small_batches, text_blocks, words
 from ._cluster import components
 
-#: Registers, registers of a band, bits of mantissa in a register.
+#: Buckets of a large set, registers of a band, bits of mantissa in a register.
 REGISTERS, BAND, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // BAND
-#: Sets of more shingles have bands of registers.
+#: Registers of a small set.
+DRAWS = BANDS * BAND
+#: Sets of more shingles have registers by buckets.
 DENSE = 1536
 #: Pairs are confirmed unless their estimate is so many standard errors short of the threshold.
 GATE = 6
 #: Members of a tile; turns of hubs at most; pairs for each member from which another turn pays.
-TILE, TURNS, CROWDED = 2048, 2, 8
-#: So many ids (16 bytes each) may be broadcast.
-BROADCAST_IDS = 500_000
-#: Stands for a null id where one is compared.
-_NO_KEY = -(1 << 63)
-_ORDER = np.arange(BANDS * BAND).reshape(BAND, BANDS).T
-_FACTORS = mix(np.arange(BANDS * BAND, dtype=np.uint64) + np.uint64(424243)) | np.uint64(1)
-#: Bytes of the registers, which a sketch starts with; the keys of a small set's bands follow.
-_WIDTH = 2 * REGISTERS
+TILE, TURNS, CROWDED = 512, 2, 8
+#: Rows of tile pairs that a task is given, about.
+TASK_ROWS = 4096
+#: So many classes (48 bytes each) may be broadcast.
+BROADCAST_IDS = 200_000
+_ANY_WORD = r"[^\x20\x09-\x0D]"
+_ORDER = np.arange(DRAWS).reshape(BAND, BANDS).T
+_FACTORS = mix(np.arange(DRAWS, dtype=np.uint64) + np.uint64(424243)) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -90,8 +93,16 @@ def _fold(state: np.uint64, value: np.uint64) -> np.uint64:
     return mix(np.array([state], dtype=np.uint64) * np.uint64(7) + value)[0]
 
 
+def _register(value: np.ndarray) -> np.ndarray:
+    """Leading zeros + 1 and the mantissa bits that follow the first one, in 16 bits."""
+    top = np.maximum(value >> np.uint64(11), np.uint64(1)).astype(np.float64)
+    zeros = np.minimum(52 - np.floor(np.log2(top)).astype(np.int64), 40)
+    mantissa = (value << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+    return ((zeros + 1) << MANTISSA | mantissa.astype(np.int64)).astype(np.uint16)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash of a sorted set: per bucket (leading zeros + 1) and mantissa bits; 0 if empty.
+    """Registers by buckets of a sorted set; 0 for an empty bucket.
 
     A hash's top 8 bits choose the bucket and the others are the value, so the first
     hash of a bucket in sorted order is its smallest.
@@ -101,63 +112,64 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(REGISTERS, dtype=np.uint16)
     there = first < len(bucket)
     there[there] = bucket[first[there]] == np.flatnonzero(there)
-    value = (hashes[first[there]] << np.uint64(8)) | np.uint64(255)
-    zeros = 63 - np.floor(np.log2((value >> np.uint64(11)).astype(np.float64))).astype(np.int64) - 11
-    zeros = np.minimum(zeros, 40)
-    mantissa = (value << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out[there] = ((zeros + 1) << MANTISSA | mantissa.astype(np.int64)).astype(np.uint16)
+    out[there] = _register((hashes[first[there]] << np.uint64(8)) | np.uint64(255))
     return out
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A 64-bit key per band for each sketch (row) that is not empty."""
-    at = np.arange(2 * REGISTERS)
-    filled = np.where(np.concatenate((own, own), axis=1) != 0, at, 4 * REGISTERS)
-    lender = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
-    away = lender - at[:REGISTERS]
-    dense = np.take_along_axis(own, lender % REGISTERS, axis=1).astype(np.uint64) | away.astype(np.uint64) << np.uint64(16)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(own), BANDS))
-    for columns in _ORDER.T:
-        key = mix(key * np.uint64(11) + dense[:, columns])
-    return key
+def drawn_registers(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers (a row per set, none of them empty) that each have a hash function of their own."""
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    hashes = np.concatenate(sets)
+    return np.stack([_register(np.minimum.reduceat(hashes * f, at)) for f in _FACTORS], axis=1)
 
 
 def few_shingles(percent: int) -> int:
-    """Sets of so many shingles have bands of minima; a set that links with a larger one has over ``DENSE``."""
+    """Sets of so many shingles have drawn registers; a set that links with a larger one has over ``DENSE``."""
     return DENSE * 100 // max(percent, 1)
 
 
-def small_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit key per band for each set, none of them empty, from independent minima of the whole set."""
-    at = np.cumsum([0, *map(len, sets[:-1])])
-    hashes = np.concatenate(sets)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS + 1), (len(sets), BANDS))
+def _borrowed(own: np.ndarray) -> np.ndarray:
+    """Registers by buckets with each empty one lent by the next that is filled, and how far that is."""
+    at = np.arange(2 * REGISTERS)
+    filled = np.where(np.concatenate((own, own), axis=1) != 0, at, 4 * REGISTERS)
+    lender = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
+    away = lender - at[:REGISTERS]
+    return np.take_along_axis(own, lender % REGISTERS, axis=1).astype(np.uint64) | away.astype(np.uint64) << np.uint64(16)
+
+
+def _keys(values: np.ndarray, kind: int) -> np.ndarray:
+    """A 64-bit key per band of each row of registers."""
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + kind * BANDS), (len(values), BANDS))
     for columns in _ORDER.T:
-        least = np.stack([np.minimum.reduceat(hashes * _FACTORS[c], at) for c in columns], axis=1)
-        key = mix(key * np.uint64(11) + least)
+        key = mix(key * np.uint64(11) + values[:, columns].astype(np.uint64))
     return key
 
 
-def _all_keys(own: np.ndarray, small: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Keys of both kinds of bands, 0 where a set does not have the kind."""
-    return np.concatenate((small, np.where(n[:, None] > DENSE, band_keys(own), np.uint64(0))), axis=1)
+def band_keys(drawn: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Keys of both kinds of bands, 0 where a sketch lacks the kind."""
+    small, big = drawn.any(axis=1), own.any(axis=1)
+    out = np.zeros((len(drawn), 2 * BANDS), dtype=np.uint64)
+    if small.any():
+        out[small, :BANDS] = _keys(drawn[small], 1)
+    if big.any():
+        out[big, BANDS:] = _keys(_borrowed(own[big]), 0)
+    return out
 
 
 def _packed(sets: list[np.ndarray], few: int) -> list[bytes | None]:
-    """Registers and small keys of each set; none for an empty one."""
+    """The sketch of each set: drawn registers, those by buckets, or both; none for an empty set."""
     small = [i for i, s in enumerate(sets) if 0 < len(s) <= few]
-    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    if small:
-        keys[small] = small_keys([sets[i] for i in small])
-    return [registers(s).tobytes() + k.tobytes() if len(s) else None for s, k in zip(sets, keys, strict=True)]
+    drawn = dict(zip(small, drawn_registers([sets[i] for i in small]), strict=True)) if small else {}
+    parts = [(drawn[i].tobytes() if i in drawn else b"") + (registers(s).tobytes() if len(s) > DENSE else b"") for i, s in enumerate(sets)]
+    return [p or None for p in parts]
 
 
-def _sketches(column: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(x[:_WIDTH] for x in column), dtype=np.uint16).reshape(-1, REGISTERS)
-
-
-def _small(column: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(x[_WIDTH:] for x in column), dtype=np.uint64).reshape(-1, BANDS)
+def _sketches(column: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Drawn registers and those by buckets of each sketch, zeros for a kind that it lacks."""
+    no_drawn, no_own = bytes(2 * DRAWS), bytes(2 * REGISTERS)
+    whole = b"".join(x if len(x) > 2 * REGISTERS else x + no_own if len(x) == 2 * DRAWS else no_drawn + x for x in column)
+    both = np.frombuffer(whole, dtype=np.uint16).reshape(-1, DRAWS + REGISTERS)
+    return both[:, :DRAWS], both[:, DRAWS:]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -179,15 +191,24 @@ def _least(filled: np.ndarray, threshold: float) -> np.ndarray:
     return threshold - GATE * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
 
 
+def _near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows of sketches may be alike enough, by sizes and by registers of a kind that both have."""
+    good = np.zeros(len(a[0]), dtype=bool)
+    for x, y in zip(a, b, strict=True):
+        there = x.any(axis=-1) & y.any(axis=-1)
+        good |= there & (estimate(x, y, na, nb) >= _least(((x | y) != 0).sum(axis=-1), threshold))
+    return good & (np.minimum(na, nb) >= threshold * np.maximum(na, nb))
+
+
 def _sketch_batches(size: int, few: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_blocks(batch.column(2)):
+            for first, end, data, offsets in text_blocks(batch.column(3)):
                 sets = shingle_sets(data, offsets, size)
                 part = batch.slice(first, end - first)
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) for s in sets], pa.binary())]
                 columns.append(pa.array(_packed(sets, few), pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["key", "text_hash", "n_shingles", "set_hash", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["key", "h1", "h2", "n_shingles", "set_hash", "sketch"])
 
     return run
 
@@ -203,8 +224,7 @@ def _band_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            packed = part.column(1).to_pylist()
-            keys = _all_keys(_sketches(packed), _small(packed), part.column(2).to_numpy(zero_copy_only=False))
+            keys = band_keys(*_sketches(part.column(1).to_pylist()))
             there = keys != 0
             ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), there.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys[there].view(np.int64), pa.int64())], names=["id", "band"])
@@ -213,22 +233,21 @@ def _band_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _estimate_pairs(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (_sketches(batch.column(i).to_pylist()) for i in (4, 5))
-            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            good = estimate(a, b, na, nb) >= _least(((a | b) != 0).sum(axis=1), threshold)
-            good &= np.minimum(na, nb) >= threshold * np.maximum(na, nb)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                a, b = (_sketches(part.column(i).to_pylist()) for i in (4, 5))
+                na, nb = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(_near(a, b, na, nb, threshold)))
 
     return run
 
 
-def _across(own: np.ndarray, bands: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, key: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+def _across(sketches: tuple[np.ndarray, np.ndarray], ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, key: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each member of a tile pair, the others it may link with.
 
     They are of another component, near by estimate, and share no earlier band with it.
     """
+    bands = band_keys(*sketches)
     here = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
     for i in np.flatnonzero(side == key[1]):
         j = np.arange(i + 1, len(ids)) if key[1] == key[2] else np.flatnonzero(side == key[2])
@@ -236,7 +255,8 @@ def _across(own: np.ndarray, bands: np.ndarray, ids: np.ndarray, component: np.n
         if here and len(j):
             j = j[~((bands[j, :here] == bands[i, :here]) & (bands[i, :here] != 0)).any(axis=1)]
         if len(j):
-            good = estimate(own[j], own[i], n[j], n[i : i + 1]) >= _least(((own[j] | own[i]) != 0).sum(axis=1), threshold)
+            one = tuple(x[i : i + 1] for x in sketches)
+            good = _near(tuple(x[j] for x in sketches), one, n[j], n[i : i + 1], threshold)
             if good.any():
                 yield i, j[good]
 
@@ -248,8 +268,7 @@ def _candidates(threshold: float):
         group = group.sort_values("id").reset_index(drop=True)
         ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
         wanted = np.zeros(len(ids), dtype=bool)
-        own = _sketches(group["sketch"])
-        for i, j in _across(own, _all_keys(own, _small(group["sketch"]), n), ids, component, n, side, key, threshold):
+        for i, j in _across(_sketches(group["sketch"]), ids, component, n, side, key, threshold):
             wanted[i] = True
             wanted[j] = True
         return group.loc[wanted, ["band", "low", "high", "id", "component", "n_shingles", "tile"]]
@@ -264,13 +283,10 @@ def _links_within(threshold: float, percent: int):
         group = group.sort_values("id").reset_index(drop=True)
         ids, component, n, side = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["members"]]
-        packed = _packed(sets, few_shingles(percent))
-        own = _sketches(packed)
-        bands = _all_keys(own, _small(packed), n)
         _, component = np.unique(component, return_inverse=True)
         root = np.arange(component.max() + 1)
         a, b = [], []
-        for i, near in _across(own, bands, ids, component, n, side, key, threshold):
+        for i, near in _across(_sketches(_packed(sets, few_shingles(percent))), ids, component, n, side, key, threshold):
             for j in near:
                 if root[component[i]] == root[component[j]]:
                     continue
@@ -335,48 +351,80 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return held.mapInArrow(_confirm(size, percent, 100), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+#: Rows are told apart by id and two hashes of the text.
+_MARK = ["key", "h1", "h2"]
+#: The first row is found by this; a null id comes after all others.
+_ORDERED = "struct(key is null as nil, key, h1, h2)"
 
-    Rows link if 100 * |A and B| >= ``percent`` * |A or B|; ``component_id`` is the
-    smallest id that a row reaches, itself included, and ``kept`` marks that one.
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), text.alias("text"))
+
+
+def _same_row(a: str, b: str):
+    """Null ids count as equal."""
+    return F.expr(f"{a}.key <=> {b}.key and {a}.h1 = {b}.h1 and {a}.h2 = {b}.h2")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (key, h1, h2, n_shingles, set_hash), and (n_shingles, set_hash, component, row) of each class.
+
+    ``row`` is the first row of the class by id and hashes.
     """
     threshold = percent / 100
-    bound_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    sketched = cut(source.mapInArrow(_sketch_batches(shingle, few_shingles(percent)), "key long, text_hash long, n_shingles long, set_hash binary, sketch binary"))
-    # One class per distinct set, represented by one of its rows and named by that row's text.
-    mark = F.struct("text_hash", F.coalesce("key", F.lit(_NO_KEY)).alias("key")).alias("mark")
-    classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("key").alias("least_key"), F.min(F.struct(mark, "sketch")).alias("row"))
-    classes = cut(classes.select("n_shingles", "set_hash", "least_key", F.col("row.mark.text_hash").alias("id"), F.col("row.mark.key").alias("row_key"), "row.sketch"))
-    members = classes.select("id", "n_shingles", "sketch")
-
-    banded = members.select("id", "sketch", "n_shingles").mapInArrow(_band_batches, "id long, band long")
+    source = _marked(docs, id_col, text_col)
+    sketched = cut(source.mapInArrow(_sketch_batches(shingle, few_shingles(percent)), "key long, h1 long, h2 long, n_shingles long, set_hash binary, sketch binary"))
+    first = F.min(F.struct(F.expr(_ORDERED).alias("mark"), "sketch")).alias("row")
+    classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(first)
+    # The number is fixed by the table that is written here.
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "n_shingles", "set_hash", F.col("row.mark").alias("row"), "row.sketch"))
+
+    banded = classes.select("id", "sketch").mapInArrow(_band_batches, "id long, band long")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = cut(banded.join(shared, "band"))
     # From here on only classes that share a band with another are moved.
-    members = cut(members.join(banded.select("id").distinct(), "id", "left_semi"))
+    members = cut(classes.select("id", "n_shingles", "sketch").join(banded.select("id").distinct(), "id", "left_semi"))
     label = None
     for turn in range(TURNS):
         known = _labelled(banded, label)
         if turn and not _crowded(known):
             break
         near = cut(_close(_to_hubs(known, turn), members, threshold))
-        found = cut(_links(near, _wanted(source, classes, _ends(near)), shingle, percent))
-        label = components(_with_known(found, label))
+        texts = cut(_wanted(source, classes, _ends(near)))
+        links = cut(_links(near, texts, shingle, percent))
+        drop(near, texts)
+        before, label = label, components(_with_known(links, label))
+        drop(links, before)
 
     known = _labelled(banded.where("members > 2"), label)
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    tiles = _tiled(known.join(mixed, "band").join(members, "id")).groupBy("band", "low", "high")
-    asked = cut(tiles.applyInPandas(_candidates(threshold), "band long, low int, high int, id long, component long, n_shingles long, tile int"))
+    open_ = cut(known.join(mixed, "band").join(members, "id"))
+    tiles = _tiled(open_)
+    size = tiles.select("id").count()
+    # Dealt by rows: a tile pair costs far more time than its bytes tell.
+    asked = tiles.repartition(1 + size // TASK_ROWS, "band", "low", "high").groupBy("band", "low", "high").applyInPandas(_candidates(threshold), "band long, low int, high int, id long, component long, n_shingles long, tile int")
+    asked = cut(asked)
+    drop(open_, members, banded)
     sets = _wanted(source, classes, asked.select("id").distinct()).select("id", "text").mapInArrow(_set_batches(shingle), "id long, members binary")
-    more = asked.join(sets, "id").groupBy("band", "low", "high").applyInPandas(_links_within(threshold, percent), "a long, b long")
-    label = components(_with_known(more, label)).withColumnRenamed("node", "id")
+    more = cut(asked.join(sets, "id").groupBy("band", "low", "high").applyInPandas(_links_within(threshold, percent), "a long, b long"))
+    closed = components(_with_known(more, label)).withColumnRenamed("node", "id")
+    reached = cut(classes.select("id", "n_shingles", "set_hash", "row").join(closed, "id", "left").select("n_shingles", "set_hash", "row", F.coalesce("component", "id").alias("component")))
+    drop(asked, more, label, closed, classes)
+    return sketched.drop("sketch"), reached
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
-    reached = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = reached.groupBy("component").agg(F.min("least_key").alias("component_id"))
+    Rows link if 100 * |A and B| >= ``percent`` * |A or B|; ``component_id`` is the
+    smallest id that a row reaches, itself included, and ``kept`` marks that one.
+    """
+    with settings(docs.sparkSession, small_batches(docs.sparkSession)):
+        rows, reached = _grouped(docs, id_col, text_col, shingle, percent)
+    least = reached.groupBy("component").agg(F.min("row.key").alias("component_id"))
     reached = reached.join(least, "component").select("n_shingles", "set_hash", "component_id")
-    out = sketched.select("key", "n_shingles", "set_hash").join(reached, ["n_shingles", "set_hash"], "left")
+    out = rows.select("key", "n_shingles", "set_hash").join(reached, ["n_shingles", "set_hash"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
@@ -416,8 +464,8 @@ def _crowded(known: DataFrame) -> bool:
 
 def _close(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimate is near enough to the threshold."""
-    a = members.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.substring("sketch", 1, _WIDTH).alias("sa"))
-    b = members.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.substring("sketch", 1, _WIDTH).alias("sb"))
+    a = members.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    b = members.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     held = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
     return held.mapInArrow(_estimate_pairs(threshold), "a long, b long")
 
@@ -427,16 +475,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _wanted(source: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the classes with these ids, one row for each.
+    """(id, text) of the first row of each class with one of these ids.
 
-    The ids are broadcast while they are at most ``BROADCAST_IDS``, which saves a shuffle
+    The rows are broadcast while they are at most ``BROADCAST_IDS``, which saves a shuffle
     of all texts; beyond that both sides are shuffled.
     """
-    rows = cut(classes.join(ids, "id", "left_semi").select("id", "row_key"))
+    rows = cut(classes.select("id", "row.key", "row.h1", "row.h2").join(ids, "id", "left_semi"))
     if rows.count() <= BROADCAST_IDS:
         rows = F.broadcast(rows)
-    texts = source.select(F.col("text_hash").alias("id"), F.coalesce("key", F.lit(_NO_KEY)).alias("row_key"), "text")
-    return texts.join(rows, ["id", "row_key"], "left_semi").dropDuplicates(["id"])
+    # A row that is repeated matches as often as it occurs.
+    return source.alias("s").join(rows.alias("r"), _same_row("s", "r")).select("r.id", "s.text").dropDuplicates(["id"])
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -447,13 +495,17 @@ def _tiled(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that represent their group: those without duplicates and the smallest id of each group.
+    """One row of each group, in the columns of ``docs``: its first by id (null last) and hashes of the text.
 
-    A row that repeats in id and text stays once; rows with a null id all stay.
+    A row that repeats in id and text stays once.  Rows without words are groups of their
+    own and all stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    out = found.where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(out, docs[id_col].cast("long") == out["__kept"], "left_semi")
-    first = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    kept = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    with settings(docs.sparkSession, small_batches(docs.sparkSession)):
+        _, reached = _grouped(docs, id_col, text_col, shingle, percent)
+    first = reached.groupBy("component").agg(F.min("row").alias("row")).select("row.key", "row.h1", "row.h2")
+    own = [F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit("second"), F.col(text_col)).alias("h2")]
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *own)
+    held = whole.alias("s").join(first.alias("m"), _same_row("s", "m"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*_MARK).orderBy(F.lit(1)))
+    kept = held.withColumn("nth", nth).where("nth = 1").select("__row.*")
+    return kept.unionByName(docs.where(F.coalesce(~F.col(text_col).rlike(_ANY_WORD), F.lit(True))))

@@ -272,9 +272,12 @@ def test_small_near_copies_share_a_band():
     for union, shared in ((5, 4), (7, 6), (10, 8), (20, 16), (40, 34), (60, 51), (200, 160)):
         hashes = rng.integers(0, 1 << 64, (2000, union), dtype=np.uint64)
         half = shared + (union - shared) // 2
-        a = [np.sort(h[:half]) for h in hashes]
-        b = [np.sort(np.concatenate((h[:shared], h[half:]))) for h in hashes]
-        assert (near_dedup.small_keys(a) == near_dedup.small_keys(b)).any(axis=1).all(), union
+        a = near_dedup.drawn_registers([np.sort(h[:half]) for h in hashes])
+        b = near_dedup.drawn_registers([np.sort(np.concatenate((h[:shared], h[half:]))) for h in hashes])
+        keys = [near_dedup.band_keys(x, np.zeros((len(x), near_dedup.REGISTERS), np.uint16)) for x in (a, b)]
+        assert ((keys[0] == keys[1]) & (keys[0] != 0)).any(axis=1).all(), union
+        n = np.full(2000, half)
+        assert abs(near_dedup.estimate(a, b, n, n).mean() - shared / union) < 0.01
 
 
 def test_pairs_across_the_sizes_share_a_kind_of_bands():
@@ -283,22 +286,59 @@ def test_pairs_across_the_sizes_share_a_kind_of_bands():
     for n in (near_dedup.DENSE - 5, near_dedup.DENSE + 1, few - 50, few):
         big = np.sort(rng.integers(0, 1 << 64, n * 100 // 85, dtype=np.uint64))
         sets = [big, np.sort(rng.permutation(big)[:n])]
-        packed = near_dedup._packed(sets, few)
-        keys = near_dedup._all_keys(near_dedup._sketches(packed), near_dedup._small(packed), np.array([len(s) for s in sets]))
+        drawn, own = near_dedup._sketches(near_dedup._packed(sets, few))
+        keys = near_dedup.band_keys(drawn, own)
         assert ((keys[0] == keys[1]) & (keys[0] != 0)).any(), n
+        assert near_dedup._near((drawn[:1], own[:1]), (drawn[1:], own[1:]), np.array([len(big)]), np.array([n]), 0.8).all()
 
 
-def test_planted_short_pairs(spark):
-    """300 pairs of 5 to 60 shingles, each with one word changed at an end: all link and no others do."""
-    rows, words_of, draw = [], [f"w{i}" for i in range(5000)], random.Random(13)
-    for k in range(300):
-        own = [draw.choice(words_of) for _ in range(draw.randrange(9, 63))]
-        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], "changed"]))]
+@pytest.mark.parametrize(("one", "other", "shared"), [(7, 6, 6), (13, 13, 12), (14, 12, 12), (21, 18, 18), (41, 35, 35)])
+def test_planted_pairs_at_the_threshold(spark, one, other, shared):
+    """250 pairs of short texts at 85 of 100 or little more: every one links."""
+    rows = []
+    for k in range(250):
+        own = [f"p{k}w{i}" for i in range(one + 2)]
+        near = own[: other + 2] if other < one else [*own[:-1], f"p{k}end"]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
-    want = {i: i - i % 2 if 100 * len(sets[i] & sets[i ^ 1]) >= 75 * len(sets[i] | sets[i ^ 1]) else i for i in sets}
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, shingle=3, percent=75).collect()}
-    assert got == want
+    got = near_dedup.near_duplicates(table, shingle=3, percent=85).collect()
+    linked = 100 * shared >= 85 * (one + other - shared)
+    assert all(r["component_id"] == (r["doc_id"] - r["doc_id"] % 2 if linked else r["doc_id"]) for r in got)
+
+
+def test_short_texts_equal_brute_force(spark):
+    """1,000 short texts of a small vocabulary, edited from each other: components equal those of all pairs."""
+    draw, texts = random.Random(17), []
+    for _ in range(1000):
+        if texts and draw.random() < 0.6:
+            own = draw.choice(texts).split()
+            own[draw.randrange(len(own))] = draw.choice(WORDS)
+        else:
+            own = [draw.choice(WORDS) for _ in range(draw.randrange(3, 45))]
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, shingle=3, percent=85).collect()}
+    assert [got[i] for i in range(len(sets))] == group
+
+
+def test_null_and_repeated_ids_in_groups(spark):
+    """One row of each group stays whatever its ids; rows without words are groups of their own."""
+    other = prose(80)
+    rows = [(None, BASE), (None, BASE), (7, EDITED), (7, BASE), (7, BASE), (None, other), (None, other), (3, ""), (3, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, h1 string")
+    kept = near_dedup.keep_one(table)
+    assert kept.columns == table.columns
+    left = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert left.pop((7, BASE), 0) + left.pop((7, EDITED), 0) == 1 and left == {(None, other): 1, (3, ""): 2, (None, None): 1}
+    got = near_dedup.near_duplicates(table).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(None, 7), (7, 7), (None, None), (3, 3)}
 
 
 @pytest.mark.parametrize("percent", [80, 85])
