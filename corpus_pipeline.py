@@ -2,7 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``.  Between stages the rows are written as Parquet to the
-shared folder and read again, so a lost executor never costs more than one stage.
+shared folder and read again, so a lost executor never costs more than one stage.  What a
+stage wrote on its way goes when its result stands, and that when the next one's does.
+
+Null, empty and wordless texts pass every stage (the toxicity score of a text without words
+is the bias's) until mixing, where they weigh nothing and are taken like others of their
+source at its rate; they encode to no ids.  Null ids pass too.  Rows that repeat in id and
+text are copies of which one stays.  A null source is a source of its own.  Empty tables
+give no rows, and without labels no text is rejected unless all would be (every score 0.5);
+then the stage keeps all.  Other columns of ``documents`` are not read.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.lineage import shared_folder
+from skeingraph.lineage import delete, released, shared_folder
 from skeingraph.llm import bpe, mixing, near_dedup, secret_scan, toxicity
 from skeingraph.llm.queries import DOCUMENTS, PATTERN, RANKS, learned_labels
 
@@ -20,7 +28,7 @@ from skeingraph.llm.queries import DOCUMENTS, PATTERN, RANKS, learned_labels
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     weights = toxicity.train(toxicity.bounded_sample(learned_labels(spark, sf_dir), docs))
-    return toxicity.reject(docs, weights)
+    return toxicity.reject(docs, weights) if len(weights.index) else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +64,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.schema(DOCUMENTS).parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
