@@ -3,25 +3,30 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else, in
 the same document or another.  All strings are judged on the input.
 
-1. Each window of ``length`` bytes is assigned to its minimiser: the leftmost of its
-   32-byte substrings with the smallest hash.  Equal windows have equal minimisers, so
-   windows that could repeat share an anchor, and the windows of one anchor in a text
-   are neighbours: they form a segment.  One row per segment is shuffled, some 1.2 for
-   each 100 bytes.
-2. Segments of anchors that occur once are unique.  Segments whose whole content occurs
-   twice repeat in all their windows.  What is left, distinct contents around a shared
-   anchor, is decided by suffix arrays: the contents that share an anchor meet in one
-   task, their suffixes are sorted, and a window repeats if its neighbour in the array
-   has a common prefix of ``length`` bytes or more.
-3. Sorting is in two stages: only suffixes smaller than their successors are sorted
+1. The smallest hash of the 32-byte substrings of a window of ``length`` bytes is its
+   anchor.  Equal windows have equal anchors, and neighbouring windows of one anchor form a
+   segment (of at most 4096 windows), so a run of one byte is a few segments and not one
+   for each byte.  Segments are written once, some 1.2 for each 100 bytes.
+2. Segments of one content (anchor, 64 bits of hash, length) are counted, combined batch by
+   batch before the shuffle.  Contents whose anchor occurs at one place only are unique.  Of all others
+   the bytes are cut out of the texts, of a content that occurs twice or more at two places.
+3. The contents that share an anchor meet in one task, and their suffixes are sorted.  A
+   window repeats if its neighbour in the array has a common prefix of ``length`` bytes or
+   more; the bytes are compared.  What holds for a content holds wherever it occurs.
+4. Sorting is in two stages: only suffixes smaller than their successors are sorted
    directly (to the depth that matters); the others are induced from them by one scan
    over the buckets of first bytes.
-4. Anchors with very many distinct contents are not gathered in a task: their windows
-   are counted by content, which is exact and combines before the shuffle.
+5. An anchor of very many distinct contents is dealt to several tasks: its windows are cut
+   by how far from their start the anchor lies, and windows of one range share the bytes
+   around the anchor, which are their new anchor.  Ranges shrink until no task has too many;
+   the last hold windows that are equal, so it ends.  The suffix arrays of the parts decide.
+
+Wrong unions need two contents of one anchor that agree in 64 bits of hash and in length:
+for an anchor with 10^6 contents a chance of 3e-8.  Documents are told apart by 96 bits.
 
 Null and empty texts, and texts shorter than ``length``, lose nothing.  Rows that repeat
 are separate documents, so all their strings start elsewhere too.  Null ids stay null.
-An empty table gives no rows.
+Other columns of the input are not looked at.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,37 +36,45 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import RollingHash, mix, text_blocks
+from ..lineage import cut, drop, settings
+from ._arrays import RollingHash, batch_text, mix, small_batches, text_blocks
 
-#: Bytes of an anchor; bytes of contents sorted at once; distinct contents of an anchor that one task may gather.
-ANCHOR, CHUNK_BYTES, GATHERED = 32, 4 << 20, 20_000
+#: Bytes of an anchor, windows of a segment, bytes of contents sorted at once.
+ANCHOR, LONGEST, CHUNK_BYTES = 32, 4096, 4 << 20
+#: Distinct contents of an anchor beyond which it is dealt to several tasks, and the ranges that it is cut to in turn.
+CROWD, RANGES = 20_000, (43, 11, 3, 1)
+#: A content with more occurrences than this, and than a ten-thousandth of all segments, is matched by broadcast.
+OFTEN = 1000
 _SEPARATOR = 255
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Per segment of a block: row, start in the row, windows, anchor hash, content hash."""
+    """Per segment of a block: row, start in the row, windows, anchor, content hash."""
     gram = min(ANCHOR, length)
-    span = length - gram + 1
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    rolling = RollingHash(data, seed=5)
     at = np.arange(len(data) - gram + 1)
-    hashes = mix(rolling.ranges(at, at + gram))
-    anchor = (_sliding_min((hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), span) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor = _sliding_min(mix(RollingHash(data, seed=5).ranges(at, at + gram)), length - gram + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     place = np.flatnonzero(np.arange(n) + length <= offsets[row + 1])
     if not len(place):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     anchor = anchor[place]
-    opens = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(anchor) != 0))))
+    change = np.concatenate(([True], (np.diff(place) != 1) | (anchor[1:] != anchor[:-1])))
+    since = np.arange(len(place)) - np.maximum.accumulate(np.where(change, np.arange(len(place)), 0))
+    opens = np.flatnonzero(since % LONGEST == 0)
     start, windows = place[opens], np.diff(np.append(opens, len(place)))
-    content = mix(RollingHash(data, seed=6).ranges(start, start + windows + length - 1) + windows.astype(np.uint64) * np.uint64(31))
-    return row[start], start - offsets[row[start]], windows, hashes[anchor[opens]], content
+    return row[start], start - offsets[row[start]], windows, anchor[opens], _names(data, start, windows + length - 1, 6)
+
+
+def _names(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    return mix(RollingHash(data, seed=seed).ranges(start, start + size) + size.astype(np.uint64) * np.uint64(31))
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,14 +97,27 @@ def _words(data: np.ndarray, depth: int) -> np.ndarray:
     return (out[:-4] << np.uint64(32)) | out[4:]
 
 
-def _sorted_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """``places`` by the first ``depth`` bytes of their suffixes, eight bytes at a time."""
+def _sorted_directly(places: np.ndarray, data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` by the first ``depth`` bytes of their suffixes, eight bytes at a time.
+
+    Suffixes that still tie and are equal to the whole depth by their hashes need no order
+    among them and are left as they are.
+    """
     order = places[np.argsort(words[places], kind="stable")]
+    if not len(order):
+        return order
     key = words[order]
-    group = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(order)), 0)) if len(order) else order
+    group = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(order)), 0))
+    whole = None
     for done in range(8, depth, 8):
-        size = np.bincount(group, minlength=len(order) + 1)
-        tied = np.flatnonzero(size[group] > 1)
+        tied = np.flatnonzero(np.bincount(group, minlength=len(order))[group] > 1)
+        if done & (done - 1) == 0 and len(tied):
+            if whole is None:
+                whole = RollingHash(data, seed=8).ranges(np.arange(len(data)), np.minimum(np.arange(len(data)) + depth, len(data)))
+            first = np.flatnonzero(np.concatenate(([True], group[tied][1:] != group[tied][:-1])))
+            now = whole[order[tied]]
+            size = np.diff(np.append(first, len(tied)))
+            tied = tied[np.repeat(np.minimum.reduceat(now, first) != np.maximum.reduceat(now, first), size)]
         if not len(tied):
             break
         key = words[order[tied] + done]
@@ -113,7 +139,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     step[-1] = -1  # the empty suffix is smaller than the last
     decides = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
     rises = step[decides] > 0
-    direct = _sorted_directly(np.flatnonzero(rises), _words(data, depth), depth)
+    direct = _sorted_directly(np.flatnonzero(rises), data, _words(data, depth), depth)
     first = data[direct]
     cuts = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -146,8 +172,7 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int) -> np.nda
     order = suffix_array(data, length)
     words = _words(data, length)
     order = order[valid[order]]
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
-    active = np.flatnonzero(same)
+    active = np.arange(max(0, len(order) - 1))
     for done in [*range(0, length - 7, 8), max(0, length - 8)]:
         a, b = words[order[active] + done], words[order[active + 1] + done]
         if length < 8:
@@ -159,179 +184,238 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int) -> np.nda
     return marked
 
 
-_SEGMENT = "anchor long, content long, key long, start int, windows int"
+_SEGMENT = "anchor long, content long, windows int, key long, key2 int, start int, n long"
 
 
-def _emit_segments(length: int, counted: bool):
-    """Segments of each document, or (``counted``) how often each occurs in a batch."""
+def _emit_segments(length: int):
+    """Segments of each document; of a content in a batch, two occurrences stand for all (``n``) and the others have 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for first, end, data, offsets in text_blocks(batch.column(1)):
+            for first, end, data, offsets in text_blocks(batch.column(2)):
                 row, start, windows, anchor, content = segments(data, offsets, length)
-                if counted:
-                    held.append(np.stack((anchor, content)))
-                    continue
-                key = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)[row]
-                columns = (anchor.view(np.int64), content.view(np.int64), key, start.astype(np.int32), windows.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "key", "start", "windows"])
-            if held:
-                both = np.concatenate(held, axis=1)
-                both = both[:, np.lexsort(both)]
-                new = np.flatnonzero(np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0)))) if both.shape[1] else np.zeros(0, np.int64)
-                count = np.diff(np.append(new, both.shape[1]))
-                columns = (both[0, new].view(np.int64), both[1, new].view(np.int64), count.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "n"])
+                held.append((anchor, content, windows, row + first, start))
+            if not held:
+                continue
+            anchor, content, windows, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((content, anchor))
+            anchor, content, windows, row, start = (x[by] for x in (anchor, content, windows, row, start))
+            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))[: len(anchor)]
+            opens = np.flatnonzero(new)
+            size = np.diff(np.append(opens, len(anchor)))
+            n = np.zeros(len(anchor), dtype=np.int64)
+            n[opens] = np.maximum(size - 1, 1)
+            n[opens[size > 1] + 1] = 1
+            keys = [batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1)]
+            columns = (anchor.view(np.int64), content.view(np.int64), windows.astype(np.int32), *keys, start.astype(np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "windows", "key", "key2", "start", "n"])
 
     return run
 
 
-def _cut_out(length: int, hot: bool):
-    """Contents of the segments that a document was asked for; if ``hot``, their windows one by one."""
+_PIECE = "bucket long, id long, rep int, windows int, bytes binary"
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The ranges of ``data`` as binary values."""
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    index = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[index])])
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each struct in a column of lists, and the structs' fields."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.flatten()
+    return row, {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
+def _cut_out(length: int):
+    """Contents of the segments that a document was asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                anchor, keys, start, windows, known, held = [], [], [], [], [], []
-                for key, text, asked in zip(*(part.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                    raw = (text or "").encode()
-                    for x in asked:
-                        anchor.append(x["anchor"])
-                        keys.append(key)
-                        start.append(x["start"])
-                        windows.append(x["windows"])
-                        known.append(x["known"])
-                        held.append(raw[x["start"] : x["start"] + x["windows"] + length - 1])
-                if hot:
-                    yield _window_rows(keys, start, windows, known, held, length)
-                else:
-                    columns = [pa.array(anchor, pa.int64()), pa.array(keys, pa.int64()), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(known, pa.bool_()), pa.array(held, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "start", "windows", "known", "bytes"])
+            for first, end, data, offsets in text_blocks(batch.column(0)):
+                row, x = _listed(batch.column(1).slice(first, end - first))
+                held = _gather(data, offsets[row] + x["start"], x["windows"].astype(np.int64) + length - 1)
+                columns = [pa.array(x["bucket"], pa.int64()), pa.array(x["id"], pa.int64()), pa.array(x["rep"], pa.int32()), pa.array(x["windows"], pa.int32()), held]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "rep", "windows", "bytes"])
 
     return run
 
 
-def _window_rows(keys: list, start: list, windows: list, known: list, held: list[bytes], length: int) -> pa.RecordBatch:
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
-    for key, s, n, k, raw in zip(keys, start, windows, known, held, strict=True):
+def _split(length: int, width: int):
+    """Pieces cut by the distance of the anchor from a window's start, with the bytes that all windows of a piece share around it as their bucket."""
+    gram = min(ANCHOR, length)
+
+    def pieces(bucket: int, id_: int, windows: int, raw: bytes) -> Iterator[tuple]:
         data = np.frombuffer(raw, dtype=np.uint8)
-        at = np.arange(n)
-        for out, value in zip(columns, (mix(RollingHash(data, seed=8).ranges(at, at + length)).view(np.int64), mix(RollingHash(data, seed=9).ranges(at, at + length)).view(np.int64), np.full(n, key), at + s, np.full(n, k)), strict=True):
-            out.append(value)
-    types = (np.int64, np.int64, np.int64, np.int32, bool)
-    done = [pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(columns, types, strict=True)]
-    return pa.RecordBatch.from_arrays(done, names=["one", "two", "key", "start", "known"])
+        hashes = mix(RollingHash(data, seed=5).ranges(np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1)))
+        at = np.arange(windows)
+        least = _sliding_min(hashes, length - gram + 1)[0]
+        places = np.flatnonzero(hashes == least)
+        anchor = places[np.searchsorted(places, at)]
+        part = (anchor - at) // width
+        opens = np.flatnonzero(np.concatenate(([True], (np.diff(part) != 0) | (np.diff(anchor) != 0))))
+        size = np.diff(np.append(opens, windows)) + length - 1
+        # Windows of a part reach from the least distance before the anchor to the greatest behind it.
+        low, high = part[opens] * width, np.minimum(part[opens] * width + width - 1, length - gram)
+        around = RollingHash(data, seed=7).ranges(np.maximum(anchor[opens] - low, 0), np.minimum(anchor[opens] - high + length, len(data)))
+        to = mix(around + np.uint64(bucket % (1 << 64)) * np.uint64(5) + part[opens].astype(np.uint64))
+        one, two = _names(data, opens, size, 6), _names(data, opens, size, 9)
+        for i, start in enumerate(opens):
+            yield int(to[i].view(np.int64)), int(one[i].view(np.int64)), int(two[i].view(np.int64)), id_, int(start), int(size[i]) - length + 1, raw[start : start + size[i]]
+
+    schema = pa.schema([("bucket", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("owner", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = [p for row in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1, 3, 4)), strict=True) for p in pieces(*row)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+_FINE = "bucket long, one long, two long, owner long, at int, windows int, bytes binary"
+_SPAN = "id long, at int, windows int"
 
 
 def _sort_contents(length: int):
-    """Repeated windows of contents that come grouped by anchor, some anchors at a time."""
-
-    def spans(rows: list[tuple]) -> pa.RecordBatch:
-        size = np.fromiter((len(r[4]) + 1 for r in rows), dtype=np.int64, count=len(rows))
-        from_ = np.concatenate(([0], np.cumsum(size)))
-        data = np.full(from_[-1], _SEPARATOR, dtype=np.uint8)
-        valid = np.zeros(from_[-1], dtype=bool)
-        for a, row in zip(from_, rows, strict=False):
-            data[a : a + len(row[4])] = np.frombuffer(row[4], dtype=np.uint8)
-            valid[a : a + row[2]] = True
-        marked = repeated_windows(data, valid, length)
+    """Repeated windows of pieces that come grouped by bucket, some buckets at a time."""
+
+    def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda name: table.column(name).chunk(0)
+        raw, offsets = batch_text(column("bytes").cast(pa.large_binary()).view(pa.large_string()))
+        size, windows = np.diff(offsets), column("windows").to_numpy()
+        from_ = offsets[:-1] + np.arange(len(size))
+        data = np.full(len(raw) + len(size), _SEPARATOR, dtype=np.uint8)
+        data[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
+        valid = np.zeros(len(data) + 1, dtype=np.int8)
+        valid[from_] += 1
+        valid[from_ + windows] -= 1
+        marked = repeated_windows(data, np.cumsum(valid[:-1]) > 0, length)
         edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
         opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         owner = np.searchsorted(from_, opens, side="right") - 1
-        open_ = np.array([not r[3] for r in rows], dtype=bool)[owner] if len(owner) else np.zeros(0, bool)
-        opens, closes, owner = opens[open_], closes[open_], owner[open_]
-        key = np.array([r[0] for r in rows], dtype=np.int64)[owner]
-        start = np.array([r[1] for r in rows], dtype=np.int64)[owner] + opens - from_[owner]
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start.astype(np.int32)), pa.array((closes - opens).astype(np.int32))], names=["key", "start", "windows"])
+        told = column("rep").to_numpy()[owner] == 0
+        opens, closes, owner = opens[told], closes[told], owner[told]
+        columns = [pa.array(column("id").to_numpy()[owner]), pa.array((opens - from_[owner]).astype(np.int32)), pa.array((closes - opens).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "at", "windows"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        parts: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size > CHUNK_BYTES:
-                    yield spans(rows)
-                    rows, size = [], 0
-                rows.append(tuple(row))
-                size += len(row[4])
-                last = anchor
-        if rows:
-            yield spans(rows)
+            bucket = batch.column(0).to_numpy()
+            lengths = pa.compute.binary_length(batch.column(4)).to_numpy()
+            changes = np.flatnonzero(np.concatenate(([len(bucket) > 0 and bucket[0] != last], bucket[1:] != bucket[:-1])))
+            from_ = 0
+            for at in changes:
+                before = int(lengths[from_:at].sum())
+                if size + before > CHUNK_BYTES:
+                    if at > from_:
+                        parts.append(batch.slice(from_, at - from_))
+                    yield spans(parts)
+                    parts, size, from_ = [], 0, at
+            if from_ < batch.num_rows:
+                parts.append(batch.slice(from_))
+                size += int(lengths[from_:].sum())
+                last = bucket[-1]
+        if parts:
+            yield spans(parts)
 
     return run
 
 
-_SPAN = "key long, start int, windows int"
-
-
-def repeated_spans(source: DataFrame, length: int, gathered: int = GATHERED) -> DataFrame:
-    """(key, start, windows): runs of repeated windows in the texts of ``source`` (key, id, text)."""
-    columns = source.select("key", "text")
-    rows = columns.mapInArrow(_emit_segments(length, False), _SEGMENT)
-    # Batches are counted before the shuffle, so a content that many texts share moves once for each batch.
-    counts = columns.mapInArrow(_emit_segments(length, True), "anchor long, content long, n long")
+def _marks(pieces: DataFrame, length: int, crowd: int, ranges: tuple[int, ...]) -> DataFrame:
+    """(id, at, windows): runs of repeated windows in each content; crowded buckets are split and decided by their parts."""
+    crowded = pieces.where("rep = 0").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bucket")
+    crowded = cut(crowded)
+    if not ranges or crowded.isEmpty():
+        return cut(pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_contents(length), _SPAN))
+    some = pieces.join(crowded, "bucket", "left_anti").select(*pieces.columns)
+    found = cut(some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_contents(length), _SPAN))
+    # A content's second copy is found by its parts' names.
+    fine = cut(pieces.join(crowded, "bucket", "left_semi").select(*pieces.columns).mapInArrow(_split(length, ranges[0]), _FINE))
+    name = ["bucket", "one", "two", "windows"]
+    nth = F.row_number().over(Window.partitionBy(*name).orderBy("owner", "at"))
+    two = fine.withColumn("nth", nth).where("nth <= 2")
+    names = cut(fine.select(*name).distinct().withColumn("id", F.monotonically_increasing_id()))
+    parts = cut(two.join(names, name).select("bucket", "id", (F.col("nth") - 1).cast("int").alias("rep"), "windows", "bytes"))
+    below = _marks(parts, length, crowd, ranges[1:])
+    whose = fine.select(*name, "owner", F.col("at").alias("from")).join(names, name).select("id", "owner", "from")
+    spread = below.join(whose, "id").select(F.col("owner").alias("id"), (F.col("from") + F.col("at")).cast("int").alias("at"), "windows").distinct()
+    out = cut(found.unionByName(spread))
+    drop(found, fine, names, parts, below)
+    return out
+
+
+def repeated_spans(source: DataFrame, length: int, crowd: int = CROWD) -> DataFrame:
+    """(key, key2, start, windows): runs of repeated windows in the texts of ``source`` (key, key2, id, text)."""
+    found = cut(source.select("key", "key2", "text").mapInArrow(_emit_segments(length), _SEGMENT))
+    content = ["anchor", "content", "windows"]
+    place = ["key", "key2", "start"]
     # Dealt by anchor alone: contents and anchors are both summed on the one exchange.
-    contents = counts.repartition("anchor").groupBy("anchor", "content").agg(F.sum("n").alias("n"))
-    of_anchor = Window.partitionBy("anchor")
-    repeated = contents.withColumns({"distinct": F.count(F.lit(1)).over(of_anchor), "total": F.sum("n").over(of_anchor)}).where("total > 1").drop("total")
-    found = rows.join(repeated, ["anchor", "content"])
-    sure = found.where("n > 1").select("key", "start", "windows")
-    single = found.where("distinct > 1 and n = 1").select("anchor", "distinct", "key", "start", "windows", F.lit(False).alias("known"))
-    shared = found.where("distinct > 1 and n > 1").groupBy("anchor", "content", "distinct").agg(F.min(F.struct("key", "start", "windows")).alias("row"))
-    shared = shared.select("anchor", "distinct", "row.key", "row.start", "row.windows", F.lit(True).alias("known"))
-    asked = single.unionByName(shared)
-
-    def cut_out(wanted: DataFrame, hot: bool, schema: str) -> DataFrame:
-        lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows", "known")).alias("asked"))
-        return source.join(lists, "key").select("key", "id", "text", "asked").mapInArrow(_cut_out(length, hot), schema)
-
-    held = cut_out(asked.where(F.col("distinct") <= gathered), False, "anchor long, key long, start int, windows int, known boolean, bytes binary")
-    sorted_ = held.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_contents(length), _SPAN)
-    spans = sure.unionByName(sorted_)
-    windows = cut_out(asked.where(F.col("distinct") > gathered), True, "one long, two long, key long, start int, known boolean")
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    counted = windows.where("not known").join(twice, ["one", "two"]).select("key", "start", F.lit(1).alias("windows"))
-    return spans.unionByName(counted)
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False, gathered: int = GATHERED) -> DataFrame:
+    ends = [f(c).alias(f"{n}_{c}") for n, f in (("first", F.first), ("last", F.last)) for c in place]
+    contents = found.where("n > 0").repartition("anchor").groupBy(*content).agg(F.sum("n").alias("n"), *ends)
+    total = F.sum("n").over(Window.partitionBy("anchor"))
+    # The number of a content is fixed by the table that is written here.
+    # More windows than one place of an anchor can serve mean that the anchor recurs inside the segment.
+    contents = cut(contents.withColumn("total", total).where(f"total > 1 or windows > {length - min(ANCHOR, length) + 1}").drop("total").withColumn("id", F.monotonically_increasing_id()))
+    asked = [contents.where(f"n > {k}").select(F.col("anchor").alias("bucket"), "id", F.lit(k).alias("rep"), "windows", *[F.col(f"{n}_{c}").alias(c) for c in place]) for k, n in enumerate(("first", "last"))]
+    lists = asked[0].unionByName(asked[1]).groupBy("key", "key2").agg(F.collect_list(F.struct("bucket", "id", "rep", "start", "windows")).alias("asked"))
+    # Rows that repeat in id and text have one key, and one of them is cut.
+    held = source.join(lists, ["key", "key2"]).select("text", "asked", F.row_number().over(Window.partitionBy("key", "key2").orderBy(F.lit(1))).alias("nth")).where("nth = 1")
+    pieces = cut(held.select("text", "asked").mapInArrow(_cut_out(length), _PIECE))
+    marks = _marks(pieces, length, crowd, RANGES)
+    drop(pieces)
+    told = contents.join(marks.withColumnRenamed("windows", "run"), "id")
+    once = told.where("n = 1").select("first_key", "first_key2", (F.col("first_start") + F.col("at")).alias("start"), "run").toDF("key", "key2", "start", "windows")
+    many = cut(told.where("n > 1").select(*content, "n", "at", "run"))
+    # Contents that occur often are at most 10,000, so they may be broadcast; no other key of the join has more rows than they.
+    bound = F.greatest(F.lit(OFTEN), F.lit(found.count() // 10_000))
+    often, seldom = many.where(F.col("n") > bound), many.where(F.col("n") <= bound)
+    rows = found.select(*content, *place)
+    twice = rows.join(F.broadcast(often), content).unionByName(rows.join(F.broadcast(often.select(*content).distinct()), content, "left_anti").join(seldom, content))
+    twice = twice.select("key", "key2", (F.col("start") + F.col("at")).alias("start"), F.col("run").alias("windows"))
+    out = cut(once.unionByName(twice).distinct())
+    drop(found, contents, many, marks)
+    return out
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, bytes).
 
     ``n_spans`` counts maximal removed runs; the digest is over the bytes that stay, in order.
     """
-    source = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    spans = repeated_spans(source, length, gathered).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    source = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.hash(id_col, text_col).alias("key2"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    with settings(docs.sparkSession, small_batches(docs.sparkSession)):
+        spans = repeated_spans(source, length, crowd)
+    spans = spans.groupBy("key", "key2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     fields = [T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("kept", T.BinaryType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sizes, removed, runs, digests, kept = [], [], [], [], []
-                for text, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    raw = text.encode()
-                    rest, n = _without(raw, [(x["start"], x["windows"]) for x in own or []], length)
-                    sizes.append(len(raw))
-                    removed.append(len(raw) - len(rest))
-                    runs.append(n)
-                    digests.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest)
-                columns = [part.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string())]
+            for first, end, data, offsets in text_blocks(batch.column(1)):
+                row, x = _listed(batch.column(2).slice(first, end - first))
+                gone = _covered(len(data), offsets[row] + x.get("start", row), x.get("windows", row) + length - 1)
+                before = np.concatenate(([False], gone[:-1]))
+                before[offsets[:-1][offsets[:-1] < len(data)]] = False
+                removed, runs = (np.diff(np.concatenate(([0], np.cumsum(f)))[offsets]) for f in (gone, gone & ~before))
+                kept = [data[a:b][~gone[a:b]].tobytes() if n else data[a:b].tobytes() for a, b, n in zip(offsets[:-1], offsets[1:], removed, strict=True)]
+                columns = [batch.column(0).slice(first, end - first), *(pa.array(c, pa.int64()) for c in (np.diff(offsets), removed, runs)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_text else []), names=[f.name for f in fields])
 
-    return source.join(spans, "key", "left").select("key", "id", "text", "spans").mapInArrow(run, T.StructType(fields))
+    listed = F.coalesce("spans", F.array().cast("array<struct<start:int,windows:int>>")).alias("spans")
+    return source.join(spans, ["key", "key2"], "left").select("id", "text", listed).mapInArrow(run, T.StructType(fields))
 
 
-def _without(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
-    """The bytes outside all spans, and how many maximal runs went."""
-    if not spans:
-        return raw, 0
-    depth = np.zeros(len(raw) + 1, dtype=np.int64)
-    for sign, at in ((1, [s for s, _ in spans]), (-1, [s + n + length - 1 for s, n in spans])):
-        np.add.at(depth, at, sign)
-    gone = np.cumsum(depth[:-1]) > 0
-    return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
+def _covered(size: int, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Which of ``size`` bytes lie in one of the ranges."""
+    depth = np.bincount(start, minlength=size + 1).astype(np.int64) - np.bincount(start + span, minlength=size + 1)
+    return np.cumsum(depth[:size]) > 0

@@ -357,20 +357,46 @@ def test_register_estimates():
     assert abs(got[0] - 0.6) < 0.12
 
 
-@pytest.mark.parametrize("gathered", [20_000, 1])
-def test_suffix_dedup(docs, gathered):
-    length = 200
-    raw = {i: (t or "").encode() for i, t, *_ in ROWS}
-    seen = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
-    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, gathered=gathered).collect()}
-    for i, b in raw.items():
+def removed_by_force(raw, length=200):
+    """(bytes, removed, runs, digest) of each text, from all windows of all texts."""
+    seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
+    out = []
+    for b in raw:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(b) else 0
-        assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_dedup(docs, crowd):
+    """With ``crowd`` 1 every shared anchor is split to the last range."""
+    want = removed_by_force([(t or "").encode() for t in TEXTS])
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, crowd=crowd).collect()}
+    assert [(rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) for i in range(len(TEXTS))] == want
+
+
+def test_suffix_dedup_of_runs_and_crowds(spark):
+    """Runs of one byte and of a period, a passage that many texts share in other surroundings, repeated rows, null ids."""
+    passage = prose(40)[:197]
+    texts = ["0" * 60000, "z" + "0" * 700, "ab" * 3000, "abc" * 400, *[prose(12) + f" {i} " + passage + f" {i} " + prose(12) for i in range(60)], PASSAGE * 2, PASSAGE * 2, BASE, BASE]
+    ids = [None if i % 9 == 0 else i for i in range(len(texts))]
+    ids[-1] = ids[-2]
+    want = sorted(removed_by_force([t.encode() for t in texts]))
+    table = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids), strict=True)), "doc_id long, text string, key string")
+    for crowd in (20_000, 10):
+        rows = suffix_dedup.remove_repeats(table, crowd=crowd, keep_text=True).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == want
+        assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
+
+
+def test_a_megabyte_of_one_byte_is_few_segments():
+    row, start, windows, *_ = suffix_dedup.segments(np.zeros(1 << 20, np.uint8), np.array([0, 1 << 20]), 200)
+    assert len(row) == -(-((1 << 20) - 199) // suffix_dedup.LONGEST) and windows.sum() == (1 << 20) - 199
 
 
 def test_suffix_array():
