@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -42,9 +43,8 @@ _AFTER_WORD = re.compile(r"\S(?=[ \n\t\r])")
 class Codec:
     """Encoder and decoder for one rank file, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+    def __init__(self, ranks_file: bytes, pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x.strip())}
         self._ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
         self._size = {i: len(b) for b, i in ranks.items()}
@@ -135,10 +135,26 @@ class Codec:
             i, j = i * (1 + left_open), j * (1 + right_open)
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
+def read_ranks(path: str) -> bytes:
+    """A rank file, of one line for each token."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+_codecs: dict[tuple[bytes, str], Codec] = {}
+
+
+def codec(ranks: Broadcast, pattern: str) -> Codec:
     """One codec for each rank file in a worker process."""
-    return Codec(path, pattern)
+    key = hashlib.sha256(ranks.value).digest(), pattern
+    if key not in _codecs:
+        _codecs[key] = Codec(ranks.value, pattern)
+    return _codecs[key]
+
+
+def _shared(docs: DataFrame, path: str) -> Broadcast:
+    """The rank file, which only the driver need reach; its size is that of the vocabulary (about 1 MB)."""
+    return docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
 
 def _id_bytes(ids: list[int]) -> bytes:
@@ -155,9 +171,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    ranks = _shared(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -182,9 +199,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, text_col: str = "t
     """``n_tokens`` of every document beside its ``by`` columns; null texts have 0."""
     by = by or []
     schema = T.StructType([docs.schema[c] for c in by] + [T.StructField("n_tokens", T.LongType())])
+    ranks = _shared(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for batch in batches:
             count = [len(own.encode(text.as_py())) for text in batch.column(len(by))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(count, pa.int64())], names=schema.names)
@@ -195,9 +213,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, text_col: str = "t
 def decode_documents(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The text (``binary``: ids need not end at a character) of every list of ids; null lists are empty."""
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
+    ranks = _shared(encoded, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for batch in batches:
             out = [own.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)

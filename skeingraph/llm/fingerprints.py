@@ -9,6 +9,11 @@ the other contains.
 A text of fewer words than a shingle has its whole sequence as one shingle; without
 words, or null, its fingerprint is empty.  Two empty fingerprints are alike (1.0), an
 empty and another are not (0.0).  Equal texts have equal fingerprints.
+
+The next document is the row with the next smaller id; rows that tie in id follow each other
+by a hash of the text, then by the text, and null ids come last.  Rows that repeat in both
+are interchangeable.  An empty table gives no rows.  Other columns of the input are not
+looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut, drop, replace
+
 #: Hashes in a sketch, words in a shingle.
 K, SHINGLE = 128, 5
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Documents in a cell of neighbouring ids.
+#: Documents in a cell of neighbouring ids, about; cells of up to twice as many are not split.
 CELL_ROWS = 2000
 
 
@@ -88,36 +95,68 @@ def as_text(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, *, id_col: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
-    """Adds ``next_<column>``: the values of the row with the next smaller id, after the last those of the first.
+def _spread(value: str, low: str, high: str, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges from ``low`` to ``high`` has ``value``; exact differences, whatever the 64-bit numbers."""
+    wide = "cast({} as decimal(20,0))".format
+    share = F.expr(f"cast({wide(value)} - {wide(low)} as double)") / (F.expr(f"cast({wide(high)} - {wide(low)} as double)") + 1)
+    return F.least(parts - 1, F.floor(share * parts)).cast("int")
+
+
+def _descend(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (id, h, path, ...) with the path of those in a node that is split longer by one."""
+    held = rows.alias("r").join(nodes.alias("n"), F.expr("r.path = n.node"), "left")
+    by_id = F.col("parts") - 1 - _spread("id", "low", "high", F.col("parts"))
+    step = F.when(F.col("low") < F.col("high"), by_id).otherwise(_spread("h", "low_h", "high_h", F.col("parts")))
+    return held.withColumn("path", F.when(F.col("node").isNull(), F.col("path")).otherwise(F.concat("path", F.array(step)))).drop("node", "parts", "low", "high", "low_h", "high_h")
 
-    ``derived`` columns are computed from the row after it was dealt, once for each row,
-    so that they are not shuffled; they get a ``next_`` form as well.
-    Rows are dealt to cells of neighbouring ids, so no window holds the table; the row
-    that opens each cell is sent to the cell before it as well.  Ids that tie are ordered
-    by the columns themselves; null ids come last.
+
+def _levels(slim: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``slim`` (id, h) with the path of its cell, and the nodes that were split, level by level.
+
+    Paths in ascending order hold descending ids.  A node is cut in equal ranges of ids, or
+    of hashes if it has one id, until it has few rows or one value; each level looks only at
+    the range that its node has, so outlying ids don't gather the others.
+    """
+    now, levels = cut(slim.withColumn("path", F.array(F.when(F.col("id").isNull(), 1).otherwise(0)))), []
+    while True:
+        sizes = now.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("h").alias("low_h"), F.max("h").alias("high_h"))
+        wide = sizes.where((F.col("n") > 2 * CELL_ROWS) & (F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | (F.col("low_h") < F.col("high_h"))))
+        # A row for each some thousand documents: a small file, which Spark broadcasts by its size.
+        nodes = cut(wide.select(F.col("path").alias("node"), F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"), "low", "high", "low_h", "high_h"))
+        if nodes.isEmpty():
+            drop(nodes)
+            return now, levels
+        levels.append(nodes)
+        now = replace(now, _descend(now, nodes))
+
+
+def with_next(docs: DataFrame, *, id_col: str, text_col: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """(id, text) with ``next_text``: that of the row with the next smaller id, after the last of the first.
+
+    ``derived`` columns are computed from id and text after a row was dealt, once for each
+    row, so that they are not shuffled; they get a ``next_`` form as well.  Rows are dealt to
+    cells of neighbouring ids, so no window holds the table; the row that opens each cell is
+    sent to the cell before it as well.
     """
-    keyed = docs.select(id_col, *columns)
-    span = keyed.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    if not span["n"]:
-        empty = docs.select(id_col, *columns).withColumns(derived or {})
-        return empty.select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *(derived or {})]])
-    cells = -(-span["n"] // CELL_ROWS)
-    low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // cells))
-    # Cells in descending order of ids; null ids in a cell of their own after all others.
-    keyed = keyed.withColumn("cell", F.coalesce(-F.floor((F.col(id_col) - low) / width), F.lit(1)).cast("long"))
-    order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]]
-    firsts = keyed.select("cell", id_col).groupBy("cell").agg(F.max(id_col).alias("first_id"))
-    ring = firsts.select("cell", "first_id", F.coalesce(F.lag("cell").over(Window.orderBy("cell")), F.max("cell").over(Window.partitionBy(F.lit(1)))).alias("previous"))
-    # Few rows: one for each cell; ids that tie at a cell's head are cut to the first below.
-    heads = keyed.alias("k").join(ring.alias("r"), F.expr(f"k.cell = r.cell and k.{id_col} <=> r.first_id"))
-    heads = heads.select(*[f"k.{c}" for c in [id_col, *columns]], F.col("previous").alias("cell"))
-    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where("nth = 1").drop("nth").withColumn("guest", F.lit(1))
-    rows = keyed.withColumn("guest", F.lit(0)).unionByName(heads)
-    rows = rows.repartition("cell").withColumns(derived or {})
-    inside = Window.partitionBy("cell").orderBy("guest", *order)
-    followed = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in [*columns, *(derived or {})]})
-    return followed.where("guest = 0").drop("guest", "cell")
+    derived = derived or {}
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    slim, levels = _levels(keyed.select("id", "h"))
+    first = F.max(F.struct("id", F.bitwise_not("h").alias("not_h"))).alias("first")
+    heads = slim.groupBy("path").agg(first)
+    ring = F.coalesce(F.lag("path").over(Window.orderBy("path")), F.max("path").over(Window.partitionBy(F.lit(1))))
+    heads = cut(heads.select("path", F.col("first.id").alias("id"), F.bitwise_not("first.not_h").alias("h"), ring.alias("previous")))
+    drop(slim)
+    rows = keyed.withColumn("path", F.array(F.when(F.col("id").isNull(), 1).otherwise(0)))
+    for nodes in levels:
+        rows = _descend(rows, nodes)
+    order = [F.col("id").desc_nulls_last(), "h", "text"]
+    # One row for each cell; rows that tie at its head are cut to the first.
+    guests = rows.alias("k").join(heads.alias("r"), F.expr("k.path = r.path and k.id <=> r.id and k.h = r.h")).select("k.id", "k.h", "k.text", F.col("previous").alias("path"))
+    guests = guests.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(*order))).where("nth = 1").drop("nth").withColumn("guest", F.lit(1))
+    rows = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition("path").withColumns(derived)
+    inside = Window.partitionBy("path").orderBy("guest", *order)
+    followed = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in ["text", *derived]})
+    return followed.where("guest = 0").drop("guest", "path", "h")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -127,7 +166,7 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first code points of the next document's text, or all of them if it has fewer.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = with_next(texts, id_col="id", columns=["text"], derived={"own": sketch(F.col("text"), k)})
+    pairs = with_next(texts, id_col="id", text_col="text", derived={"own": sketch(F.col("text"), k)})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

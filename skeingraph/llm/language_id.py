@@ -8,8 +8,9 @@ by code point.
 
 Words are runs of letters in lower case with a boundary mark on each side; n-grams do
 not span words.  Whole texts are read.  A null text, or one without a letter, is
-``und`` with score 0, as is every text when nothing could be learned.  Rows are
-independent: repeated rows repeat their answer.
+``und`` with score 0, as is every text when nothing could be learned (an empty table, or
+no row with a language and a text).  Rows are independent: repeated rows repeat their
+answer, and ids, null or not, are only passed on.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,17 +102,19 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, max_docs: int = 2000, size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from the rows with a language and a text.
 
-    At most about ``max_docs`` rows of each language are read for it: those with the
-    smallest ``order`` (by default a hash of the text; rows that tie at the bound all
-    count).  n-grams are counted in the tasks and summed by (language, n-gram).  One
-    row per language is broadcast and ``size`` rows per language reach the driver; the
+    About ``max_docs`` rows of each language are read for it (all, if it has fewer): those
+    whose hash of ``order`` (by default the text) lies in the share of all hashes that its
+    count of rows asks for, so no task ranks a language's rows; rows of one ``order`` are in
+    or out together.  n-grams are counted in the tasks and summed by (language, n-gram).
+    One row per language is broadcast and ``size`` rows per language reach the driver; the
     labels are taken to be a fixed set of languages.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (order if order is not None else F.xxhash64(text_col)).alias("pos"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(order if order is not None else F.col(text_col)).alias("pos"))
     rows = rows.where("lang is not null and text is not null")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("pos"))
-    last = rows.select("lang", "pos").withColumn("nth", nth).where(F.col("nth") <= max_docs).groupBy("lang").agg(F.max("pos").alias("last"))
-    sample = rows.join(F.broadcast(last), "lang").where("pos <= last").select("lang", "text")
+    # Hashes are spread evenly over all 64-bit numbers.
+    share = F.least(F.lit(1.0), F.lit(max_docs) / F.count(F.lit(1)))
+    bounds = rows.groupBy("lang").agg((share * 18446744073709551616.0 - 9223372036854775808.0).alias("below"))
+    sample = rows.join(F.broadcast(bounds), "lang").where("cast(pos as double) <= below").select("lang", "text")
     grams = sample.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = grams.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from . import bpe, fingerprints, language_id, mixing, near_dedup, secret_scan, suffix_dedup, token_counts, topk_search, toxicity
 
 #: The rank file of the queries that encode; a parameter of the operators.
@@ -55,7 +56,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_limits(token_counts.length_histogram(_documents(spark, sf_dir), RANKS, PATTERN))
+    sums = token_counts.context_limits(token_counts.length_histogram(_documents(spark, sf_dir), RANKS, PATTERN))
+    return token_counts.every_limit(cut(sums))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +114,12 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_topk_search": """
         WITH rows AS (
-          SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+          SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-          SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+          SELECT q.n, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
           FROM rows q JOIN rows c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
-        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
 }

@@ -60,7 +60,7 @@ def test_empty_tables(spark, nothing):
 
 
 def test_bpe_equals_the_library_for_any_cut():
-    whole, cut = bpe.Codec(RANKS, PATTERN), bpe.Codec(RANKS, PATTERN, leaf_chars=5, leaf_bytes=4)
+    whole, cut = bpe.Codec(bpe.read_ranks(RANKS), PATTERN), bpe.Codec(bpe.read_ranks(RANKS), PATTERN, leaf_chars=5, leaf_bytes=4)
     alphabet = ["a", "b", "the", " ", "  ", "\n", "'", "s", "ll", "'ll", "é", "日", "1", "!", "...", "\x1c", "​", "🙂", "\t", "\xa0"]
     for _ in range(3000):
         text = "".join(random.choice(alphabet) for _ in range(random.randrange(50)))
@@ -72,7 +72,7 @@ def test_bpe_equals_the_library_for_any_cut():
 
 def test_encode_and_decode(docs):
     rows = {r["doc_id"]: r for r in bpe.encode_documents(docs, RANKS, PATTERN).collect()}
-    ranks = bpe.Codec(RANKS, PATTERN)._ranks
+    ranks = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)._ranks
     for i, text, *_ in ROWS:
         ids = ranks.encode_ordinary(text or "")
         assert rows[i]["ids"] == ids and rows[i]["n_tokens"] == len(ids)
@@ -83,7 +83,7 @@ def test_encode_and_decode(docs):
 
 
 def test_token_counts(docs):
-    ranks = bpe.Codec(RANKS, PATTERN)._ranks
+    ranks = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)._ranks
     size = [len(ranks.encode_ordinary(t or "")) for t in TEXTS]
     rows = token_counts.context_limits(token_counts.length_histogram(docs, RANKS, PATTERN)).collect()
     assert {r["n_tokens"]: r["n_docs"] for r in rows} == Counter(size)
@@ -413,11 +413,141 @@ def test_top_k(spark, monkeypatch):
     rows = [(i, [rng.choice((0.0, 0.5, -0.25, 1 / 3)) for _ in range(6)]) for i in range(200)]
     rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (20, rows[20][1]), (204, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table = table.unionByName(spark.createDataFrame([(None, [9.0] * 6)], "vec_id long, embedding array<float>")).withColumns({"id": F.lit("x"), "rank": F.lit(0), "query": F.lit("y"), "score": F.lit(0)})
     got = topk_search.top_k(table, F.col("vec_id") % 20 == 0, k=7).collect()
-    whole = {i: [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in range(0, 200, 20):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)[:7]
-        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    whole = [(i, [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, own in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in whole if i != q)[:7]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_packed_vectors(spark):
+    rows = [([1, -128, 127],), ([300, -32768],), ([-(1 << 31), 5],), ([1 << 40, -1],), ([],)]
+    got = spark.createDataFrame(rows, "v array<long>").select("v", topk_search._packed(F.col("v")).alias("p")).collect()
+    assert all(list(topk_search._unpacked(r["p"])) == r["v"] for r in got) and [len(r["p"]) for r in got] == [4, 5, 9, 17, 1]
+
+
+def test_every_context_limit(spark):
+    size = [0, 0, 3, 3, 3, 7, 12]
+    sums = token_counts.context_limits(spark.createDataFrame([(n, c) for n, c in Counter(size).items()], "n_tokens long, n_docs long"))
+    rows = token_counts.every_limit(sums).orderBy("n_tokens").collect()
+    assert [r["n_tokens"] for r in rows] == list(range(13))
+    for r in rows:
+        limit = r["n_tokens"]
+        assert (r["docs_at_least"], r["tokens_at_least"]) == (sum(s >= limit for s in size), sum(s for s in size if s >= limit))
+        assert r["truncated_total"] == sum(min(s, limit) for s in size) and (r["total_docs"], r["total_tokens"]) == (7, 28)
+        assert r["quantile"] == pytest.approx(sum(s <= limit for s in size) / 7)
+    beyond = token_counts.at_limits(sums, spark.createDataFrame([(20,), (5,), (None,)], "n_tokens long")).orderBy("n_tokens").collect()
+    assert [(r["n_tokens"], r["docs_at_least"], r["truncated_total"]) for r in beyond] == [(5, 2, 19), (20, 0, 28)]
+    assert {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, [0.0, 0.5, 5 / 7, 0.9, 1.0]).collect()} == {0.0: 0, 0.5: 3, 5 / 7: 3, 0.9: 12, 1.0: 12}
+
+
+@pytest.mark.parametrize("ids", [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1 << 62], [-(1 << 63), (1 << 63) - 1, *[(k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(30)]],
+    [None] * 12 + [5, 5, 5, 4], [7] * 15, [None], [-(1 << 62) - (1 << 61), (1 << 62) + (1 << 61), 0, 1, 2, 3, 4, 5],
+])
+def test_next_document_for_any_ids(spark, monkeypatch, ids):
+    """Outlying ids, ids over all 64 bits, null ids, ties: the next row is that of the one order, in cells of few rows."""
+    monkeypatch.setattr(fingerprints, "CELL_ROWS", 2)
+    texts = [f"text {i}" if i % 5 else "same" for i in range(len(ids))]
+    table = spark.createDataFrame(list(zip(ids, texts, ["z"] * len(ids), strict=True)), "doc_id long, text string, path string")
+    hashed = {r["text"]: r["h"] for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0), hashed[texts[i]], texts[i]))
+    want = sorted(str((ids[i], texts[i], texts[order[(k + 1) % len(order)]])) for k, i in enumerate(order))
+    got = fingerprints.with_next(table, id_col="doc_id", text_col="text").collect()
+    assert sorted(str((r["id"], r["text"], r["next_text"])) for r in got) == want
+    slim, levels = fingerprints._levels(table.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    sizes = Counter((tuple(r["path"]), r["id"], r["h"]) for r in slim.collect())
+    cells = Counter(tuple(r["path"]) for r in slim.collect())
+    assert all(n <= 4 or len([k for k in sizes if k[0] == path]) == 1 for path, n in cells.items())
+
+
+def out_of_place(text, ranked, size):
+    """Distance of a text to each language's ranked list, from strings alone."""
+    runs = re.findall(r"[^\W\d_]+", text.lower())
+    grams = Counter()
+    for run in runs:
+        bounded = f" {run} "
+        grams.update(c for c in run)
+        grams.update(bounded[i : i + 2] for i in range(len(bounded) - 1))
+        grams.update(bounded[i : i + 3] for i in range(len(bounded) - 2))
+    return grams, runs
+
+
+def test_predictions_equal_brute_force_distances(spark):
+    """Profiles and out-of-place distances counted from strings; ties of n-grams make no difference to texts whose counts differ."""
+    draw = random.Random(23)
+    sets = {"aa": "abcab cabba bacca", "bb": "deffed feeddef ddeeff", "cc": "abdeab baedd eabbde"}
+    rows = [(i, " ".join(draw.choices(sets[lang].split(), k=40)), lang) for i, lang in enumerate(list(sets) * 10)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "lang_pred": F.lit("y")})
+    size = 25
+    profiles = language_id.learn_profiles(train, size=size)
+    ranked = {}
+    for lang in sets:
+        total = Counter()
+        for _, text, own in rows:
+            if own == lang:
+                total.update(out_of_place(text, None, size)[0])
+        ranked[lang] = {g: k for k, (g, _) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size])}
+    asked = [(i, " ".join(draw.choices(sets[lang].split(), k=draw.randrange(3, 60)))) for i, lang in enumerate(list(sets) * 20)] + [(None, "abcab " * 20000), (1000, "abcab"), (1000, "abcab")]
+    table = spark.createDataFrame(asked, "doc_id long, text string").withColumns({"score": F.lit("x"), "lang": F.lit("bb")})
+    got = [(r["doc_id"], r["lang_pred"]) for r in language_id.identify(table, profiles).collect()]
+    near = {}
+    for _, text in asked:
+        grams, _ = out_of_place(text, None, size)
+        own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:size]]
+        near[text] = {lang: sum(abs(r[g] - k) if g in r else size for k, g in enumerate(own)) for lang, r in ranked.items()}
+    clear = [(i, t) for i, t in asked if sorted(near[t].values())[1] - min(near[t].values()) > 20]
+    assert len(clear) > 40 and Counter((i, min(near[t], key=near[t].get)) for i, t in clear) - Counter(got) == Counter()
+    assert len(got) == len(asked)
+
+
+def test_ftrl_equals_its_formulas():
+    """The model's weights against the per-coordinate rules written out for one coordinate at a time."""
+    draw = random.Random(29)
+    model = toxicity.Ftrl(alpha=0.5, beta=1.0, l1=0.3, l2=0.1)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.3 else -(z[i] - math.copysign(0.3, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.1)
+
+    for _ in range(300):
+        index = sorted(draw.sample(range(12), 4))
+        label = int(index[0] < 3) if draw.random() < 0.9 else draw.randrange(2)
+        w = {i: weight(i) for i in index}
+        gradient = 1.5 * (1 / (1 + math.exp(-sum(w.values()))) - label)
+        for i in index:
+            sigma = (math.sqrt(n[i] + gradient**2) - math.sqrt(n[i])) / 0.5
+            z[i] += gradient - sigma * w[i]
+            n[i] += gradient**2
+        model.learn(np.array(index), label, 1.5)
+    assert [model.weights(np.array([i]))[0] for i in range(12)] == pytest.approx([weight(i) for i in range(12)])
+
+
+def test_toxicity_features_are_words_pairs_and_skips():
+    text = "One two, three one"
+    row, index = toxicity.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert len(index) == 4 + 3 + 2 and len(set(index)) == 3 + 3 + 2 and set(row) == {0}
+
+
+def test_null_ids_repeats_and_clashes_everywhere(spark):
+    """Null ids, rows that repeat and extra columns with the names that operators use: every row has its answer."""
+    rows = [(None, BASE), (None, BASE), (3, PASSAGE), (3, PASSAGE), (None, None), (4, ""), (5, EDITED)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+    table = table.withColumns({c: F.lit("clash") for c in ("key", "key2", "id", "n", "h", "h1", "path", "band", "row", "draw", "copies", "taken", "size", "score", "predicted", "lang_pred", "held_out", "start", "windows", "n_tokens", "ids", "spans", "asked")})
+    weights = toxicity.train(toxicity.bounded_sample(spark.createDataFrame([(3, 1), (5, 0), (None, 1), (4, None)], "doc_id long, toxic int"), table))
+    profiles = language_id.learn_profiles(table)
+    for df in (
+        language_id.identify(table, profiles), mixing.mix_sources(table), bpe.encode_documents(table, RANKS, PATTERN), fingerprints.fingerprint_edits(table), secret_scan.find_secrets(table),
+        near_dedup.near_duplicates(table), suffix_dedup.remove_repeats(table), toxicity.score(table, weights),
+    ):
+        got = df.collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert token_counts.length_histogram(table, RANKS, PATTERN).agg(F.sum("n_docs")).first()[0] == len(rows)
+    assert sum(r["n_removed"] for r in suffix_dedup.remove_repeats(table).collect()) == 2 * len(BASE) + 2 * len(PASSAGE) + removed_by_force([(t or "").encode() for _, t in rows])[6][1]
 
 
 def test_folds_match_zlib(spark):

@@ -39,5 +39,5 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
-    ranks = bpe.Codec(RANKS, PATTERN)
+    ranks = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)
     assert rows and all(len(r["ids"]) == r["n_tokens"] and ranks.decode(r["ids"]) for r in rows) and not any(r["doc_id"] % 5 == 0 for r in rows)
