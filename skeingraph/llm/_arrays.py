@@ -62,6 +62,11 @@ class RollingHash:
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self._sums[end] - self._sums[start]) * self._down[start]
 
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of the ``size`` bytes at each place that has as many."""
+        n = len(self._sums) - size
+        return (self._sums[size:] - self._sums[:n]) * self._down[:n]
+
 
 def batch_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; nulls are empty."""

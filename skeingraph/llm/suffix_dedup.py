@@ -59,18 +59,28 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    at = np.arange(len(data) - gram + 1)
-    anchor = _sliding_min(mix(RollingHash(data, seed=5).ranges(at, at + gram)), length - gram + 1)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    place = np.flatnonzero(np.arange(n) + length <= offsets[row + 1])
-    if not len(place):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    anchor = anchor[place]
-    change = np.concatenate(([True], (np.diff(place) != 1) | (anchor[1:] != anchor[:-1])))
-    since = np.arange(len(place)) - np.maximum.accumulate(np.where(change, np.arange(len(place)), 0))
-    opens = np.flatnonzero(since % LONGEST == 0)
-    start, windows = place[opens], np.diff(np.append(opens, len(place)))
-    return row[start], start - offsets[row[start]], windows, anchor[opens], _names(data, start, windows + length - 1, 6)
+    rolling = RollingHash(data, seed=5)
+    anchor = _sliding_min(_anchors(rolling, gram), length - gram + 1)
+    opens = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, offsets[:-1], np.maximum(offsets[1:] - length + 1, 0)))
+    opens = np.unique(opens[opens < n])
+    # A run of windows lies in one row whole or reaches over its end from the first.
+    row = np.searchsorted(offsets, opens, side="right") - 1
+    windows = np.diff(np.append(opens, n))
+    inside = opens + length <= offsets[row + 1]
+    row, opens, windows = row[inside], opens[inside], windows[inside]
+    parts = -(-windows // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    row, opens, windows = (np.repeat(x, parts) for x in (row, opens, windows))
+    start, windows = opens + nth * LONGEST, np.minimum(windows - nth * LONGEST, LONGEST)
+    size = windows + length - 1
+    name = mix(rolling.ranges(start, start + size) + size.astype(np.uint64) * np.uint64(31))
+    return row, start - offsets[row], windows, anchor[start], name
+
+
+def _anchors(rolling: RollingHash, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes at each place; one-to-one with their rolling hash."""
+    hashes = rolling.grams(gram)
+    return (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _names(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
@@ -97,40 +107,58 @@ def _words(data: np.ndarray, depth: int) -> np.ndarray:
     return (out[:-4] << np.uint64(32)) | out[4:]
 
 
-def _sorted_directly(places: np.ndarray, data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+def _sorted_directly(places: np.ndarray, data: np.ndarray, words: np.ndarray, depth: int, ends: np.ndarray) -> np.ndarray:
     """``places`` by the first ``depth`` bytes of their suffixes, eight bytes at a time.
 
-    Suffixes that still tie and are equal to the whole depth by their hashes need no order
-    among them and are left as they are.
+    Suffixes that are equal to the whole depth, or to the end of their strings, need no order
+    among them: by a hash of those bytes one of them is sorted for all.  (Should two others
+    agree in 64 bits, a repeat could stay unseen; none is made up, since bytes are compared.)
     """
-    order = places[np.argsort(words[places], kind="stable")]
-    if not len(order):
-        return order
-    key = words[order]
-    group = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(order)), 0))
-    whole = None
+    if not len(places):
+        return places
+    stop = np.minimum(places + depth, ends[places])
+    whole = mix(RollingHash(data, seed=8).ranges(places, stop) + (stop - places).astype(np.uint64) * np.uint64(31))
+    by = np.argsort(whole, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], whole[by[1:]] != whole[by[:-1]])))
+    size = np.diff(np.append(new, len(by)))
+    chosen = _sorted_distinct(places[by[new]], words, depth)
+    # Members of a class lie together in ``by``.
+    size, new = size[chosen], new[chosen]
+    at = np.repeat(new - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(by))
+    return places[by[at]]
+
+
+def _sorted_distinct(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """The order of ``places`` by their suffixes; only groups that differ in the next eight bytes are sorted again."""
+    order = np.argsort(words[places])
+    key = words[places[order]]
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    spot = np.flatnonzero(np.bincount(group)[group] > 1)
+    group = group[spot]
     for done in range(8, depth, 8):
-        tied = np.flatnonzero(np.bincount(group, minlength=len(order))[group] > 1)
-        if done & (done - 1) == 0 and len(tied):
-            if whole is None:
-                whole = RollingHash(data, seed=8).ranges(np.arange(len(data)), np.minimum(np.arange(len(data)) + depth, len(data)))
-            first = np.flatnonzero(np.concatenate(([True], group[tied][1:] != group[tied][:-1])))
-            now = whole[order[tied]]
-            size = np.diff(np.append(first, len(tied)))
-            tied = tied[np.repeat(np.minimum.reduceat(now, first) != np.maximum.reduceat(now, first), size)]
-        if not len(tied):
+        if not len(spot):
             break
-        key = words[order[tied] + done]
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][by]
-        key, own = key[by], group[tied]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
-        group[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+        key = words[places[order[spot]] + done]
+        opens = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(opens, len(group)))
+        differ = np.repeat(np.minimum.reduceat(key, opens) != np.maximum.reduceat(key, opens), size)
+        moved = np.flatnonzero(differ)
+        if not len(moved):
+            continue
+        by = np.lexsort((key[moved], group[moved]))
+        order[spot[moved]] = order[spot[moved[by]]]
+        key[moved] = key[moved[by]]
+        group = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))))
+        tied = np.bincount(group)[group] > 1
+        spot, group = spot[tied], group[tied]
     return order
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes, sorted by (at least) their first ``depth`` bytes, in two stages."""
+def suffix_array(data: np.ndarray, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes, sorted by their first ``depth`` bytes, in two stages.
+
+    ``ends`` has for each place where its string ends; what follows there need not be sorted.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -139,7 +167,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     step[-1] = -1  # the empty suffix is smaller than the last
     decides = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
     rises = step[decides] > 0
-    direct = _sorted_directly(np.flatnonzero(rises), data, _words(data, depth), depth)
+    direct = _sorted_directly(np.flatnonzero(rises), data, _words(data, depth), depth, np.full(n, n) if ends is None else ends)
     first = data[direct]
     cuts = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -167,21 +195,43 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int, ends: np.ndarray | None = None) -> np.ndarray:
     """Marks each place of ``valid`` whose ``length`` bytes also start at another place."""
-    order = suffix_array(data, length)
+    order = suffix_array(data, length, ends)
     words = _words(data, length)
     order = order[valid[order]]
-    active = np.arange(max(0, len(order) - 1))
-    for done in [*range(0, length - 7, 8), max(0, length - 8)]:
-        a, b = words[order[active] + done], words[order[active + 1] + done]
+    after = np.full(len(data) + 1, -1, dtype=np.int64)
+    after[order[:-1]] = order[1:]
+    one = np.flatnonzero(after >= 0)
+    two = after[one]
+    # Where the pair before, one place back, has its prefix, the eight bytes at the end are all that is left to compare.
+    shifted = np.concatenate(([False], (one[1:] == one[:-1] + 1) & (two[1:] == two[:-1] + 1)))[: len(one)]
+    same = np.zeros(len(one), dtype=bool)
+    heads = np.flatnonzero(~shifted)
+    same[heads] = _equal(words, one[heads], two[heads], range(0, length - 7, 8), length)
+    tails = np.flatnonzero(shifted)
+    same[tails] = _equal(words, one[tails], two[tails], (), length)
+    fails = np.concatenate(([0], np.cumsum(~same)))
+    run = heads[np.cumsum(~shifted) - 1] if len(heads) else heads
+    doubtful = np.flatnonzero(shifted & same & (fails[:-1] > fails[run]))
+    same[doubtful] = _equal(words, one[doubtful], two[doubtful], range(0, length - 7, 8), length)
+    marked = np.zeros(len(data), dtype=bool)
+    marked[one[same]] = True
+    marked[two[same]] = True
+    return marked
+
+
+def _equal(words: np.ndarray, one: np.ndarray, two: np.ndarray, places: Iterable[int], length: int) -> np.ndarray:
+    """Which pairs agree in the eight bytes at each of ``places`` and in the last of ``length``."""
+    active = np.arange(len(one))
+    for done in [max(0, length - 8), *places]:
+        a, b = words[one[active] + done], words[two[active] + done]
         if length < 8:
             a, b = a >> np.uint64(64 - 8 * length), b >> np.uint64(64 - 8 * length)
         active = active[a == b]
-    marked = np.zeros(len(data), dtype=bool)
-    marked[order[active]] = True
-    marked[order[active + 1]] = True
-    return marked
+    out = np.zeros(len(one), dtype=bool)
+    out[active] = True
+    return out
 
 
 _SEGMENT = "anchor long, content long, windows int, key long, key2 int, start int, n long"
@@ -251,7 +301,7 @@ def _split(length: int, width: int):
 
     def pieces(bucket: int, id_: int, windows: int, raw: bytes) -> Iterator[tuple]:
         data = np.frombuffer(raw, dtype=np.uint8)
-        hashes = mix(RollingHash(data, seed=5).ranges(np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1)))
+        hashes = _anchors(RollingHash(data, seed=5), gram)
         at = np.arange(windows)
         least = _sliding_min(hashes, length - gram + 1)[0]
         places = np.flatnonzero(hashes == least)
@@ -296,7 +346,7 @@ def _sort_contents(length: int):
         valid = np.zeros(len(data) + 1, dtype=np.int8)
         valid[from_] += 1
         valid[from_ + windows] -= 1
-        marked = repeated_windows(data, np.cumsum(valid[:-1]) > 0, length)
+        marked = repeated_windows(data, np.cumsum(valid[:-1]) > 0, length, np.repeat(from_ + size, size + 1))
         edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
         opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         owner = np.searchsorted(from_, opens, side="right") - 1
