@@ -60,6 +60,8 @@ GATE = 6
 TILE, TURNS, CROWDED = 512, 2, 8
 #: Rows of tile pairs that a task is given, about.
 TASK_ROWS = 4096
+#: Bytes of sets that the confirmation of pairs keeps for later pairs.
+HELD_BYTES = 16 << 20
 #: So many classes (48 bytes each) may be broadcast.
 BROADCAST_IDS = 200_000
 _ANY_WORD = r"[^\x20\x09-\x0D]"
@@ -318,8 +320,8 @@ def _confirm(size: int, numerator: int, denominator: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[int, np.ndarray] = {}
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 ids = [part.column(0).to_pylist(), part.column(1).to_pylist()]
                 new: dict[int, str] = {}
                 for side in (0, 1):
@@ -337,7 +339,7 @@ def _confirm(size: int, numerator: int, denominator: int):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both * denominator >= numerator * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good))
-                if len(held) > 4096:
+                if sum(x.nbytes for x in held.values()) > HELD_BYTES:
                     held = {}
 
     return run

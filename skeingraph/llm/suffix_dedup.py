@@ -45,7 +45,7 @@ from ..lineage import cut, drop, settings
 from ._arrays import RollingHash, batch_text, mix, small_batches, text_blocks
 
 #: Bytes of an anchor, windows of a segment, bytes of contents sorted at once.
-ANCHOR, LONGEST, CHUNK_BYTES = 32, 4096, 4 << 20
+ANCHOR, LONGEST, CHUNK_BYTES = 32, 4096, 2 << 20
 #: Distinct contents of an anchor beyond which it is dealt to several tasks, and the ranges that it is cut to in turn.
 CROWD, RANGES = 20_000, (43, 11, 3, 1)
 #: A content with more occurrences than this, and than a ten-thousandth of all segments, is matched by broadcast.
