@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +26,21 @@ class Association:
     var: np.ndarray = field(init=False)
     moment: np.ndarray = field(init=False)
     spread: np.ndarray = field(init=False)
+    row_scale: np.ndarray = field(init=False)
     gain: float = 1.0
     history: list = field(default_factory=list)
 
     def __post_init__(self):
         self.m, self.bias = np.eye(self.size), np.zeros(self.size)
         self.mean, self.var = np.zeros(self.size), np.ones(self.size)
+        self.row_scale = np.ones(self.size)
         self.moment, self.spread = np.zeros((self.size, self.size)), np.zeros((self.size, self.size))
 
     def transform(self, q: np.ndarray) -> np.ndarray:
         q = np.asarray(q, dtype=float)
         if self.feedback < self.warm_up or q.shape != (self.size,):
             return q
-        return self.gain * (self.m @ ((q - self.mean) / np.sqrt(self.var + 1e-8)) + self.bias)
+        return self.gain * self.row_scale * (self.m @ ((q - self.mean) / np.sqrt(self.var + 1e-8)) + self.bias)
 
     def observe(self, q: np.ndarray) -> None:
         """Running mean and variance with weight 0.9; the variance uses the updated mean."""
@@ -68,18 +71,39 @@ class Association:
         return True
 
     def dump(self) -> str:
-        return json.dumps({"size": self.size, "feedback": self.feedback, "m": np.nan_to_num(self.m).tolist(), "bias": np.nan_to_num(self.bias).tolist()})
+        """The whole state as JSON; what is no number becomes 0."""
+        arrays = {n: np.nan_to_num(getattr(self, n)).tolist() for n in _ARRAYS}
+        plain = {n: getattr(self, n) for n in ("size", "rate", "warm_up", "least_gain", "feedback", "gain")}
+        return json.dumps(plain | arrays | {"history": [[np.asarray(q).tolist(), r] for q, r in self.history]})
 
     @classmethod
     def load(cls, text: str) -> Association:
-        """A matrix of zeros alone heals to the identity."""
+        """The state of :meth:`dump`; a matrix of zeros alone heals to the identity."""
         raw = json.loads(text)
-        out = cls(raw["size"], feedback=raw["feedback"])
-        m = np.array(raw["m"], dtype=float)
-        out.m, out.bias = (m if m.any() else np.eye(raw["size"])), np.array(raw["bias"], dtype=float)
+        out = cls(raw["size"], raw["rate"], raw["warm_up"], raw["least_gain"], raw["feedback"])
+        for n in _ARRAYS:
+            setattr(out, n, np.array(raw[n], dtype=float))
+        if not out.m.any():
+            out.m = np.eye(out.size)
+        out.gain, out.history = raw["gain"], [(np.array(q), r) for q, r in raw["history"]]
         return out
 
 
+_ARRAYS = ("m", "bias", "mean", "var", "moment", "spread", "row_scale")
+
+
+def transform_rows(rows: DataFrame, state: Association, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, i, y): every vector through the whole transform, in Arrow batches; the state is a few MB at most."""
+    kind = dict(rows.dtypes)[id_col]
+
+    def run(batches):
+        for batch in batches:
+            out = [(i, k, float(y)) for i, v in zip(batch[id_col], batch[vector_col], strict=True) for k, y in enumerate(state.transform(np.asarray(v, dtype=float)))]
+            yield pd.DataFrame(out, columns=["id", "i", "y"])
+
+    return rows.select(id_col, vector_col).mapInPandas(run, f"id {kind}, i int, y double")
+
+
 def apply_rows(vector: Column, rows: list[list[float]]) -> Column:
     """Matrix times vector as an expression, for a matrix of fixed size."""
     from .scores import dot
@@ -93,6 +117,11 @@ def block_means(entries: DataFrame, size: int, blocks: int) -> DataFrame:
     return entries.groupBy(F.floor(F.col("i") / step).alias("bi"), F.floor(F.col("j") / step).alias("bj")).agg(F.avg("v").alias("mean"))
 
 
+def row_energy(entries: DataFrame) -> DataFrame:
+    """(i, energy): the root of the squares of each row of a matrix in long form."""
+    return entries.groupBy("i").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("energy"))
+
+
 def shape_of(entries: DataFrame) -> DataFrame:
     """One row: Frobenius norm, mean deviation of the diagonal from 1, share of energy on it."""
     on = F.col("i") == F.col("j")

@@ -45,6 +45,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(_blank(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Han, Kana and Hangul.
+_CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af"
+
+
+def search_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits; a run of CJK characters is its pairs of neighbours (itself, if it is one)."""
+    apart = F.regexp_replace(F.lower(_blank(text)), f"([{_CJK}]+)", " $1 ")
+    runs = F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    pairs = F.transform(runs, lambda t: F.when(t.rlike(f"^[{_CJK}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - 1)), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array(t)))
+    return F.flatten(pairs)
+
+
 def f1_tokens(text: Column) -> Column:
     """Distinct tokens for the F1 score: what is no word character, CJK or space becomes a space."""
     cleaned = F.regexp_replace(F.lower(_blank(text)), r"[^\w一-鿿\s]", " ")

@@ -51,17 +51,29 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, without its lineage."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    with settings(spark, _CLEAN):
-        df.write.parquet(folder)
+    folder, out = keep(df)
     if _scopes:
         _scopes[-1].append(folder)
-    out = spark.read.schema(df.schema).parquet(folder)
     out._cut_folder = folder
     return out
 
 
+def keep(df: DataFrame) -> tuple[str, DataFrame]:
+    """A written copy that no scope drops, and its folder."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    with settings(spark, _CLEAN):
+        df.write.parquet(folder)
+    return folder, spark.read.schema(df.schema).parquet(folder)
+
+
+def partitioned(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` checkpointed by hash of ``columns``: joins and sums by them read it without a shuffle, however often."""
+    shared_folder(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *columns).checkpoint()
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Removes cuts that nothing reads any more; other frames are left alone."""
     for table in tables:
@@ -77,6 +89,11 @@ def replace(old: DataFrame | None, df: DataFrame) -> DataFrame:
     return new
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,7 +1,8 @@
 """Graph algorithms as DataFrame loops: walks, PageRank, label propagation, hierarchies.
 
 A loop's frames are cut to the shared checkpoint folder every few rounds, so plans stay
-short and a lost executor costs little.  The symmetric edge frame is built once.
+short and a lost executor costs little.  Edges in both directions are written once and keep
+their partitioning through the rounds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from math import isqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, drop, partitioned, replace
+from .components import components
 
 _CUT_EVERY = 5
 
@@ -21,57 +23,87 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(id, distance) of what trails of 1 to ``depth`` edges from the seeds reach, seeds with an edge at 0."""
+def walk(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+    """(id, distance) of what trails of 1 to ``depth`` edges from the seeds reach, seeds with an edge at 0.
+
+    With ``limit`` the nearest so many nodes, ties to the smaller id.
+    """
     if not 0 <= depth <= 5:
         raise ValueError("depth is 0 to 5")
-    steps = both_ways(edges).distinct()
-    found = seeds.select("id").distinct().join(steps.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumn("distance", F.lit(0))
-    frontier = found
+    ways = both_ways(edges)
+    found = seeds.select("id").distinct().join(ways, F.col("id") == ways["a"], "left_semi").withColumn("distance", F.lit(0))
+    frontier = found = cut(found)
     for k in range(1, depth + 1):
-        reached = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti")
+        # The frontier is a small file at first, which Spark broadcasts by its size; edges are only read.
+        reached = ways.join(frontier, ways["a"] == frontier["id"], "left_semi").select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti")
         frontier = cut(reached.withColumn("distance", F.lit(k)))
-        found = found.unionByName(frontier)
-    return found
+        found = cut(found.unionByName(frontier))
+    return found.orderBy("distance", "id").limit(limit) if limit else found
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(id, rank) after exactly ``rounds`` rounds over the undirected multigraph.
 
     r = (1 - d) t + d * sum over neighbours of r / degree, with t = 1 for every node, or
-    for seeds alone.  Nodes without edges keep (1 - d) t.
+    for seeds alone.  Nodes without edges keep (1 - d) t.  Edges lie by their start and
+    ranks by their node through all rounds, so a round shuffles sums by target alone.
     """
-    steps = both_ways(edges)
-    steps = cut(steps.join(steps.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "a").select("a", "b", "degree"))
     base = nodes.select("id").distinct()
     if seeds is None:
         base = base.withColumn("teleport", F.lit(1.0))
     else:
         base = base.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left").select("id", F.coalesce("seed", F.lit(0.0)).alias("teleport"))
-    base = cut(base)
-    ranks = base.select("id", "teleport", ((1 - damping) * F.col("teleport")).alias("rank"))
+    steps = partitioned(both_ways(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "a")
+    degree = steps.groupBy("a").agg(F.sum("n").alias("degree"))
+    base = partitioned(base.join(degree, base["id"] == degree["a"], "left").select("id", "teleport", F.coalesce("degree", F.lit(1)).alias("degree")), "id")
+    ranks = base.withColumn("rank", (1 - damping) * F.col("teleport"))
     for k in range(rounds):
-        flow = steps.join(ranks, steps["a"] == ranks["id"]).groupBy("b").agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        ranks = base.join(flow, base["id"] == flow["b"], "left").select("id", "teleport", ((1 - damping) * F.col("teleport") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        share = ranks.select("id", (F.col("rank") / F.col("degree")).alias("share")).hint("shuffle_hash")
+        flow = steps.join(share, steps["a"] == share["id"]).groupBy("b").agg(F.sum(F.col("share") * F.col("n")).alias("flow"))
+        ranks = base.join(flow.hint("shuffle_hash"), base["id"] == flow["b"], "left").select("id", "teleport", "degree", ((1 - damping) * F.col("teleport") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
         if (k + 1) % _CUT_EVERY == 0 and k + 1 < rounds:
-            ranks = cut(ranks)
+            ranks = ranks.checkpoint()
     return ranks.select("id", "rank")
 
 
+def uniform_rank(nodes: DataFrame) -> DataFrame:
+    """(id, rank) where there is no edge at all: 1 / n for each active node."""
+    live = nodes.where(F.col("status") == "active").select("id")
+    return live.crossJoin(F.broadcast(live.agg(F.count(F.lit(1)).alias("n")))).select("id", (1 / F.col("n")).alias("rank"))  # one row
+
+
+def global_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """PageRank of all nodes; without edges the same for every active node."""
+    return uniform_rank(nodes) if edges.isEmpty() else pagerank(nodes, edges, None, damping, rounds)
+
+
+def personal_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, candidates: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """(id, rank) of the active among ``candidates`` (id, pos) from the active seeds; without seeds or edges 1 / (pos + 1)."""
+    live = nodes.where(F.col("status") == "active").select("id")
+    start = seeds.select("id").join(live, "id", "left_semi")
+    asked = candidates.join(live, "id", "left_semi")
+    if start.isEmpty() or edges.isEmpty():
+        return asked.select("id", (1 / (F.col("pos") + 1)).alias("rank"))
+    return pagerank(nodes, edges, start, damping, rounds).join(asked.select("id"), "id", "left_semi")
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 50, stop_early: bool = True) -> DataFrame:
     """(id, label): synchronous rounds from own ids as labels.
 
     A node takes the most frequent label among its neighbours; its own label if that ties
-    for most, else the smallest of the most frequent.
+    for most, else the smallest of the most frequent.  Edges lie by their end through all
+    rounds; a round shuffles counts by (node, label), summed before they move, then the best.
     """
-    steps = cut(both_ways(edges))
-    labels = nodes.select("id", F.col("id").alias("label"))
-    best = Window.partitionBy("a").orderBy(F.col("n").desc(), F.col("own").desc(), "near")
+    steps = partitioned(both_ways(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "b")
+    labels = partitioned(nodes.select("id", F.col("id").alias("label")).distinct(), "id")
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("own")).alias("own"), "near")).alias("best")
     for _ in range(rounds):
-        near = steps.join(labels.toDF("b", "near"), "b").groupBy("a", "near").agg(F.count(F.lit(1)).alias("n"))
-        near = near.join(labels.toDF("a", "current"), "a").withColumn("own", F.col("near") == F.col("current"))
-        chosen = near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(F.col("a").alias("id"), F.col("near").alias("new"))
-        moved = cut(labels.join(chosen, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("changed")))
+        told = steps.join(labels.hint("shuffle_hash"), steps["b"] == labels["id"]).select("a", F.col("label").alias("near"), "n", F.lit(0).alias("own"))
+        # A node's own label is there with no vote, which says how ties go.
+        told = told.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("near"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("own")))
+        summed = told.groupBy("a", "near").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        chosen = summed.groupBy("a").agg(best)
+        moved = partitioned(chosen.select(F.col("a").alias("id"), F.col("best.near").alias("label"), (F.col("best.own") == 0).alias("changed")), "id")
         labels = moved.select("id", "label")
         if stop_early and moved.where("changed").isEmpty():
             break
@@ -91,35 +123,94 @@ def community_links(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def hierarchy_level(links: DataFrame, members: DataFrame, limit: int = 200_000) -> list[tuple[str, str]]:
-    """(community, cluster): communities merged greedily by link weight down to the square root of their number.
+def _ordered(links: DataFrame, columns: tuple[str, str] = ("a", "b")):
+    return F.struct((-F.col("weight")).alias("weight"), *columns)
+
 
-    The community graph is small and the merge order matters, so it comes to the driver,
-    at most ``limit`` links and communities.  Clusters are named h-1, h-2, ... in order of
-    their smallest community.
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """The links (a, b, weight) that a greedy merge in order of weight (ties by names) would use.
+
+    Each round every cluster takes its first link in that order, which a greedy merge
+    would take as well; clusters at least halve, so the rounds are few.
     """
-    names = [r[0] for r in members.select("label").distinct().orderBy("label").limit(limit + 1).collect()]
-    rows = links.orderBy(F.col("weight").desc(), "a", "b").limit(limit + 1).collect()
-    if len(rows) > limit or len(names) > limit:
-        raise ValueError(f"more than {limit} communities or links")
-    root = {n: n for n in names}
-
-    def find(x: str) -> str:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    groups, wanted = len(names), max(1, isqrt(len(names)))
-    for r in rows:
-        if groups <= wanted:
-            break
-        a, b = find(r["a"]), find(r["b"])
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            groups -= 1
-    cluster: dict[str, str] = {}
-    return [(n, cluster.setdefault(find(n), f"h-{len(cluster) + 1}")) for n in names]
+    live = cut(links.select("a", "b", "weight", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    taken: DataFrame | None = None
+    while not live.isEmpty():
+        ends = live.select(F.col("ca").alias("c"), _ordered(live).alias("o")).unionByName(live.select(F.col("cb").alias("c"), _ordered(live).alias("o")))
+        first = ends.groupBy("c").agg(F.min("o").alias("o")).select("o.a", "o.b").distinct()
+        chosen = cut(live.join(first, ["a", "b"]))
+        new = chosen.select("a", "b", "weight")
+        taken = replace(taken, new if taken is None else taken.unionByName(new))
+        label = components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        drop(chosen)
+        for end in ("ca", "cb"):
+            named = label.select(F.col("node").alias(end), F.col("component").alias("to"))
+            live = live.join(named, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        live = cut(live.where("ca <> cb"))
+    return taken if taken is not None else links.select("a", "b", "weight").limit(0)
+
+
+def _first_in_order(links: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` links in order of weight, by a sort and the sizes of its partitions."""
+    placed = cut(links.orderBy(_ordered(links)).withColumn("at", F.monotonically_increasing_id()))
+    # One row for each partition of the sort.
+    sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    nth = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(before), F.shiftright("at", 33) == F.col("part")).where(nth < most).select("a", "b", "weight")
+
+
+def hierarchy_level(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, cluster): communities merged greedily by link weight down to the square root of their number.
+
+    The greedy merge takes the links of a spanning forest in order, so the forest is grown
+    in rounds on the cluster and cut after as many links as merges are wanted.  Clusters are
+    named h-1, h-2, ... in order of their smallest community.
+    """
+    names = cut(members.select("label").distinct())
+    count = names.count()
+    taken = _first_in_order(spanning_forest(links), count - max(1, isqrt(count)))
+    root = components(taken).withColumnRenamed("node", "label")
+    rooted = names.join(root, "label", "left").select("label", F.coalesce("component", "label").alias("root"))
+    # As many roots as the square root of the communities, or as parts that no link joins.
+    order = F.row_number().over(Window.orderBy("root"))
+    named = rooted.select("root").distinct().withColumn("cluster", F.concat(F.lit("h-"), order))
+    return rooted.join(named, "root").select("label", "cluster")
+
+
+def drill_down(nodes: DataFrame, *, domain: str | None = None, topic: str | None = None, community: str | None = None) -> DataFrame:
+    """Ids of the active nodes of the widest of the levels that is named; none without a name."""
+    for column, value in (("domain_id", domain), ("topic_id", topic), ("community_id", community)):
+        if value is not None:
+            return nodes.where((F.col("status") == "active") & (F.col(column) == value)).select("id")
+    return nodes.limit(0).select("id")
+
+
+def write_levels(nodes: DataFrame, levels: DataFrame) -> DataFrame:
+    """``nodes`` with topic and domain of their community from ``levels`` (community_id, topic_id, domain_id)."""
+    kept = [c for c in nodes.columns if c not in ("topic_id", "domain_id")]
+    return nodes.select(*kept).join(levels, "community_id", "left").select(*kept, "topic_id", "domain_id")
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that a node reaches over edges in any direction."""
+    found = components(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, different linked pairs, and their share of all pairs."""
+    pairs = edges.where("from_id <> to_id").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
+    out = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs")))  # one row each
+    most = F.col("nodes") * (F.col("nodes") - 1) / 2
+    return out.withColumn("density", F.when(most > 0, F.col("pairs") / most).otherwise(0.0))
+
+
+def summary_members(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """(community_id, place, name, type, description): the members that a summary is written from, most validated first."""
+    order = Window.partitionBy("community_id").orderBy(F.col("validated_count").desc(), "id")
+    own = nodes.where((F.col("status") == "active") & F.col("community_id").isNotNull())
+    return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("community_id", "place", "name", "type", "description")
 
 
 def community_peers(nodes: DataFrame, node_id: str, limit: int = 5) -> DataFrame:

@@ -29,6 +29,7 @@ class Phases:
     dedup: bool = True
     pagerank: bool = True
     communities: bool = True
+    hierarchy: bool = True
     staleness: bool = True
     importance: bool = True
     conflicts: bool = True
@@ -36,7 +37,7 @@ class Phases:
     reverse_memory: bool = True
     duplicate_threshold: float = 0.9
     pagerank_rounds: int = 20
-    label_rounds: int = 10
+    label_rounds: int = 50
 
 
 def _replaced(nodes: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:
@@ -67,11 +68,11 @@ def merge_duplicates(state: GraphState, now_ms: int, threshold: float = 0.9) ->
 
 
 def rank_nodes(state: GraphState, now_ms: int, rounds: int = 20) -> GraphState:
-    ranks = graph.pagerank(state.nodes, state.edges, rounds=rounds)
+    ranks = graph.global_rank(state.nodes, state.edges, rounds=rounds)
     return replace(state, nodes=_replaced(state.nodes, ranks, "pagerank", "rank"))
 
 
-def label_communities(state: GraphState, now_ms: int, rounds: int = 10) -> GraphState:
+def label_communities(state: GraphState, now_ms: int, rounds: int = 50) -> GraphState:
     """Communities of active nodes; inactive ones keep none."""
     labels = graph.label_propagation(state.nodes, state.edges, rounds)
     live = labels.join(state.nodes.where(store.active()).select("id"), "id", "left_semi")
@@ -79,6 +80,18 @@ def label_communities(state: GraphState, now_ms: int, rounds: int = 10) -> Graph
     return replace(state, nodes=_replaced(state.nodes, named, "community_id", "community"))
 
 
+def cluster_communities(state: GraphState, now_ms: int) -> GraphState:
+    """Topic and domain of each node's community, for graphs that have the two columns."""
+    if not {"topic_id", "domain_id"} <= set(state.nodes.columns):
+        return state
+    members = state.nodes.where(F.col("community_id").isNotNull()).select("id", F.col("community_id").alias("label"))
+    topics = graph.hierarchy_level(graph.community_links(state.edges, members), members)
+    above = cut(members.join(topics, "label").select("id", F.col("cluster").alias("label")))
+    domains = graph.hierarchy_level(graph.community_links(state.edges, above), above)
+    levels = topics.toDF("community_id", "topic_id").join(domains.toDF("topic_id", "domain_id"), "topic_id")
+    return replace(state, nodes=graph.write_levels(state.nodes, levels).select(*state.nodes.columns))
+
+
 def score_staleness(state: GraphState, now_ms: int) -> GraphState:
     return replace(state, nodes=_replaced(state.nodes, scoring.staleness(state.nodes, state.edges, now_ms), "staleness_score", "staleness"))
 
@@ -88,11 +101,11 @@ def score_importance(state: GraphState, now_ms: int) -> GraphState:
 
 
 def resolve_conflicts(state: GraphState, now_ms: int, limit: int = 100) -> GraphState:
-    """The first ``limit`` conflicts in order; losers' outgoing edges fade to a tenth."""
-    decided = scoring.conflict_winner(scoring.conflict_candidates(state.nodes, limit))
-    lost = decided.select(F.col("loser_id").alias("from_id")).distinct().withColumn("__lost", F.lit(True))
-    edges = state.edges.join(lost, "from_id", "left").withColumn("weight", F.when(F.col("__lost"), F.col("weight") * 0.1).otherwise(F.col("weight"))).select(*state.edges.columns)
-    return replace(state, nodes=scoring.apply_conflicts(state.nodes, decided, now_ms).select(*state.nodes.columns), edges=edges)
+    """The first ``limit`` conflicts in order: losers are superseded and fade, pairs without a loser merge."""
+    decided = cut(scoring.conflict_winner(scoring.conflict_candidates(state.nodes, limit)))
+    nodes = scoring.apply_conflicts(state.nodes, decided, now_ms).select(*state.nodes.columns)
+    nodes, edges = scoring.merge_conflicts(nodes, scoring.fade_losers(state.edges, decided), decided)
+    return replace(state, nodes=nodes, edges=edges)
 
 
 def reweigh_edges(state: GraphState, now_ms: int) -> GraphState:
@@ -114,6 +127,7 @@ def run(state: GraphState, now_ms: int, phases: Phases | None = None) -> tuple[G
         (p.dedup, lambda s: merge_duplicates(s, now_ms, p.duplicate_threshold)),
         (p.pagerank, lambda s: rank_nodes(s, now_ms, p.pagerank_rounds)),
         (p.communities, lambda s: label_communities(s, now_ms, p.label_rounds)),
+        (p.communities and p.hierarchy, lambda s: cluster_communities(s, now_ms)),
         (p.staleness, lambda s: score_staleness(s, now_ms)),
         (p.importance, lambda s: score_importance(s, now_ms)),
         (p.conflicts, lambda s: resolve_conflicts(s, now_ms)),
@@ -131,9 +145,10 @@ def run_incremental(state: GraphState, dirty: DataFrame, now_ms: int) -> GraphSt
     """Staleness, importance, conflicts and edge weights for dirty nodes alone."""
     nodes = _replaced(state.nodes, scoring.staleness_incremental(state.nodes, dirty, now_ms), "staleness_score", "staleness")
     nodes = _replaced(nodes, scoring.importance_incremental(nodes, dirty, now_ms), "importance_score", "importance")
-    won = scoring.conflict_incremental(nodes, dirty)
-    rivals = nodes.where(store.active() & (F.col("state") == "current")).join(won, "name").where("id <> winner_id").select("id", F.lit("superseded").alias("state"))
-    nodes = _replaced(nodes, rivals, "state", "state")
+    won = scoring.conflict_incremental(nodes, dirty).withColumn("state", F.lit("superseded"))
+    nodes = _replaced(nodes, won, "state", "state")
+    if "superseded_by" in nodes.columns:
+        nodes = _replaced(nodes, won, "superseded_by", "superseded_by")
     return replace(state, nodes=nodes, edges=scoring.bump_dirty(state.edges, dirty).select(*state.edges.columns))
 
 
@@ -154,6 +169,12 @@ def fallback_summary(nodes: DataFrame) -> DataFrame:
     return own.groupBy("community_id").agg(F.substring(text, 1, 100).alias("summary"), F.count(F.lit(1)).alias("member_count"))
 
 
+def upsert_summaries(stored: DataFrame, incoming: DataFrame, now_ms: int) -> DataFrame:
+    """Summaries (id, summary, member_count, updated_at) after those of ``incoming`` replaced or joined them."""
+    kept = stored.join(incoming, "id", "left_anti")
+    return kept.unionByName(incoming.select("id", "summary", "member_count").withColumn("updated_at", F.lit(now_ms).cast("long")))
+
+
 def prune_summaries(summaries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Summaries of communities that still have an active member."""
     return summaries.join(nodes.where(store.active()).select(F.col("community_id").alias("id")), "id", "left_semi")
@@ -180,3 +201,35 @@ def mark_pairs_processed(messages: DataFrame, pairs: DataFrame, now_ms: int) ->
     both = pairs.join(u, ["session_key", "user"]).join(a, ["session_key", "assistant"]).where("ut < at")
     done = both.select(F.col("u_id").alias("id")).unionByName(both.select(F.col("a_id").alias("id"))).distinct().withColumn("__done", F.lit(now_ms))
     return messages.join(done, "id", "left").withColumn("rebuild_processed_at", F.coalesce("__done", "rebuild_processed_at")).drop("__done")
+
+
+#: Settings that a change of takes effect at once; the others need a restart.
+LIVE_SETTINGS = frozenset(Phases.__dataclass_fields__)
+
+
+def merge_settings(base: dict, changes: dict) -> dict:
+    """``base`` with ``changes``, nested settings merged; a null leaves what was there."""
+    out = dict(base)
+    for key, value in changes.items():
+        if isinstance(value, dict) and isinstance(out.get(key), dict):
+            out[key] = merge_settings(out[key], value)
+        elif value is not None:
+            out[key] = value
+    return out
+
+
+def changed_settings(before: dict, after: dict, under: str = "") -> list[str]:
+    """Dotted names of the settings that differ, in order."""
+    out = []
+    for key in sorted(set(before) | set(after)):
+        a, b = before.get(key), after.get(key)
+        out += changed_settings(a, b, f"{under}{key}.") if isinstance(a, dict) and isinstance(b, dict) else [f"{under}{key}"] if a != b else []
+    return out
+
+
+def phases_from(settings: dict) -> Phases:
+    """The phases that a configuration switches; unknown names are an error."""
+    unknown = set(settings) - LIVE_SETTINGS
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return Phases(**settings)

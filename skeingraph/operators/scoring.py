@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..lineage import cut
 from .store import active
 
 
@@ -37,18 +38,24 @@ def importance_incremental(nodes: DataFrame, dirty: DataFrame, now_ms: int) -> D
     return rows.withColumn("importance", scores.importance_incremental(F.col("updated_at"), F.col("validated_count"), F.col("pagerank"), F.col("source"), now_ms))
 
 
-STRUCTURAL = ("MENTIONS", "JUDGED", "HAS_MESSAGE")
+#: Edge types that a phase leaves alone; fixed values.
+SPARED = ("NEXT_SESSION", "CONTAINS")
+#: Edge types that health and merging do not count; fixed values.
+UNCOUNTED = ("NEXT_SESSION", "CONTAINS", "MENTIONS")
+
+
+def business(types: tuple[str, ...] = SPARED):
+    return ~F.col("type").isin(*types)
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Active nodes without an edge that is not structural."""
-    own = edges.where(~F.col("type").isin(*STRUCTURAL))
-    ends = own.select(F.col("from_id").alias("id")).unionByName(own.select(F.col("to_id").alias("id")))
+    """Active nodes without an edge of any type."""
+    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"))
     return nodes.where(active()).join(ends, "id", "left_anti")
 
 
 def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of counts and averages; ``avg_pagerank_top`` divides the ten largest by all active."""
+    """One row of counts and averages, structural edges not counted; ``avg_pagerank_top`` divides the ten largest by all active."""
     counts = nodes.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(active()).alias("active"),
         F.count_if(F.col("state") == "superseded").alias("superseded"), F.count_if(F.col("state") == "transitional").alias("transitional"),
@@ -58,7 +65,7 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     top = nodes.where(active()).orderBy(F.col("pagerank").desc()).limit(10).agg(F.sum("pagerank").alias("top_sum"))
     alone = isolated(nodes, edges).agg(F.count(F.lit(1)).alias("isolated"))
-    linked = edges.agg(F.count(F.lit(1)).alias("edges"))
+    linked = edges.where(business(UNCOUNTED)).agg(F.count(F.lit(1)).alias("edges"))
     out = counts.crossJoin(top).crossJoin(alone).crossJoin(linked)  # one row each
     return out.withColumn("avg_pagerank_top", F.col("top_sum") / F.col("active")).drop("top_sum")
 
@@ -74,50 +81,120 @@ def anomalies(report: DataFrame) -> DataFrame:
 
 
 def conflict_candidates(nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pairs a < b of active current nodes with one name and type, in a fixed order."""
-    keep = ["id", "name", "type", "state", "updated_at", "source", "validated_count", "staleness_score"]
-    own = nodes.where(active() & (F.col("state") == "current")).select(*keep)
-    a = own.select(*[F.col(c).alias(c if c == "name" else f"a_{c}") for c in keep])
-    b = own.select(*[F.col(c).alias(c if c == "name" else f"b_{c}") for c in keep])
-    pairs = a.join(b, "name").where("a_id < b_id and a_type = b_type")
+    """Pairs a < b of active nodes with one name, of which one is transitional or staler than 0.7, in a fixed order.
+
+    Types may differ: such pairs are scanned and :func:`conflict_winner` resolves none.
+    Every pair has an open side, so only those nodes are joined with the others of their name.
+    """
+    keep = ["id", "name", "type", "content", "state", "valid_from", "source", "validated_count", "staleness_score"]
+    own = nodes.where(active()).select(*keep, F.coalesce((F.col("state") == "transitional") | (F.col("staleness_score") > 0.7), F.lit(False)).alias("open"))
+    one, two = own.where("open").alias("x"), own.alias("y")
+    # A pair with two open sides is found from the first.
+    found = one.join(two, F.expr("x.name = y.name and x.id <> y.id and (not y.open or x.id < y.id)"))
+    first = F.col("x.id") < F.col("y.id")
+    sides = [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{s}_{c}") for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in keep if c != "name"]
+    pairs = found.select(F.col("x.name").alias("name"), *sides)
     return pairs.orderBy("a_id", "b_id").limit(limit) if limit else pairs
 
 
-def conflict_winner(pairs: DataFrame, temporal: bool = True) -> DataFrame:
-    """Adds ``winner_id``, ``loser_id`` and ``reason``.
+def conflict_winner(pairs: DataFrame, temporal: bool = True, source: bool = True, confidence: bool = True) -> DataFrame:
+    """Pairs of one type with ``winner_id``, ``loser_id`` and ``reason``.
 
-    Newer validity wins, then the better source, then 1.5 times the validations; else the
-    nodes merge and the one with more fresh validations keeps its place.  Without
-    ``temporal`` priority the first always wins.
+    The later start of validity wins, then the better source, then 1.5 times the
+    validations; else the nodes merge into the one with more fresh validations, ties to
+    the first.  Without ``temporal`` priority the first always wins, as ``temporal``.
     """
     def rank(side: str):
-        return F.when(F.col(f"{side}_source") == "knowledge", 3).when(F.col(f"{side}_source") == "experience", 2).otherwise(1)
-
-    a_time, b_time = F.coalesce("a_updated_at", F.lit(0)), F.coalesce("b_updated_at", F.lit(0))
-    a_n, b_n = F.col("a_validated_count"), F.col("b_validated_count")
-    a_fresh, b_fresh = a_n * (1 - F.col("a_staleness_score")), b_n * (1 - F.col("b_staleness_score"))
-    reason = F.when(a_time != b_time, "temporal").when(rank("a") != rank("b"), "source").when((a_n > 1.5 * b_n) | (b_n > 1.5 * a_n), "confidence").otherwise("merge")
-    wins = F.when(a_time != b_time, a_time > b_time).when(rank("a") != rank("b"), rank("a") > rank("b")).when(a_n > 1.5 * b_n, True).when(b_n > 1.5 * a_n, False).otherwise(a_fresh >= b_fresh)
+        return F.when(F.col(f"{side}_source") == "knowledge", 3).when(F.coalesce(f"{side}_source", F.lit("experience")) == "experience", 2).otherwise(1)
+
+    a_time, b_time = F.coalesce("a_valid_from", F.lit(0)), F.coalesce("b_valid_from", F.lit(0))
+    a_n, b_n = F.coalesce("a_validated_count", F.lit(0)), F.coalesce("b_validated_count", F.lit(0))
+    a_fresh, b_fresh = a_n * (1 - F.coalesce("a_staleness_score", F.lit(0.0))), b_n * (1 - F.coalesce("b_staleness_score", F.lit(0.0)))
+    by_source, a_sure, b_sure = F.lit(source) & (rank("a") != rank("b")), F.lit(confidence) & (a_n > 1.5 * b_n), F.lit(confidence) & (b_n > 1.5 * a_n)
+    reason = F.when(a_time != b_time, "temporal").when(by_source, "source").when(a_sure | b_sure, "confidence").otherwise("merge")
+    wins = F.when(a_time != b_time, a_time > b_time).when(by_source, rank("a") > rank("b")).when(a_sure, True).when(b_sure, False).otherwise(a_fresh >= b_fresh)
     if not temporal:
-        reason, wins = F.lit("first"), F.lit(True)
-    return pairs.withColumn("reason", reason).withColumn("winner_id", F.when(wins, F.col("a_id")).otherwise(F.col("b_id"))).withColumn("loser_id", F.when(wins, F.col("b_id")).otherwise(F.col("a_id")))
+        reason, wins = F.lit("temporal"), F.lit(True)
+    named = pairs.where("a_type = b_type").withColumn("reason", reason)
+    return named.withColumn("winner_id", F.when(wins, F.col("a_id")).otherwise(F.col("b_id"))).withColumn("loser_id", F.when(wins, F.col("b_id")).otherwise(F.col("a_id")))
+
+
+def conflict_decisions(decided: DataFrame, now_ms: int) -> DataFrame:
+    """(id, decision, winner_id, loser_id, ts, reason): a row for each pair that was decided without a merge."""
+    def value(side: str, column: str, default):
+        return F.coalesce(F.col(f"{side}_{column}"), F.lit(default))
+
+    why = F.format_string("staleness: a=%.2f, b=%.2f; validated: a=%d, b=%d; source: a=%s, b=%s", *[value(s, c, d) for c, d in (("staleness_score", 0.0), ("validated_count", 0), ("source", "experience")) for s in ("a", "b")])
+    key = F.md5(F.concat_ws("|", "winner_id", "loser_id").cast("binary"))
+    return decided.where("reason <> 'merge'").select(F.concat(F.lit("decision-"), key).alias("id"), F.col("reason").alias("decision"), "winner_id", "loser_id", F.lit(now_ms).alias("ts"), why.alias("reason"))
 
 
 def apply_conflicts(nodes: DataFrame, decided: DataFrame, now_ms: int) -> DataFrame:
-    """Losers become superseded and fully stale, by the winner with the smallest id."""
-    lost = decided.groupBy("loser_id").agg(F.min("winner_id").alias("superseded_by"))
+    """Losers of decided pairs become superseded and fully stale, by the winner with the smallest id; others stay as they are."""
+    lost = decided.where("reason <> 'merge'").groupBy("loser_id").agg(F.min("winner_id").alias("__by"))
     out = nodes.join(lost, nodes["id"] == lost["loser_id"], "left")
     gone = F.col("loser_id").isNotNull()
-    return out.withColumns({"state": F.when(gone, "superseded").otherwise(F.col("state")), "staleness_score": F.when(gone, 1.0).otherwise(F.col("staleness_score")), "valid_to": F.when(gone, F.lit(now_ms))}).drop("loser_id")
+    new = {"state": F.lit("superseded"), "staleness_score": F.lit(1.0), "valid_to": F.lit(now_ms).cast("long"), "superseded_by": F.col("__by")}
+    known = out if "superseded_by" in nodes.columns else out.withColumn("superseded_by", F.lit(None).cast("string"))
+    return known.withColumns({c: F.when(gone, v).otherwise(F.col(c)) for c, v in new.items()}).drop("loser_id", "__by")
+
+
+def fade_losers(edges: DataFrame, decided: DataFrame) -> DataFrame:
+    """Outgoing edges of the losers of decided pairs at a tenth, structural ones spared."""
+    lost = decided.where("reason <> 'merge'").select(F.col("loser_id").alias("from_id")).distinct().withColumn("__lost", F.lit(True))
+    weaker = F.when(F.col("__lost") & business(), F.col("weight") * 0.1).otherwise(F.col("weight"))
+    return edges.join(lost, "from_id", "left").withColumn("weight", weaker).select(*edges.columns)
+
+
+def merge_conflicts(nodes: DataFrame, edges: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the pairs that merge.
+
+    The winner holds the contents of both in order of id, their validations together, is
+    current and not stale; the loser goes.  Its outgoing edges, structural ones left out, are
+    the winner's: an edge that the winner had keeps half its weight, a new one has 0.5.  Where
+    pairs share nodes, each loser goes to its winner with the smallest id, chains to their end.
+    """
+    from .store import merge_targets
+
+    pairs = cut(decided.where("reason = 'merge'").groupBy(F.col("loser_id").alias("merge_id")).agg(F.min("winner_id").alias("keep_id")))
+    mapping = merge_targets(pairs)
+    grouped = mapping.unionByName(mapping.select(F.col("keep_id").alias("merge_id"), "keep_id").distinct())
+    members = nodes.join(grouped, nodes["id"] == grouped["merge_id"])
+    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("content") != "", F.struct("id", "content")))), lambda x: x["content"])
+    sums = members.groupBy("keep_id").agg(F.array_join(texts, "\n---\n").alias("__content"), F.sum("validated_count").alias("__n"))
+    kept = nodes.join(mapping, nodes["id"] == mapping["merge_id"], "left_anti").join(sums, F.col("id") == F.col("keep_id"), "left")
+    won = F.col("keep_id").isNotNull()
+    changes = {"content": F.col("__content"), "validated_count": F.col("__n"), "state": F.lit("current"), "staleness_score": F.lit(0.0)}
+    kept = kept.withColumns({c: F.when(won, v).otherwise(F.col(c)) for c, v in changes.items()}).select(*nodes.columns)
+    key = ["from_id", "to_id", "type"]
+    copied = edges.where(business()).join(mapping, edges["from_id"] == mapping["merge_id"]).select(F.col("keep_id").alias("from_id"), "to_id", "type").distinct()
+    lost = mapping.select("merge_id")
+    rest = edges.join(lost, edges["from_id"] == lost["merge_id"], "left_anti").join(lost, edges["to_id"] == lost["merge_id"], "left_anti")
+    copied = copied.join(lost, copied["to_id"] == lost["merge_id"], "left_anti").where("from_id <> to_id").withColumn("__copied", F.lit(True))
+    both = rest.join(copied, key, "full_outer")
+    weight = F.when(F.col("__copied"), F.coalesce("weight", F.lit(1.0)) * 0.5).otherwise(F.col("weight"))
+    return kept, both.withColumn("weight", weight).select(*edges.columns)
 
 
 def conflict_incremental(nodes: DataFrame, dirty: DataFrame) -> DataFrame:
-    """(name, winner_id, losers) among current active nodes of a dirty node's name, any type; the newest wins."""
-    own = nodes.where(active() & (F.col("state") == "current"))
-    names = own.join(dirty, own["id"] == dirty["node_id"], "left_semi").select("name").distinct()
-    newest = F.max_by("id", F.struct(F.coalesce("updated_at", F.lit(0)), "id"))
-    groups = own.join(names, "name", "left_semi").groupBy("name").agg(newest.alias("winner_id"), (F.count(F.lit(1)) - 1).alias("losers"))
-    return groups.where("losers > 0")
+    """(id, superseded_by): nodes of any state and type that a node of their name supersedes, where one of the two is dirty.
+
+    A dirty node supersedes what is not newer than it and is superseded by what is newer;
+    of several the newest counts, ties to the larger id.  A name is summed up in one row
+    before its nodes see it, so no pairs are made.
+    """
+    own = nodes.select("id", "name", F.coalesce("updated_at", F.lit(0)).alias("t")).where("name is not null")
+    own = own.join(dirty.select(F.col("node_id").alias("id")).distinct().withColumn("dirty", F.lit(True)), "id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    mark = F.struct("t", "id")
+    tops = own.groupBy("name").agg(F.max(F.when(F.col("dirty"), mark)).alias("top"), F.max(mark).alias("newest")).where("top is not null")
+    held = cut(own.join(tops, "name"))
+    second = held.where("dirty and id <> top.id").groupBy("name").agg(F.max(mark).alias("next"))
+    held = held.join(second, "name", "left")
+    other = F.when(F.col("top.id") != F.col("id"), F.col("top")).otherwise(F.col("next"))
+    by_dirty = F.when(other["t"] >= F.col("t"), other)
+    by_newer = F.when(F.col("dirty") & (F.col("newest.t") > F.col("t")), F.col("newest"))
+    by = F.greatest(by_dirty, by_newer)
+    return held.where(by.isNotNull()).select("id", by["id"].alias("superseded_by"))
 
 
 def used_pairs(judged: DataFrame) -> DataFrame:
@@ -128,26 +205,26 @@ def used_pairs(judged: DataFrame) -> DataFrame:
 
 
 def strengthen(edges: DataFrame, judged: DataFrame) -> DataFrame:
-    """Edges between nodes used together: weight * 1.1 * (1 + 0.05 * usage), at most 5; others as they are."""
+    """Edges between nodes used together: weight * 1.1 * (1 + 0.05 * usage), at most 5; structural and other ones as they are."""
     pairs = used_pairs(judged)
     keyed = edges.withColumns({"a": F.least("from_id", "to_id"), "b": F.greatest("from_id", "to_id")})
     out = keyed.join(pairs, ["a", "b"], "left")
     grown = F.least(F.lit(5.0), F.col("weight") * 1.1 * (1 + 0.05 * F.col("usage")))
-    return out.withColumn("weight", F.when(F.col("usage").isNotNull(), grown).otherwise(F.col("weight"))).drop("a", "b", "usage")
+    return out.withColumn("weight", F.when(F.col("usage").isNotNull() & business(), grown).otherwise(F.col("weight"))).drop("a", "b", "usage")
 
 
 def decay(edges: DataFrame, judged: DataFrame) -> DataFrame:
-    """Edges at an unused node with weight over 0.1: * 0.95, at least 0.1."""
+    """Edges at an unused node with weight over 0.1, structural ones spared: * 0.95, at least 0.1."""
     unused = judged.where("verdict = 'unused'").select(F.col("node_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     out = edges.join(unused.withColumnRenamed("id", "from_id").withColumnRenamed("hit", "f"), "from_id", "left").join(unused.withColumnRenamed("id", "to_id").withColumnRenamed("hit", "t"), "to_id", "left")
     weaker = F.greatest(F.lit(0.1), F.col("weight") * 0.95)
-    touched = (F.col("f").isNotNull() | F.col("t").isNotNull()) & (F.col("weight") > 0.1)
+    touched = (F.col("f").isNotNull() | F.col("t").isNotNull()) & (F.col("weight") > 0.1) & business()
     return out.withColumn("weight", F.when(touched, weaker).otherwise(F.col("weight"))).drop("f", "t")
 
 
 def reweigh(edges: DataFrame, judged: DataFrame, warm_up: int = 40) -> DataFrame:
     """Strengthen, then decay what results, once enough feedback is there."""
-    ready = judged.agg((F.countDistinct("feedback_id") >= warm_up).alias("ready")).first()["ready"]
+    ready = feedback_count(judged).first()["feedbacks"] >= warm_up
     return decay(strengthen(edges, judged), judged) if ready else edges
 
 
@@ -159,6 +236,10 @@ def bump_dirty(edges: DataFrame, dirty: DataFrame, kinds: tuple[str, ...] = ("RE
     return out.withColumn("weight", F.when(touched, scores.clamp(F.col("weight") * 1.1, 0.1, 5.0)).otherwise(F.col("weight"))).drop("f", "t")
 
 
+def feedback_count(judged: DataFrame) -> DataFrame:
+    return judged.agg(F.countDistinct("feedback_id").alias("feedbacks"))
+
+
 def feedback_stats(judged: DataFrame) -> DataFrame:
     return judged.groupBy("node_id").agg(F.count_if(F.col("verdict") == "used").alias("used"), F.count_if(F.col("verdict") == "unused").alias("unused"), F.max(F.when(F.col("verdict") == "used", F.col("ts"))).alias("last_used"))
 

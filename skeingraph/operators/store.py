@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def active(status: str = "status") -> Column:
     """Strictly active."""
@@ -64,6 +66,12 @@ def message_page(messages: DataFrame, session: str, after: int, after_id: str, l
     return own.orderBy("turn", "id").limit(limit)
 
 
+def tolerant_page(messages: DataFrame, session: str, after_ms: int, after_id: str, limit: int, only_open: bool = False) -> DataFrame:
+    """Keyset page by (created_at, id) where the times are numbers or text; rows without a time go last, as time 0 would go first."""
+    timed = messages.withColumn("turn", F.coalesce(tolerant_millis(F.col("created_at")), F.lit((1 << 62))))
+    return message_page(timed, session, after_ms, after_id, limit, only_open).withColumn("created_at", F.col("turn"))
+
+
 def tolerant_millis(value: Column) -> Column:
     """Epoch milliseconds from a number or an ISO time in text; null if neither."""
     return F.coalesce(value.try_cast("bigint"), F.unix_millis(value.try_cast("timestamp")))
@@ -145,43 +153,55 @@ def archive_embedding(nodes: DataFrame, now_ms: int, keep: int = 3) -> DataFrame
 
 
 def merge_targets(pairs: DataFrame) -> DataFrame:
-    """(merge_id, keep_id) with chains followed to their end, one level of pairs per step."""
-    mapped = pairs
-    while True:
-        onward = mapped.alias("m").join(pairs.alias("p"), F.col("m.keep_id") == F.col("p.merge_id"), "left")
-        onward = onward.select("m.merge_id", F.coalesce("p.keep_id", "m.keep_id").alias("keep_id"), F.col("p.keep_id").isNotNull().alias("moved"))
+    """(merge_id, keep_id) with chains followed to their end, twice as far in each step; a cycle is an error."""
+    mapped = cut(pairs.select("merge_id", "keep_id"))
+    for _ in range(40):
+        onward = mapped.alias("m").join(mapped.alias("p"), F.col("m.keep_id") == F.col("p.merge_id"), "left")
+        onward = cut(onward.select("m.merge_id", F.coalesce("p.keep_id", "m.keep_id").alias("keep_id"), F.col("p.keep_id").isNotNull().alias("moved")))
+        if not onward.where("merge_id = keep_id").isEmpty():
+            break
         if onward.where("moved").isEmpty():
             return mapped
         mapped = onward.drop("moved")
+    raise ValueError("merges run in a cycle")
+
+
+#: Edge types whose weight a merge leaves alone; fixed values.
+_STRUCTURAL = ("NEXT_SESSION", "CONTAINS", "MENTIONS")
 
 
 def merge_redirect(edges: DataFrame, mapping: DataFrame, leftover: float = 0.1) -> DataFrame:
     """Edges after merging nodes: redirected to the kept node, weights of equal edges summed.
 
-    What still touches a merged node stays with weight ``leftover``; an edge that would
-    become a loop is not redirected.
+    What still touches a merged node stays, with weight ``leftover`` unless it is
+    structural; an edge that would become a loop is not redirected.  Different instructions
+    of edges that become one are joined by `` | ``, the kept node's own first.
     """
     m = mapping.select(F.col("merge_id"), F.col("keep_id"))
     moved = edges.join(m.toDF("from_id", "keep_from"), "from_id", "left").join(m.toDF("to_id", "keep_to"), "to_id", "left")
     moved = moved.withColumn("touched", F.col("keep_from").isNotNull() | F.col("keep_to").isNotNull())
-    ends = moved.select(F.coalesce("keep_from", "from_id").alias("from_id"), F.coalesce("keep_to", "to_id").alias("to_id"), "type", "weight", "touched")
-    redirected = ends.where("not touched or from_id <> to_id").groupBy("from_id", "to_id", "type").agg(F.sum("weight").alias("weight"))
-    left = moved.where("touched").select("from_id", "to_id", "type", F.lit(leftover).alias("weight"))
+    told = "instruction" in edges.columns
+    extra = [F.struct("touched", "from_id", "to_id", "instruction").alias("said")] if told else []
+    ends = moved.select(F.coalesce("keep_from", "from_id").alias("new_from"), F.coalesce("keep_to", "to_id").alias("new_to"), "type", "weight", "touched", *extra)
+    sums = [F.sum("weight").alias("weight")]
+    if told:
+        said = F.filter(F.transform(F.sort_array(F.collect_list("said")), lambda x: x["instruction"]), lambda x: x.isNotNull() & (F.trim(x) != ""))
+        sums.append(F.when(F.size(said) > 0, F.array_join(F.array_distinct(said), " | ")).alias("instruction"))
+    redirected = ends.where("not touched or new_from <> new_to").groupBy("new_from", "new_to", "type").agg(*sums).withColumnsRenamed({"new_from": "from_id", "new_to": "to_id"})
+    weight = F.when(F.col("type").isin(*_STRUCTURAL), F.col("weight")).otherwise(F.lit(leftover)).alias("weight")
+    left = moved.where("touched").select("from_id", "to_id", "type", weight, *(["instruction"] if told else []))
     return redirected.unionByName(left)
 
 
 def merge_nodes(nodes: DataFrame, mapping: DataFrame, now_ms: int) -> DataFrame:
-    """Nodes after a merge: kept ones gain the merged ones' validated counts, merged ones are superseded."""
+    """Nodes after a merge: kept ones gain the merged ones' validated counts, merged ones are superseded now; others stay as they are."""
     gained = nodes.join(mapping, F.col("id") == F.col("merge_id")).groupBy("keep_id").agg(F.sum("validated_count").alias("gain"))
     out = nodes.join(mapping, F.col("id") == F.col("merge_id"), "left").join(gained.withColumnRenamed("keep_id", "gained_id"), F.col("id") == F.col("gained_id"), "left")
+    out = out if "superseded_by" in nodes.columns else out.withColumn("superseded_by", F.lit(None).cast("string"))
     gone = F.col("merge_id").isNotNull()
-    changed = {
-        "validated_count": F.col("validated_count") + F.when(gone, 0).otherwise(F.coalesce("gain", F.lit(0))),
-        "status": F.when(gone, "merged").otherwise(F.col("status")),
-        "state": F.when(gone, "superseded").otherwise(F.col("state")),
-        "valid_to": F.when(gone, F.lit(now_ms)),
-        "superseded_by": F.col("keep_id"),
-    }
+    changed = {"validated_count": F.coalesce("validated_count", F.lit(0)) + F.when(gone, 0).otherwise(F.coalesce("gain", F.lit(0)))}
+    new = {"status": F.lit("merged"), "state": F.lit("superseded"), "valid_to": F.lit(now_ms).cast("long"), "updated_at": F.lit(now_ms).cast("long"), "superseded_by": F.col("keep_id")}
+    changed |= {c: F.when(gone, v).otherwise(F.col(c)) for c, v in new.items()}
     return out.withColumns(changed).drop("merge_id", "keep_id", "gained_id", "gain")
 
 
@@ -203,3 +223,73 @@ def migrate_model(rows: DataFrame, configured: str) -> DataFrame:
     """Clears embedding and hash of every row of another model."""
     same = F.coalesce("embedding_model", F.lit("unknown")) == configured
     return rows.withColumns({c: F.when(same, F.col(c)) for c in ("embedding", "embedding_hash")})
+
+
+def project_nodes(records: DataFrame) -> DataFrame:
+    """Node records with the defaults of what is missing; the type falls back to the label, else TASK."""
+    text = {c: F.coalesce(c, F.lit("")) for c in ("name", "description", "content")}
+    numbers = {c: F.coalesce(c, F.lit(0)).cast(t) for c, t in (("pagerank", "double"), ("validated_count", "long"), ("created_at", "long"), ("updated_at", "long"))}
+    return records.withColumns({"type": F.coalesce("type", F.upper("label"), F.lit("TASK")), "status": F.coalesce("status", F.lit("active"))} | text | numbers).drop("label")
+
+
+def project_edges(records: DataFrame) -> DataFrame:
+    """Edge records with defaults: the id is from-to-type, the weight 1, the instruction empty."""
+    ends = {c: F.coalesce(c, F.lit("")) for c in ("from_id", "to_id", "instruction")}
+    out = records.withColumns(ends)
+    return out.withColumns({"id": F.coalesce("id", F.concat_ws("-", "from_id", "to_id", "type")), "weight": F.coalesce(F.col("weight").cast("double"), F.lit(1.0)), "created_at": F.coalesce("created_at", F.lit(0)).cast("long"), "updated_at": F.coalesce("updated_at", F.lit(0)).cast("long")})
+
+
+def in_scope(nodes: DataFrame, scope: str = "production") -> DataFrame:
+    """All nodes in the benchmark scope, else those that are not of it."""
+    return nodes if scope == "benchmark" else nodes.where(F.coalesce(F.col("scope") != "benchmark", F.lit(True)))
+
+
+def without_prefix(nodes: DataFrame, edges: DataFrame, prefix: str = "bench-") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after deleting every node whose id starts so, with its edges."""
+    return nodes.where(~F.col("id").startswith(prefix)), edges.where(~F.col("from_id").startswith(prefix) & ~F.col("to_id").startswith(prefix))
+
+
+#: Parts of the names of sessions that hold no dialogue; fixed values.
+INNER_SESSIONS = (":active-memory:", "dreaming-narrative")
+
+
+def without_sessions(keys: DataFrame, parts: tuple[str, ...] = (), memory: bool = False) -> DataFrame:
+    """Session keys that hold none of ``parts``, by default of the inner sessions (``memory`` lets those of memory in)."""
+    barred = parts or tuple(p for p in INNER_SESSIONS if not (memory and p == ":active-memory:"))
+    for part in barred:
+        keys = keys.where(~F.col("session_key").contains(part))
+    return keys
+
+
+def cleared(*frames: DataFrame) -> tuple[DataFrame, ...]:
+    """Every frame without its rows."""
+    return tuple(f.limit(0) for f in frames)
+
+
+def upsert_messages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows after merging by id; an incoming message replaces all its fields, and the processed mark stays."""
+    fields = ["session_key", "turn", "role", "content", "created_at"]
+    both = stored.alias("s").join(incoming.withColumn("__new", F.lit(True)).alias("i"), F.col("s.id") == F.col("i.id"), "full_outer")
+    new = F.coalesce(F.col("i.__new"), F.lit(False))
+    taken = [F.when(new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in fields]
+    return both.select(F.coalesce("s.id", "i.id").alias("id"), *taken, "s.rebuild_processed_at")
+
+
+def save_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``nodes`` with embedding, hash and model of those in ``vectors`` (id, ...), and their chunks if it has any."""
+    fields = ["embedding", "embedding_hash", "embedding_model", *[c for c in ("chunk_texts", "chunk_embeddings") if c in vectors.columns]]
+    both = nodes.alias("n").join(vectors.select("id", *fields).withColumn("__new", F.lit(True)).alias("v"), "id", "left")
+    return both.select(*[F.when(F.col("v.__new"), F.col(f"v.{c}")).otherwise(F.col(f"n.{c}")).alias(c) if c in fields else F.col("id") if c == "id" else F.col(f"n.{c}") for c in nodes.columns])
+
+
+def vector_hash(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    return by_id(nodes, ids).select("id", "embedding_hash")
+
+
+#: Most that an argument may be.
+MOST = {"top": 100, "search": 50, "nodes": 500, "messages": 1000, "depth": 5}
+
+
+def clamped(kind: str, value: int | None, default: int = 10) -> int:
+    """A limit of a request, at least 1 and at most what its kind allows."""
+    return max(1, min(MOST[kind], default if value is None else int(value)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-#: Parameter: least, most, step.
+#: Parameter: least, most, step; bounds are fixed values.
 BOUNDS: dict[str, tuple[float, float, float]] = {
-    "recall_limit": (3, 20, 1), "walk_depth": (1, 5, 1), "damping": (0.5, 0.95, 0.05), "temporal_weight": (0.0, 0.8, 0.1), "duplicate_threshold": (0.7, 0.98, 0.02),
+    "recall_limit": (3, 15, 2), "walk_depth": (1, 4, 1), "damping": (0.7, 0.95, 0.05), "rank_rounds": (10, 50, 5), "duplicate_threshold": (0.8, 0.98, 0.02),
+    "fresh_tail": (5, 20, 1), "vector_top_k": (5, 30, 1), "compact_turns": (3, 12, 1), "interim_turns": (5, 30, 1), "extract_interval_ms": (900_000, 3_600_000, 300_000),
 }
 
 
@@ -28,7 +29,7 @@ def diagnose(r: Round) -> list[str]:
 
 def propose(r: Round, turn: int, stagnant: int) -> dict[str, float]:
     """One step of one parameter for the first finding; after five stagnant rounds, the next in turn."""
-    moves = {"ranking": ("temporal_weight", -1), "coverage": ("recall_limit", 1), "latency": ("walk_depth", -1), "answers": ("walk_depth", 1)}
+    moves = {"ranking": ("damping", 1), "coverage": ("recall_limit", 1), "latency": ("rank_rounds", -1), "answers": ("walk_depth", 1)}
     found = diagnose(r)
     names = sorted(BOUNDS)
     name, sign = moves[found[0]] if found and stagnant < 5 else (names[turn % len(names)], 1 if turn % 2 == 0 else -1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import matrix, text
-from ..operators import evaluate, ingest, recall
+from ..operators import cases, evaluate, ingest, recall, scoring
 from ..sources import tables as t
 from ..streaming import conversations as streams
 from .registry import query
@@ -53,7 +54,7 @@ def heuristic_triples(spark, sf):
 
 _EVAL = {
     "words": r"SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents",
-    "asked": r"SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:6]) AS w FROM benchmark",
+    "asked": r"SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark",
     "overlap": "SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(w) AS term FROM asked) JOIN (SELECT doc_id, unnest(w) AS term FROM words) USING (term) GROUP BY 1, 2",
     "ranked": "SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM overlap) WHERE rank <= 10",
     "expected": "SELECT item_id, doc_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)",
@@ -63,28 +64,35 @@ _EVAL = {
 
 
 def _ranked(spark, sf):
+    """Documents by how many of a passage's different words they have; the benchmark is a fixed set, and so are its words."""
     from pyspark.sql import Window
 
     docs, items = t.read(spark, sf, "documents"), t.read(spark, sf, "benchmark")
-    terms = F.array_distinct(text.tokens(F.col("text")))
-    asked = items.select("item_id", F.explode(F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 6))).alias("term"))
-    held = docs.select("doc_id", F.explode(terms).alias("term"))
-    overlap = held.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = items.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    known = asked.agg(F.collect_set("term").alias("known"))
+    held = docs.select("doc_id", text.tokens(F.col("text")).alias("own")).crossJoin(F.broadcast(known))  # one row
+    held = held.select("doc_id", F.explode(F.array_intersect("own", "known")).alias("term"))
+    overlap = held.join(F.broadcast(asked), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("n").desc(), "doc_id"))
     return overlap.withColumn("rank", place).where("rank <= 10").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), "rank")
 
 
 def _expected(spark, sf):
-    """Passages in documents, found by the hash of a window of words that both share."""
+    """Passages in documents, found by four words that both have in a row; short passages are looked for in every document."""
     docs, items = t.read(spark, sf, "documents"), t.read(spark, sf, "benchmark")
     words = F.filter(F.split("text", r"[\s]+"), lambda w: w != "")
 
-    def grams(size_col):
-        return F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
-
-    own = items.withColumn("w", words).where(F.size("w") >= 6).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("g"))
-    held = docs.withColumn("w", words).where(F.size("w") >= 6).select("doc_id", "text", F.explode(F.array_distinct(grams("w"))).alias("g"))
-    near = held.join(F.broadcast(own), "g").where(F.col("text").contains(F.col("passage")))  # the benchmark is a fixed set
+    def gram(i):
+        return F.xxhash64(F.array_join(F.slice("w", i, 4), " "))
+
+    sized = items.withColumn("w", words)
+    own = sized.where(F.size("w") >= 6).select("item_id", F.col("text").alias("passage"), gram(2).alias("g"))
+    known = own.agg(F.collect_set("g").alias("known"))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), gram)
+    held = docs.withColumn("w", words).crossJoin(F.broadcast(known)).select("doc_id", "text", F.explode(F.array_intersect(every, "known")).alias("g"))  # one row
+    near = held.join(F.broadcast(own), "g").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = sized.where(F.size("w") < 6).select("item_id", F.col("text").alias("passage"))
+    near = near.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
     return near.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id")).distinct()
 
 
@@ -102,6 +110,72 @@ def eval_report(spark, sf):
     return out.withColumns({c: F.round(c, _R) for c in ("p1", "p3", "mrr")})
 
 
+@query("eval_macro", "SELECT count(*) AS datasets, round(avg(p1), 6) AS p1, round(avg(p3), 6) AS p3, round(avg(mrr), 6) AS mrr FROM (SELECT dataset, avg(CASE WHEN first_rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS p1, avg(CASE WHEN first_rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) AS p3, avg(coalesce(1.0::DOUBLE / first_rank, 0)) AS mrr FROM measured GROUP BY 1)", _EVAL)
+def eval_macro(spark, sf):
+    found = evaluate.hits(_ranked(spark, sf), _expected(spark, sf))
+    named = found.select(F.concat(F.lit("d"), F.col("case_id") % 2).alias("dataset"), F.concat(F.lit("k"), F.col("case_id") % 3).alias("category"), "first_rank")
+    out = evaluate.macro(evaluate.report(named, ["dataset", "category"]))
+    return out.withColumns({c: F.round(c, _R) for c in ("p1", "p3", "mrr")})
+
+
+_RESULTS = {"results": "SELECT event_id AS case_id, event_id % 3 = 0 AS hit1, event_id % 3 <> 1 AS hit3, (event_id % 10) / 10.0::DOUBLE AS f1, coalesce(value, 0) * 20 AS latency_ms, event_id % 9 AS recalled, event_id % 7 * 50 AS tokens FROM events"}
+
+
+def _results(spark, sf):
+    k = F.col("event_id")
+    return t.read(spark, sf, "events").select(k.alias("case_id"), (k % 3 == 0).alias("hit1"), (k % 3 != 1).alias("hit3"), (k % 10 / 10).alias("f1"), (F.coalesce("value", F.lit(0.0)) * 20).alias("latency_ms"), (k % 9).alias("recalled"), (k % 7 * 50).alias("tokens"))
+
+
+@query("failed_cases", "SELECT case_id FROM results WHERE NOT hit1", _RESULTS)
+def failed_cases(spark, sf):
+    return evaluate.failed_cases(_results(spark, sf)).select("case_id")
+
+
+@query("eval_findings", """SELECT failed, too_few, slow, too_few > 0 AS coverage, slow > failed / 2 AS latency, p1 < 0.3 AND p3 > 2 * p1 AS ranking, f1 < 0.2 AS answers FROM (SELECT count(*) FILTER (NOT hit1) AS failed, count(*) FILTER (NOT hit1 AND f1 < 0.3 AND recalled < 5) AS too_few, count(*) FILTER (NOT hit1 AND latency_ms > 1000) AS slow,
+    avg(hit1::INT) AS p1, avg(hit3::INT) AS p3, avg(f1) AS f1 FROM results)""", _RESULTS)
+def eval_findings(spark, sf):
+    return evaluate.findings(_results(spark, sf)).drop("p1", "p3", "f1")
+
+
+@query("average_tokens", "SELECT round(avg(tokens), 6) AS tokens FROM results", _RESULTS)
+def average_tokens(spark, sf):
+    return evaluate.average_tokens(_results(spark, sf)).select(F.round("tokens", _R).alias("tokens"))
+
+
+@query("expected_matches", "SELECT DISTINCT case_id, id FROM (SELECT case_id, id FROM asked_for UNION ALL SELECT r.case_id, r.id FROM listed r JOIN nodes n ON r.id = n.id JOIN asked_for a ON a.case_id = r.case_id AND a.id = n.name)", {
+    "asked_for": "SELECT validated_count AS case_id, CASE WHEN substr(id, 2)::INT % 2 = 0 THEN id ELSE name END AS id FROM skills",
+    "listed": "SELECT validated_count AS case_id, id FROM skills WHERE substr(id, 2)::INT % 3 <> 0",
+})
+def expected_matches(spark, sf):
+    nodes = t.nodes(spark, sf)
+    skills = nodes.where("type = 'SKILL'")
+    k = F.substring("id", 2, 9).cast("int")
+    expected = skills.select(F.col("validated_count").alias("case_id"), F.when(k % 2 == 0, F.col("id")).otherwise(F.col("name")).alias("id"))
+    return evaluate.match(skills.where(k % 3 != 0).select(F.col("validated_count").alias("case_id"), "id"), expected, nodes)
+
+
+@query("sample_eval")
+def sample_eval(spark, sf):
+    known = cases.sample_cases(spark)
+    return cases.case_results(known, cases.rank_in_cases(known)).withColumns({c: F.round(c, _R) for c in ("rr", "f1")})
+
+
+@query("last_exchange", "SELECT session_key, max_by(content, (turn, id)) FILTER (role = 'user') AS user, max_by(content, (turn, id)) FILTER (role = 'assistant') AS assistant FROM messages GROUP BY 1")
+def last_exchange(spark, sf):
+    return evaluate.last_exchange(t.messages(spark, sf))
+
+
+@query("session_extremes", "SELECT session_key, count(*) AS messages, max(turn) AS max_turn, ceil(count(*) / 3.0::DOUBLE)::BIGINT AS pages FROM messages GROUP BY 1")
+def session_extremes(spark, sf):
+    return evaluate.extremes(t.messages(spark, sf), 3)
+
+
+@query("tuning_rounds", "SELECT turn, max(p1) OVER w AS best, turn - max(CASE WHEN news THEN turn END) OVER w AS stagnant FROM (SELECT *, p1 > coalesce(max(p1) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS news FROM (SELECT i AS turn, (i * 7 % 11) / 11.0::DOUBLE AS p1 FROM range(40) r(i))) WINDOW w AS (ORDER BY turn)")
+def tuning_rounds(spark, sf):
+    rounds = spark.range(40).select(F.col("id").alias("turn"), (F.col("id") * 7 % 11 / 11).alias("p1"))
+    return evaluate.running_best(rounds).select("turn", "best", "stagnant")
+
+
 _F1 = {
     "toks": r"SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\w一-鿿\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS w FROM conversations",
     "twos": "SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS n FROM toks a JOIN toks b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
@@ -162,6 +236,28 @@ def context_xml(spark, sf):
     return recall.assemble(t.nodes(spark, sf).where("community_id in ('c-3', 'c-4')"), 4000)
 
 
+@query("prompt_header", "SELECT count(*) AS nodes, count(*) FILTER (validated_count > 10) AS recalled, count(*) FILTER (type = 'SKILL') AS skills, count(*) FILTER (type = 'EVENT') AS events, count(*) FILTER (type = 'TASK') AS tasks, true AS rich FROM nodes WHERE community_id = 'c-3'")
+def prompt_header(spark, sf):
+    rows = t.nodes(spark, sf).where("community_id = 'c-3'").withColumn("src", F.when(F.col("validated_count") > 10, "recalled").otherwise("active"))
+    return recall.prompt_header(rows, 1)
+
+
+_INSIDE = {"chosen": "SELECT id FROM nodes WHERE community_id = 'c-3'", "inside": "SELECT count(*) AS edges FROM edges WHERE from_id IN (SELECT id FROM chosen) AND to_id IN (SELECT id FROM chosen)"}
+
+
+@query("recall_tokens", "SELECT 'precise' AS kind, n AS nodes, edges, n * 50 + edges * 20 AS tokens FROM (SELECT count(*) AS n FROM chosen), inside UNION ALL SELECT 'merged', n, edges, n * 40 + edges * 15 FROM (SELECT count(*) AS n FROM chosen), inside UNION ALL SELECT 'general', n, 0, n * 30 FROM (SELECT count(*) AS n FROM chosen)", _INSIDE)
+def recall_tokens(spark, sf):
+    found, edges = t.nodes(spark, sf).where("community_id = 'c-3'").select("id"), t.edges(spark, sf)
+    parts = [recall.with_edges(found, edges, k)[1].withColumn("kind", F.lit(k)) for k in ("precise", "merged", "general")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("merged_edges", "SELECT from_id, to_id, type, CASE WHEN weight > 0.5 THEN weight + 1 ELSE weight END AS weight FROM edges WHERE type IN ('LEADS_TO', 'CAUSED_BY')")
+def merged_edges(spark, sf):
+    edges = t.edges(spark, sf).where("type in ('LEADS_TO', 'CAUSED_BY')")
+    return recall.merged_edges(edges, edges.where("weight > 0.5").withColumn("weight", F.col("weight") + 1))
+
+
 _VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 
 
@@ -177,7 +273,7 @@ def recall_precise(spark, sf):
 
 @query("recall_multistage")
 def recall_multistage(spark, sf):
-    out = recall.staged(t.nodes(spark, sf), t.edges(spark, sf), _embeddings(spark, sf), "part brand 17", _VECTOR, t.PART_NOW)
+    out = recall.staged(t.nodes(spark, sf), t.edges(spark, sf), _embeddings(spark, sf), "building 17 brand", _VECTOR, t.PART_NOW)
     return out.select("id", F.round("rank_score", _R).alias("rank_score"))
 
 
@@ -190,11 +286,11 @@ def recall_generalized(spark, sf):
     return out.select("id", F.round("rank", _R).alias("rank"))
 
 
-@query("recall_merged", f"""SELECT id, row_number() OVER (ORDER BY stale, round(w, 9) DESC, pagerank DESC, id)::INT AS place FROM (SELECT *, state IN ('superseded', 'transitional') AS stale, importance_score * (1 - staleness_score) + 0.3::DOUBLE * CASE WHEN state IN ('superseded', 'transitional') THEN 0.0::DOUBLE
-    ELSE exp(-greatest(0.0::DOUBLE, CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({t.PART_NOW} - updated_at) / 86400000.0::DOUBLE END) / 30) END AS w FROM skills WHERE validated_count IN (3, 4, 5))""")
+@query("recall_merged", f"""SELECT id, row_number() OVER (ORDER BY stale, round(w, 9) DESC, pagerank DESC, id)::INT AS place FROM (SELECT *, state IN ('superseded', 'transitional') AS stale, importance_score * (1 - staleness_score) + 0.3::DOUBLE * CASE WHEN state IN ('superseded', 'transitional') OR coalesce(valid_to > 0 AND valid_to < {t.PART_NOW}, false) THEN 0.0::DOUBLE
+    ELSE exp(-greatest(0.0::DOUBLE, CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({t.PART_NOW} - updated_at) / 86400000.0::DOUBLE END) / 30) END AS w FROM nodes WHERE validated_count IN (3, 4, 5))""")
 def recall_merged(spark, sf):
-    skills = t.skills(spark, sf)
-    return recall.merged(skills, skills.where("validated_count in (3, 4)"), skills.where("validated_count in (4, 5)"), t.PART_NOW).select("id", "place")
+    nodes = t.nodes(spark, sf)
+    return recall.merged(nodes, nodes.where("validated_count in (3, 4)"), nodes.where("validated_count in (4, 5)"), t.PART_NOW).select("id", "place")
 
 
 _ENTRIES = {"entries": "SELECT i, j, CASE WHEN i = j THEN 1 + (i % 5) / 10::DOUBLE ELSE ((i * 7 + j * 3) % 13 - 4) / 37::DOUBLE END AS v FROM range(64) a(i), range(64) b(j)"}
@@ -216,11 +312,20 @@ def matrix_shape(spark, sf):
     return out.select(*[F.round(c, _R).alias(c) for c in out.columns])
 
 
-@query("matrix_transform", "SELECT vec_id, round(sum(v * embedding[j + 1]::DOUBLE) FILTER (i = 0), 6) AS y0, round(sum(v * embedding[j + 1]::DOUBLE) FILTER (i = 63), 6) AS y63 FROM embeddings, entries WHERE i IN (0, 63) GROUP BY 1", _ENTRIES)
+@query("matrix_energy", "SELECT i, round(sqrt(sum(v * v)), 6) AS energy FROM entries GROUP BY 1", _ENTRIES)
+def matrix_energy(spark, sf):
+    return matrix.row_energy(_entries(spark)).withColumn("energy", F.round("energy", _R))
+
+
+@query("matrix_transform", """SELECT vec_id AS id, i::INT AS i, round(1.25::DOUBLE * (1 + i / 100.0::DOUBLE) * (sum(v * (embedding[j + 1]::DOUBLE - j / 640.0::DOUBLE) / sqrt(1 + j / 64.0::DOUBLE + 1e-8::DOUBLE)) + i / 50.0::DOUBLE), 6) AS y FROM embeddings, entries GROUP BY vec_id, i""", _ENTRIES)
 def matrix_transform(spark, sf):
-    rows = [[1 + (i % 5) / 10 if i == j else ((i * 7 + j * 3) % 13 - 4) / 37 for j in range(64)] for i in (0, 63)]
-    out = t.read(spark, sf, "embeddings").withColumn("y", matrix.apply_rows(F.col("embedding"), rows))
-    return out.select("vec_id", F.round(F.col("y")[0], _R).alias("y0"), F.round(F.col("y")[1], _R).alias("y63"))
+    """Normalisation, the whole matrix, bias, gain and row scale."""
+    at = np.arange(64)
+    state = matrix.Association(64, feedback=100)
+    state.m = np.array([[1 + (i % 5) / 10 if i == j else ((i * 7 + j * 3) % 13 - 4) / 37 for j in at] for i in at])
+    state.bias, state.mean, state.var, state.row_scale, state.gain = at / 50, at / 640, 1 + at / 64, 1 + at / 100, 1.25
+    out = matrix.transform_rows(t.read(spark, sf, "embeddings"), matrix.Association.load(state.dump()))
+    return out.withColumn("y", F.round("y", _R))
 
 
 @query("stream_turn_pairs", 'SELECT session_key, pair, turn, "user", assistant FROM paired', _PAIRS)
@@ -228,8 +333,41 @@ def stream_turn_pairs(spark, sf):
     return streams.drain(streams.stream_turn_pairs(streams.message_stream(spark, f"{sf}/conversations.parquet*")))
 
 
-@query("stream_sessions")
+_SESSIONS = {
+    "gapped": "SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "numbered": "SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM gapped",
+}
+
+
+@query("stream_sessions", "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM numbered GROUP BY user_id, nth", _SESSIONS)
 def stream_sessions(spark, sf):
     schema = t.read(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return streams.drain_whole(streams.stream_sessions(events, "6 hours", "1 day"))
+    out = streams.drain_whole(streams.stream_sessions(events, "6 hours", "1 day"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("stream_flushes", "SELECT session_key, flush::BIGINT AS flush, count(*) AS n, md5(string_agg(content, '|' ORDER BY turn)) AS hash FROM (SELECT *, (row_number() OVER (PARTITION BY session_key ORDER BY turn) - 1) // 3 AS flush FROM messages WHERE role IN ('user', 'assistant')) GROUP BY 1, 2 HAVING count(*) = 3")
+def stream_flushes(spark, sf):
+    out = streams.drain(streams.stream_flushes(streams.message_stream(spark, f"{sf}/conversations.parquet*"), 3))
+    return out.select("session_key", "flush", "n", F.md5(F.array_join("texts", "|").cast("binary")).alias("hash"))
+
+
+@query("stream_distinct", "SELECT DISTINCT md5(content) AS hash FROM messages WHERE role IN ('user', 'assistant') AND length(content) BETWEEN 40 AND 4000")
+def stream_distinct(spark, sf):
+    rows = streams.message_stream(spark, f"{sf}/conversations.parquet*").withColumn("ts", F.timestamp_seconds("turn"))
+    return streams.drain(streams.stream_distinct(rows, late="1 day")).select(F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
+@query("stream_dirty_refresh", f"""SELECT id, round(CASE WHEN state = 'superseded' THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age > 365 THEN 0.8::DOUBLE WHEN age > 180 THEN 0.5::DOUBLE WHEN age > 90 THEN 0.3::DOUBLE WHEN age > 45 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
+    - CASE WHEN source = 'knowledge' THEN 0.1::DOUBLE ELSE 0 END)) END, 6) AS staleness FROM (SELECT *, CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({t.PART_NOW} - updated_at) / 86400000.0::DOUBLE END AS age FROM nodes WHERE status = 'active' AND id IN (SELECT 'S' || event_id % 50 FROM events WHERE event_type = 'purchase'))""")
+def stream_dirty_refresh(spark, sf):
+    """Purchases make a skill dirty; each micro-batch scores the nodes that it names."""
+    schema = t.read(spark, sf, "events").schema
+    bought = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*").where("event_type = 'purchase'")
+    changes = bought.select(F.concat(F.lit("S"), F.col("event_id") % 50).alias("node_id"))
+
+    def score(nodes, dirty):
+        return scoring.staleness_incremental(nodes, dirty, t.PART_NOW).select("id", F.round("staleness", _R).alias("staleness"))
+
+    return streams.dirty_refresh(changes, t.nodes(spark, sf), score)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, search, vectors
+from ..lineage import cut
+from ..operators import embed, graph, recall, search, vectors
 from ..sources import tables as t
 from .registry import query
 
@@ -44,19 +45,19 @@ def chunk_similarity(spark, sf):
     return vectors.chunk_similarity(_chunked(spark, sf), _QUERY).select("vec_id", F.round("similarity", _R).alias("similarity"))
 
 
-_RECENT = f"CASE WHEN state IN ('superseded', 'transitional') THEN 0.0::DOUBLE ELSE exp(-greatest(0.0::DOUBLE, CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({t.PART_NOW} - updated_at) / 86400000.0::DOUBLE END) / 30) END"
+_RECENT = f"CASE WHEN state IN ('superseded', 'transitional') OR coalesce(valid_to > 0 AND valid_to < {t.PART_NOW}, false) THEN 0.0::DOUBLE ELSE exp(-greatest(0.0::DOUBLE, CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({t.PART_NOW} - updated_at) / 86400000.0::DOUBLE END) / 30) END"
 
 
-@query("temporal_recency", f"SELECT id, round({_RECENT}, 6) AS recency FROM skills")
+@query("temporal_recency", f"SELECT id, round({_RECENT}, 6) AS recency FROM nodes")
 def temporal_recency(spark, sf):
-    recency = scores.temporal_recency(F.col("updated_at"), F.lit(None).cast("bigint"), F.col("state"), t.PART_NOW)
-    return t.skills(spark, sf).select("id", F.round(recency, _R).alias("recency"))
+    recency = scores.temporal_recency(F.col("updated_at"), F.col("valid_to"), F.col("state"), t.PART_NOW)
+    return t.nodes(spark, sf).select("id", F.round(recency, _R).alias("recency"))
 
 
-@query("combined_rank", f"SELECT id, round(0.7::DOUBLE * (0.7::DOUBLE * similarity + 0.3::DOUBLE * importance_score * (1 - staleness_score)) + 0.3::DOUBLE * {_RECENT}, 6) AS rank_score FROM skills JOIN (SELECT 'S' || vec_id AS id, {_COS.format(a='embedding', b=_Q)} AS similarity FROM embeddings) USING (id)")
+@query("combined_rank", f"SELECT id, round(0.7::DOUBLE * (0.7::DOUBLE * similarity + 0.3::DOUBLE * importance_score * (1 - staleness_score)) + 0.3::DOUBLE * {_RECENT}, 6) AS rank_score FROM nodes JOIN (SELECT 'S' || vec_id AS id, {_COS.format(a='embedding', b=_Q)} AS similarity FROM embeddings) USING (id)")
 def combined_rank(spark, sf):
     near = _vectors(spark, sf).select(F.concat(F.lit("S"), "vec_id").alias("id"), scores.cosine(F.col("embedding"), vectors.literal(_QUERY)).alias("similarity"))
-    rows = t.skills(spark, sf).join(near, "id").withColumn("valid_to", F.lit(None).cast("bigint"))
+    rows = t.nodes(spark, sf).join(near, "id")
     return vectors.rank(rows, t.PART_NOW).select("id", F.round("rank_score", _R).alias("rank_score"))
 
 
@@ -85,6 +86,11 @@ def normal_names(spark, sf):
     return rows.select("event_id", text.normal_name(F.col("name")).alias("normal"), text.slug(F.col("name")).alias("slug"))
 
 
+@query("edge_ids")
+def edge_ids(spark, sf):
+    return t.edges(spark, sf).select("from_id", "to_id", "type", text.edge_id(F.col("from_id"), F.col("to_id"), F.col("type")).alias("stable_id"))
+
+
 @query("node_ids")
 def node_ids(spark, sf):
     return t.nodes(spark, sf).select("id", text.node_id(F.col("type"), F.col("name")).alias("stable_id"))
@@ -112,7 +118,7 @@ def _reached(depth: int) -> dict[str, str]:
     return out
 
 
-@query("graph_walk", " UNION ALL ".join(f"SELECT id, distance FROM hop{k}" for k in range(4)), _reached(3), materialise=True)
+@query("graph_walk", " UNION ALL ".join(f"SELECT id, distance FROM hop{k}" for k in range(4)), _reached(3))
 def graph_walk(spark, sf):
     seeds = t.nodes(spark, sf).where("id in ('T3', 'S11')").select("id")
     return graph.walk(t.edges(spark, sf), seeds, 3)
@@ -128,19 +134,19 @@ def _ranks(rounds: int, teleport: str) -> dict[str, str]:
     return out
 
 
-@query("pagerank_global", "SELECT id, round(rank, 5) AS rank FROM rank20", _ranks(20, "1.0::DOUBLE"), materialise=True)
+@query("pagerank_global", "SELECT id, round(rank, 5) AS rank FROM rank20", _ranks(20, "1.0::DOUBLE"))
 def pagerank_global(spark, sf):
     return graph.pagerank(t.nodes(spark, sf), t.edges(spark, sf)).select("id", F.round("rank", 5).alias("rank"))
 
 
-@query("pagerank_top20", "SELECT id, round(rank, 5) AS rank FROM rank20 JOIN nodes USING (id) WHERE status = 'active' ORDER BY round(rank, 8) DESC, id LIMIT 20", _ranks(20, "1.0::DOUBLE"), materialise=True)
+@query("pagerank_top20", "SELECT id, round(rank, 5) AS rank FROM rank20 JOIN nodes USING (id) WHERE status = 'active' ORDER BY round(rank, 8) DESC, id LIMIT 20", _ranks(20, "1.0::DOUBLE"))
 def pagerank_top20(spark, sf):
     nodes = t.nodes(spark, sf)
     active = nodes.where("status = 'active'").select("id")
     return graph.pagerank(nodes, t.edges(spark, sf)).join(active, "id").orderBy(F.round("rank", 8).desc(), "id").limit(20).select("id", F.round("rank", 5).alias("rank"))
 
 
-@query("pagerank_personalized", "SELECT id, round(rank, 6) AS rank FROM rank10 JOIN nodes USING (id) WHERE status = 'active' AND type = 'SKILL'", _ranks(10, "CASE WHEN id IN ('T3', 'S11', 'T12') AND status = 'active' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"), materialise=True)
+@query("pagerank_personalized", "SELECT id, round(rank, 6) AS rank FROM rank10 JOIN nodes USING (id) WHERE status = 'active' AND type = 'SKILL'", _ranks(10, "CASE WHEN id IN ('T3', 'S11', 'T12') AND status = 'active' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
 def pagerank_personalized(spark, sf):
     nodes = t.nodes(spark, sf)
     seeds = nodes.where("id in ('T3', 'S11', 'T12') and status = 'active'").select("id")
@@ -149,33 +155,34 @@ def pagerank_personalized(spark, sf):
 
 
 def _labels(rounds: int) -> dict[str, str]:
-    out = {"sparse": "SELECT * FROM edges WHERE type IN ('PATCHES', 'CONFLICTS_WITH', 'SOLVED_BY', 'CAUSED_BY')", "ways": "SELECT from_id AS a, to_id AS b FROM sparse UNION ALL SELECT to_id, from_id FROM sparse", "lab0": "SELECT id, id AS label FROM nodes"}
+    out = {"ways": "SELECT a, b, count(*) AS m FROM both_ways GROUP BY 1, 2", "lab0": "SELECT id, id AS label FROM nodes"}
     for k in range(1, rounds + 1):
         out[f"lab{k}"] = f"""SELECT l.id, coalesce(c.near, l.label) AS label FROM lab{k - 1} l LEFT JOIN (SELECT a, near FROM (SELECT a, near, row_number() OVER (PARTITION BY a ORDER BY n DESC, (near = o.label) DESC, near) AS nth
-            FROM (SELECT w.a, p.label AS near, count(*) AS n FROM ways w JOIN lab{k - 1} p ON w.b = p.id GROUP BY 1, 2) JOIN lab{k - 1} o ON a = o.id) WHERE nth = 1) c ON l.id = c.a"""
+            FROM (SELECT w.a, p.label AS near, sum(m) AS n FROM ways w JOIN lab{k - 1} p ON w.b = p.id GROUP BY 1, 2) JOIN lab{k - 1} o ON a = o.id) WHERE nth = 1) c ON l.id = c.a"""
     return out
 
 
-_ROUNDS = 4
+_ROUNDS = 50
 _LABELS = _labels(_ROUNDS) | {"sized": f"SELECT label, count(*) AS size, min(id) AS first_member FROM lab{_ROUNDS} GROUP BY 1"}
 
 
 def _communities(spark, sf):
-    edges = t.edges(spark, sf).where("type in ('PATCHES', 'CONFLICTS_WITH', 'SOLVED_BY', 'CAUSED_BY')")
-    return edges, graph.label_propagation(t.nodes(spark, sf), edges, _ROUNDS, stop_early=False)
+    """Communities of the whole graph, found once in a session."""
+    edges = t.edges(spark, sf)
+    return edges, t.projected(spark, sf, "labels", lambda: graph.label_propagation(t.nodes(spark, sf), edges, _ROUNDS))
 
 
-@query("label_propagation", f"SELECT id, label FROM lab{_ROUNDS}", _LABELS, materialise=True)
+@query("label_propagation", f"SELECT id, label FROM lab{_ROUNDS}", _LABELS)
 def label_propagation(spark, sf):
-    return _communities(spark, sf)[1]
+    return graph.label_propagation(t.nodes(spark, sf), t.edges(spark, sf), _ROUNDS)
 
 
-@query("community_sizes", "SELECT label, size, first_member, 'c-' || row_number() OVER (ORDER BY size DESC, first_member) AS community FROM sized", _LABELS, materialise=True)
+@query("community_sizes", "SELECT label, size, first_member, 'c-' || row_number() OVER (ORDER BY size DESC, first_member) AS community FROM sized", _LABELS)
 def community_sizes(spark, sf):
     return graph.communities(_communities(spark, sf)[1]).select("label", "size", "first_member", "community")
 
 
-@query("community_links", f"SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, count(*) AS weight FROM sparse JOIN lab{_ROUNDS} x ON from_id = x.id JOIN lab{_ROUNDS} y ON to_id = y.id WHERE x.label <> y.label GROUP BY 1, 2", _LABELS, materialise=True)
+@query("community_links", f"SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, count(*) AS weight FROM edges JOIN lab{_ROUNDS} x ON from_id = x.id JOIN lab{_ROUNDS} y ON to_id = y.id WHERE x.label <> y.label GROUP BY 1, 2", _LABELS)
 def community_links(spark, sf):
     edges, labels = _communities(spark, sf)
     return graph.community_links(edges, labels)
@@ -183,15 +190,142 @@ def community_links(spark, sf):
 
 @query("hierarchy")
 def hierarchy(spark, sf):
-    edges = t.edges(spark, sf)
-    labels = graph.label_propagation(t.nodes(spark, sf), edges)
-    grouped = graph.hierarchy_level(graph.community_links(edges, labels), labels)
-    topics = spark.createDataFrame(grouped, "label string, topic string")
-    above = labels.join(topics, "label").select("id", F.col("topic").alias("label"))
-    domains = spark.createDataFrame(graph.hierarchy_level(graph.community_links(edges, above), above), "topic string, domain string")
+    edges, labels = _communities(spark, sf)
+    topics = cut(graph.hierarchy_level(graph.community_links(edges, labels), labels).withColumnRenamed("cluster", "topic"))
+    above = cut(labels.join(topics, "label").select("id", F.col("topic").alias("label")))
+    domains = graph.hierarchy_level(graph.community_links(edges, above), above).toDF("topic", "domain")
     return topics.join(domains, "topic").select("label", "topic", "domain")
 
 
+_LEVELED = {"leveled": "SELECT *, CASE WHEN community_id IS NOT NULL THEN 't-' || (substr(community_id, 3)::INT % 5) END AS topic_id, CASE WHEN community_id IS NOT NULL THEN 'd-' || (substr(community_id, 3)::INT % 5 % 2) END AS domain_id FROM nodes"}
+
+
+def _leveled(spark, sf):
+    levels = spark.range(1, 21).select(F.concat(F.lit("c-"), "id").alias("community_id"), F.concat(F.lit("t-"), F.col("id") % 5).alias("topic_id"), F.concat(F.lit("d-"), F.col("id") % 5 % 2).alias("domain_id"))
+    return graph.write_levels(t.nodes(spark, sf), levels)
+
+
+@query("levels_written", "SELECT id, community_id, topic_id, domain_id FROM leveled", _LEVELED)
+def levels_written(spark, sf):
+    return _leveled(spark, sf).select("id", "community_id", "topic_id", "domain_id")
+
+
+@query("drill_down", "SELECT id, 'domain' AS level FROM leveled WHERE status = 'active' AND domain_id = 'd-1' UNION ALL SELECT id, 'topic' FROM leveled WHERE status = 'active' AND topic_id = 't-2' UNION ALL SELECT id, 'community' FROM leveled WHERE status = 'active' AND community_id = 'c-3'", _LEVELED)
+def drill_down(spark, sf):
+    nodes = _leveled(spark, sf)
+    parts = [graph.drill_down(nodes, **{k: v}).withColumn("level", F.lit(k)) for k, v in (("domain", "d-1"), ("topic", "t-2"), ("community", "c-3"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _reach(rounds: int) -> dict[str, str]:
+    out = {"reach0": "SELECT id, id AS component FROM nodes"}
+    for k in range(1, rounds + 1):
+        out[f"reach{k}"] = f"SELECT r.id, least(r.component, coalesce(m.low, r.component)) AS component FROM reach{k - 1} r LEFT JOIN (SELECT a, min(component) AS low FROM both_ways JOIN reach{k - 1} ON b = id GROUP BY 1) m ON r.id = m.a"
+    return out
+
+
+@query("weak_components", "SELECT id, component FROM reach20", _reach(20))
+def weak_components(spark, sf):
+    return graph.weak_components(t.nodes(spark, sf), t.edges(spark, sf))
+
+
+@query("graph_density", "SELECT nodes, pairs, round(pairs / (nodes * (nodes - 1) / 2), 9) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT least(from_id, to_id), greatest(from_id, to_id) FROM edges WHERE from_id <> to_id)) AS pairs)")
+def graph_density(spark, sf):
+    return graph.density(t.nodes(spark, sf), t.edges(spark, sf)).withColumn("density", F.round("density", 9))
+
+
+@query("summary_members", "SELECT community_id, place::INT AS place, name, type, description FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY validated_count DESC, id) AS place FROM nodes WHERE status = 'active' AND community_id IS NOT NULL) WHERE place <= 10")
+def summary_members(spark, sf):
+    return graph.summary_members(t.nodes(spark, sf))
+
+
+@query("graph_walk_limited", "SELECT id, distance FROM (" + " UNION ALL ".join(f"SELECT id, distance FROM hop{k}" for k in range(4)) + ") ORDER BY distance, id LIMIT 200", _reached(3))
+def graph_walk_limited(spark, sf):
+    return graph.walk(t.edges(spark, sf), t.nodes(spark, sf).where("id in ('T3', 'S11')").select("id"), 3, 200)
+
+
+@query("uniform_rank", "SELECT id, round(1.0::DOUBLE / count(*) OVER (), 9) AS rank FROM nodes WHERE status = 'active'")
+def uniform_rank(spark, sf):
+    return graph.global_rank(t.nodes(spark, sf), t.edges(spark, sf).limit(0)).withColumn("rank", F.round("rank", 9))
+
+
+@query("fallback_rank", "SELECT id, round(1.0::DOUBLE / (validated_count + 1), 9) AS rank FROM nodes WHERE status = 'active' AND type = 'SKILL'")
+def fallback_rank(spark, sf):
+    nodes = t.nodes(spark, sf)
+    candidates = nodes.where("type = 'SKILL'").select("id", F.col("validated_count").alias("pos"))
+    return graph.personal_rank(nodes, t.edges(spark, sf), nodes.limit(0).select("id"), candidates).withColumn("rank", F.round("rank", 9))
+
+
+_SEARCH = {
+    "index_terms": r"SELECT id, type, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS terms FROM nodes WHERE status = 'active' OR status IS NULL",
+    "index_sizes": "SELECT type, count(*) AS n_docs, avg(len(terms)) AS avg_n FROM index_terms GROUP BY 1",
+    "index_tfs": "SELECT id, type, term, count(*) AS tf, max(n) AS n FROM (SELECT id, type, len(terms) AS n, unnest(terms) AS term FROM index_terms) WHERE term IN ('building', '17', 'k', 'brand') GROUP BY 1, 2, 3",
+    "index_dfs": "SELECT type, term, count(*) AS df FROM index_tfs GROUP BY 1, 2",
+    "index_scores": "SELECT id, type, sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avg_n))) AS score FROM index_tfs JOIN index_dfs USING (type, term) JOIN index_sizes USING (type) GROUP BY 1, 2",
+    "index_best": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY type ORDER BY round(score, 9) DESC, id) AS nth FROM index_scores) WHERE nth <= 20",
+}
+_FOUND = "SELECT * FROM nodes WHERE id IN (SELECT id FROM index_best) ORDER BY validated_count DESC, updated_at DESC NULLS LAST, id LIMIT 20"
+
+
+@query("search_nodes", f"SELECT id, validated_count FROM ({_FOUND})", _SEARCH)
+def search_nodes(spark, sf):
+    return search.search_nodes(t.nodes(spark, sf), "Building 17, k brand", 20).select("id", "validated_count")
+
+
+@query("search_unindexed", "SELECT id FROM nodes WHERE (contains(name, '#1') OR contains(description, '#1') OR contains(content, '#1')) AND (status = 'active' OR status IS NULL) ORDER BY validated_count DESC, updated_at DESC NULLS LAST, id LIMIT 20")
+def search_unindexed(spark, sf):
+    return search.search_nodes(t.nodes(spark, sf), "#1", 20, indexed=False).select("id")
+
+
+@query("corpus_snippets", f"SELECT id, name AS title, type AS kind, pagerank AS score, '[' || type || '] ' || name || ': ' || coalesce(description, '') || chr(10) || coalesce(content, '') AS snippet FROM ({_FOUND})", _SEARCH)
+def corpus_snippets(spark, sf):
+    return recall.snippets(t.nodes(spark, sf), "Building 17, k brand", 20)
+
+
+_EMBEDDED = {
+    "texts": "SELECT id, name || ': ' || coalesce(description, '') || chr(10) || coalesce(content, '') AS body FROM skills",
+    "marks": r"SELECT id, md5(unnest(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS m FROM texts",
+    "spots": "SELECT id, ('0x' || substr(m, 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substr(m, 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM marks GROUP BY 1, 2",
+}
+
+
+@query("embed_nodes", "SELECT id, i::INT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS v FROM spots QUALIFY v <> 0", _EMBEDDED)
+def embed_nodes(spark, sf):
+    out = embed.embed_nodes(t.nodes(spark, sf).where("type = 'SKILL'"), "hashed")
+    return out.select("id", F.posexplode("embedding").alias("i", "v")).where("v <> 0").select("id", "i", F.round("v", _R).alias("v"))
+
+
+def _with_vectors(spark, sf):
+    """Skills with the vectors of the table, of which some have the hash of another text."""
+    hashed = text.content_hash(F.col("name"), F.col("description"), F.col("content"))
+    known = _vectors(spark, sf).select(F.concat(F.lit("S"), "vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "label")
+    rows = t.nodes(spark, sf).where("type = 'SKILL'").join(known, "id", "left")
+    old = F.when(F.col("embedding").isNotNull(), F.when(F.col("label") % 2 == 0, hashed).otherwise(F.lit("old")))
+    return rows.withColumns({"embedding_hash": old, "embedding_model": F.when(F.col("embedding").isNotNull(), "m1")}).drop("label")
+
+
+_STORED = {"stored_vectors": "SELECT s.*, e.label, e.vec_id FROM skills s LEFT JOIN embeddings e ON s.id = 'S' || e.vec_id"}
+
+
+@query("embed_missing", "SELECT id, CASE WHEN vec_id IS NOT NULL THEN 'm1' WHEN status = 'active' THEN 'hashed' END AS embedding_model, CASE WHEN vec_id IS NOT NULL OR status = 'active' THEN 64 END AS dims FROM stored_vectors", _STORED)
+def embed_missing(spark, sf):
+    out = embed.embed_missing(_with_vectors(spark, sf), "hashed")
+    return out.select("id", "embedding_model", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
+
+
+@query("embed_sync", "SELECT id FROM stored_vectors WHERE vec_id IS NULL OR label % 2 <> 0", _STORED)
+def embed_sync(spark, sf):
+    return embed.to_sync(_with_vectors(spark, sf)).select("id")
+
+
+@query("cold_start_rank", f"""SELECT id, round(score, 6) AS score FROM (SELECT coalesce(w.id, v.id) AS id, 0.4::DOUBLE * coalesce(w.s, 0) + 0.6::DOUBLE * coalesce(v.s, 0) AS score
+    FROM (SELECT id, score / max(score) OVER () AS s FROM (SELECT id, score FROM index_scores WHERE type = 'SKILL' ORDER BY round(score, 9) DESC, id LIMIT 50)) w FULL JOIN (SELECT 'S' || vec_id AS id, {_COS.format(a='embedding', b=_Q)} AS s FROM embeddings ORDER BY s DESC, id LIMIT 50) v ON w.id = v.id) ORDER BY round(score, 9) DESC, id LIMIT 20""", _SEARCH)
+def cold_start_rank(spark, sf):
+    live = t.nodes(spark, sf).where("type = 'SKILL' and (status = 'active' or status is null)")
+    near = vectors.top_k(_vectors(spark, sf).select(F.concat(F.lit("S"), "vec_id").alias("id"), "embedding"), _QUERY, 50)
+    return recall.hybrid(search.bm25(live, "Building 17, k brand", 50), near, 20).withColumn("score", F.round("score", _R))
+
+
 @query("community_peers", "SELECT id, pagerank FROM nodes WHERE status = 'active' AND id <> 'S40' AND community_id = (SELECT community_id FROM nodes WHERE id = 'S40') ORDER BY pagerank DESC, validated_count DESC, id LIMIT 5")
 def community_peers(spark, sf):
     return graph.community_peers(t.nodes(spark, sf), "S40").select("id", "pagerank")

@@ -31,6 +31,7 @@ DEFINITIONS = {
         UNION ALL SELECT 'T' || c_custkey, 'E' || event_id, 'LEADS_TO', (event_id % 7) / 7::DOUBLE + 0.1::DOUBLE FROM events JOIN customer ON user_id = c_custkey
         UNION ALL SELECT 'S' || p_partkey, 'S' || nxt, 'PATCHES', 1.0::DOUBLE FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) WHERE nxt IS NOT NULL
         UNION ALL SELECT 'S' || a.p_partkey, 'S' || b.p_partkey, 'CONFLICTS_WITH', 1.0::DOUBLE FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
+    "structural": "SELECT from_id, to_id, CASE WHEN type = 'PATCHES' AND from_id LIKE '%3' THEN 'NEXT_SESSION' WHEN type = 'CONFLICTS_WITH' AND to_id LIKE '%7' THEN 'CONTAINS' WHEN type = 'SOLVED_BY' AND to_id LIKE '%1' THEN 'MENTIONS' ELSE type END AS type, weight FROM edges",
     "both_ways": "SELECT from_id AS a, to_id AS b FROM edges UNION ALL SELECT to_id, from_id FROM edges",
     "messages": "SELECT 'm' || conv_id || '-' || turn AS id, conv_id::VARCHAR AS session_key, turn, role, text AS content FROM conversations",
     "mentions": "SELECT DISTINCT 'O' || l_orderkey AS msg_id, 'S' || l_partkey AS node_id FROM lineitem",
@@ -38,7 +39,7 @@ DEFINITIONS = {
 }
 
 
-def graph_sql(body: str, extra: dict[str, str] | None = None, materialise: bool = False) -> str:
+def graph_sql(body: str, extra: dict[str, str] | None = None, materialise: bool = True) -> str:
     """``body`` after the definitions that it names, directly or not."""
     known = DEFINITIONS | (extra or {})
     wanted: list[str] = []
@@ -55,7 +56,7 @@ def graph_sql(body: str, extra: dict[str, str] | None = None, materialise: bool
     return "WITH " + ", ".join(f"{n} AS {kind}({known[n]})" for n in wanted) + " " + body if wanted else body
 
 
-def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, materialise: bool = False):
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, materialise: bool = True):
     """Registers a function (spark, sf_dir) under ``name``, with DuckDB SQL over the graph's definitions."""
 
     def register(function: Callable[[SparkSession, str], DataFrame]):

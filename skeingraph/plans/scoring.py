@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import scoring
+from ..operators import scoring, store
 from ..sources import tables as t
 from .registry import query
 
 _R = 6
-_AGE = "CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({now} - updated_at) / 86400000.0::DOUBLE END"
+#: Each kind of node has its clock.
+_CLOCK = f"CASE type WHEN 'TASK' THEN {t.ORDER_NOW} WHEN 'SKILL' THEN {t.PART_NOW} ELSE {t.EVENT_NOW} END"
+_AGE = f"CASE WHEN updated_at IS NULL THEN 0.0::DOUBLE ELSE ({_CLOCK} - updated_at) / 86400000.0::DOUBLE END"
 _STALE = {
     "degrees": "SELECT to_id, count(*) AS in_degree FROM edges GROUP BY 1",
-    "aged": f"SELECT t.*, coalesce(in_degree, 0) AS in_degree, {_AGE.format(now=t.ORDER_NOW)} AS age FROM tasks t LEFT JOIN degrees d ON t.id = d.to_id WHERE status = 'active'",
+    "aged": f"SELECT t.*, coalesce(in_degree, 0) AS in_degree, {_AGE} AS age FROM nodes t LEFT JOIN degrees d ON t.id = d.to_id WHERE status = 'active'",
 }
 
 
+def _clock():
+    return F.when(F.col("type") == "TASK", F.lit(t.ORDER_NOW)).when(F.col("type") == "SKILL", F.lit(t.PART_NOW)).otherwise(F.lit(t.EVENT_NOW))
+
+
 @query("staleness_scores", """SELECT id, CASE WHEN state = 'superseded' THEN 1.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age > 365 THEN 0.8::DOUBLE WHEN age > 180 THEN 0.5::DOUBLE WHEN age > 90 THEN 0.3::DOUBLE WHEN age > 45 THEN 0.1::DOUBLE + 0.2::DOUBLE * (age - 45) / 45 ELSE 0.0::DOUBLE END
     + CASE WHEN in_degree = 0 THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN source = 'knowledge' THEN 0.1::DOUBLE ELSE 0 END)), 3) END AS staleness FROM aged""", _STALE)
 def staleness_scores(spark, sf):
-    return scoring.staleness(t.tasks(spark, sf), t.edges(spark, sf), t.ORDER_NOW).select("id", "staleness")
+    return scoring.staleness(t.nodes(spark, sf), t.edges(spark, sf), _clock()).select("id", "staleness")
 
 
 def _dirty(spark, sf):
@@ -28,89 +34,140 @@ def _dirty(spark, sf):
 
 
 @query("staleness_incremental", f"""SELECT id, round(CASE WHEN state = 'superseded' THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN age > 365 THEN 0.8::DOUBLE WHEN age > 180 THEN 0.5::DOUBLE WHEN age > 90 THEN 0.3::DOUBLE WHEN age > 45 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
-    - CASE WHEN source = 'knowledge' THEN 0.1::DOUBLE ELSE 0 END)) END, 6) AS staleness FROM (SELECT *, {_AGE.format(now=t.ORDER_NOW)} AS age FROM tasks WHERE status = 'active' AND validated_count % 4 = 1)""")
+    - CASE WHEN source = 'knowledge' THEN 0.1::DOUBLE ELSE 0 END)) END, 6) AS staleness FROM (SELECT *, {_AGE} AS age FROM nodes WHERE status = 'active' AND validated_count % 4 = 1)""")
 def staleness_incremental(spark, sf):
-    return scoring.staleness_incremental(t.tasks(spark, sf), _dirty(spark, sf), t.ORDER_NOW).select("id", F.round("staleness", _R).alias("staleness"))
+    return scoring.staleness_incremental(t.nodes(spark, sf), _dirty(spark, sf), _clock()).select("id", F.round("staleness", _R).alias("staleness"))
 
 
 @query("importance_scores", f"""SELECT id, round(0.3 * greatest(0.0::DOUBLE, 1 - least(age, 30.0::DOUBLE) / 30) + 0.3 * least(validated_count / 10.0::DOUBLE, 1) + 0.2 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, pagerank / max(pagerank) OVER ()))
-    + 0.2 * CASE source WHEN 'knowledge' THEN 1.0::DOUBLE WHEN 'imported' THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END, 6) AS importance FROM (SELECT *, {_AGE.format(now=t.PART_NOW)} AS age FROM skills WHERE status = 'active')""")
+    + 0.2 * CASE source WHEN 'knowledge' THEN 1.0::DOUBLE WHEN 'imported' THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END, 6) AS importance FROM (SELECT *, {_AGE} AS age FROM nodes WHERE status = 'active')""")
 def importance_scores(spark, sf):
-    rows = scoring.importance(t.skills(spark, sf), t.PART_NOW)
+    rows = scoring.importance(t.nodes(spark, sf), _clock())
     top = F.col("max_pagerank")
-    exact = scores.importance(F.col("updated_at"), F.col("validated_count"), F.col("pagerank"), top, F.col("source"), t.PART_NOW)
+    exact = scores.importance(F.col("updated_at"), F.col("validated_count"), F.col("pagerank"), top, F.col("source"), _clock())
     return rows.select("id", F.round(exact, _R).alias("importance"))
 
 
 @query("importance_incremental", f"""SELECT id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * exp(-age / 30) + 0.3::DOUBLE * (1 - exp(-validated_count / 10.0::DOUBLE)) + 0.2::DOUBLE * least(1.0::DOUBLE, 10 * pagerank)
-    + 0.2::DOUBLE * CASE source WHEN 'knowledge' THEN 1.0::DOUBLE WHEN 'experience' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END)), 6) AS importance FROM (SELECT *, {_AGE.format(now=t.PART_NOW)} AS age FROM skills WHERE status = 'active' AND validated_count % 4 = 1)""")
+    + 0.2::DOUBLE * CASE source WHEN 'knowledge' THEN 1.0::DOUBLE WHEN 'experience' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END)), 6) AS importance FROM (SELECT *, {_AGE} AS age FROM nodes WHERE status = 'active' AND validated_count % 4 = 1)""")
 def importance_incremental(spark, sf):
-    return scoring.importance_incremental(t.skills(spark, sf), _dirty(spark, sf), t.PART_NOW).select("id", F.round("importance", _R).alias("importance"))
+    return scoring.importance_incremental(t.nodes(spark, sf), _dirty(spark, sf), _clock()).select("id", F.round("importance", _R).alias("importance"))
 
 
 _HEALTH = {
     "ends": "SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges",
+    "inner_nodes": "SELECT * FROM nodes WHERE validated_count >= 18",
+    "inner_ends": "SELECT from_id AS id FROM edges WHERE from_id IN (SELECT id FROM inner_nodes) AND to_id IN (SELECT id FROM inner_nodes) UNION SELECT to_id FROM edges WHERE from_id IN (SELECT id FROM inner_nodes) AND to_id IN (SELECT id FROM inner_nodes)",
     "report": """SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (state = 'superseded') AS superseded, count(*) FILTER (state = 'transitional') AS transitional,
         count(*) FILTER (status = 'active' AND staleness_score >= 0.7::DOUBLE) AS stale, count(DISTINCT community_id) FILTER (status = 'active') AS communities, round(avg(pagerank) FILTER (status = 'active'), 6) AS avg_pagerank,
-        (SELECT count(*) FROM nodes WHERE status = 'active' AND id NOT IN (SELECT id FROM ends)) AS isolated, (SELECT count(*) FROM edges) AS edges,
+        (SELECT count(*) FROM nodes WHERE status = 'active' AND id NOT IN (SELECT id FROM ends)) AS isolated, (SELECT count(*) FROM structural WHERE type NOT IN ('NEXT_SESSION', 'CONTAINS', 'MENTIONS')) AS edges,
         round((SELECT sum(pagerank) FROM (SELECT pagerank FROM nodes WHERE status = 'active' ORDER BY pagerank DESC LIMIT 10)) / count(*) FILTER (status = 'active'), 6) AS avg_pagerank_top FROM nodes""",
 }
 
 
 @query("health_report", "SELECT * FROM report", _HEALTH)
 def health_report(spark, sf):
-    out = scoring.health(t.nodes(spark, sf), t.edges(spark, sf))
+    out = scoring.health(t.nodes(spark, sf), t.structural(t.edges(spark, sf)))
     return out.withColumns({c: F.round(c, _R) for c in ("avg_pagerank", "avg_pagerank_top")})
 
 
 @query("health_anomalies", """SELECT 'isolated' AS anomaly FROM report WHERE isolated > 0.3 * active UNION ALL SELECT 'stale' FROM report WHERE stale > 0.3 * active
     UNION ALL SELECT 'low_pagerank' FROM report WHERE avg_pagerank_top < 0.01 AND active > 10 UNION ALL SELECT 'transitional' FROM report WHERE transitional > 0""", _HEALTH)
 def health_anomalies(spark, sf):
-    return scoring.anomalies(scoring.health(t.nodes(spark, sf), t.edges(spark, sf)))
+    return scoring.anomalies(scoring.health(t.nodes(spark, sf), t.structural(t.edges(spark, sf))))
 
 
-@query("isolated_nodes", "SELECT id, type FROM nodes WHERE status = 'active' AND id NOT IN (SELECT id FROM ends)", _HEALTH)
+@query("isolated_nodes", "SELECT id, type FROM inner_nodes WHERE status = 'active' AND id NOT IN (SELECT id FROM inner_ends)", _HEALTH)
 def isolated_nodes(spark, sf):
-    return scoring.isolated(t.nodes(spark, sf), t.edges(spark, sf)).select("id", "type")
-
-
-_PAIRS = {"pairs": """SELECT a.name, a.id AS a_id, b.id AS b_id, coalesce(a.updated_at, 0) AS ta, coalesce(b.updated_at, 0) AS tb, CASE a.source WHEN 'knowledge' THEN 3 WHEN 'experience' THEN 2 ELSE 1 END AS ar, CASE b.source WHEN 'knowledge' THEN 3 WHEN 'experience' THEN 2 ELSE 1 END AS br,
-    a.validated_count AS an, b.validated_count AS bn, a.validated_count * (1 - a.staleness_score) AS af, b.validated_count * (1 - b.staleness_score) AS bf
-    FROM own a JOIN own b ON a.name = b.name AND a.id < b.id""", "own": "SELECT * FROM event_nodes WHERE status = 'active' AND state = 'current'"}
+    """On the subgraph of well validated nodes; in the whole one every node has an edge."""
+    nodes = t.nodes(spark, sf).where("validated_count >= 18")
+    return scoring.isolated(nodes, store.induced_edges(t.edges(spark, sf), nodes.select("id"))).select("id", "type")
+
+
+_PAIRS = {
+    "own": "SELECT * FROM nodes WHERE status = 'active'",
+    "scanned": """SELECT a.name, a.id AS a_id, b.id AS b_id, a.type AS a_type, b.type AS b_type, coalesce(a.valid_from, 0) AS ta, coalesce(b.valid_from, 0) AS tb, CASE a.source WHEN 'knowledge' THEN 3 WHEN 'experience' THEN 2 ELSE 1 END AS ar, CASE b.source WHEN 'knowledge' THEN 3 WHEN 'experience' THEN 2 ELSE 1 END AS br,
+        a.validated_count AS an, b.validated_count AS bn, a.validated_count * (1 - a.staleness_score) AS af, b.validated_count * (1 - b.staleness_score) AS bf, a.staleness_score AS sa, b.staleness_score AS sb, a.source AS oa, b.source AS ob
+        FROM own a JOIN own b ON a.name = b.name AND a.id < b.id WHERE a.state = 'transitional' OR b.state = 'transitional' OR a.staleness_score > 0.7 OR b.staleness_score > 0.7""",
+    "judged_pairs": """SELECT *, CASE WHEN ta <> tb THEN 'temporal' WHEN ar <> br THEN 'source' WHEN an > 1.5 * bn OR bn > 1.5 * an THEN 'confidence' ELSE 'merge' END AS reason,
+        CASE WHEN ta <> tb THEN ta > tb WHEN ar <> br THEN ar > br WHEN an > 1.5 * bn THEN true WHEN bn > 1.5 * an THEN false ELSE af >= bf END AS a_wins FROM scanned WHERE a_type = b_type""",
+    "decided": "SELECT *, CASE WHEN a_wins THEN a_id ELSE b_id END AS winner_id, CASE WHEN a_wins THEN b_id ELSE a_id END AS loser_id FROM judged_pairs",
+    "first_hundred": "SELECT d.* FROM decided d JOIN (SELECT a_id, b_id FROM scanned ORDER BY a_id, b_id LIMIT 100) USING (a_id, b_id)",
+    "lost": "SELECT loser_id, min(winner_id) AS superseded_by FROM first_hundred WHERE reason <> 'merge' GROUP BY 1",
+}
 
 
-@query("conflict_candidates", "SELECT a_id, b_id, name FROM pairs ORDER BY a_id, b_id LIMIT 100", _PAIRS)
+@query("conflict_candidates", "SELECT a_id, b_id, name FROM scanned ORDER BY a_id, b_id LIMIT 100", _PAIRS)
 def conflict_candidates(spark, sf):
-    return scoring.conflict_candidates(t.event_nodes(spark, sf), 100).select("a_id", "b_id", "name")
+    return scoring.conflict_candidates(t.nodes(spark, sf), 100).select("a_id", "b_id", "name")
 
 
-_RULE = {"timed": "SELECT a_id, b_id, ta // {w} AS ta, tb // {w} AS tb, ar, br, an, bn, af, bf FROM pairs".format(w=864000000)} | _PAIRS
+def _decided(spark, sf, limit=None):
+    return scoring.conflict_winner(scoring.conflict_candidates(t.nodes(spark, sf), limit))
 
 
-@query("conflict_winners", """SELECT a_id, b_id, CASE WHEN ta <> tb THEN 'temporal' WHEN ar <> br THEN 'source' WHEN an > 1.5 * bn OR bn > 1.5 * an THEN 'confidence' ELSE 'merge' END AS reason,
-    CASE WHEN CASE WHEN ta <> tb THEN ta > tb WHEN ar <> br THEN ar > br WHEN an > 1.5 * bn THEN true WHEN bn > 1.5 * an THEN false ELSE af >= bf END THEN a_id ELSE b_id END AS winner_id FROM timed""", _RULE)
+@query("conflict_winners", "SELECT a_id, b_id, reason, winner_id FROM decided", _PAIRS)
 def conflict_winners(spark, sf):
-    coarse = t.event_nodes(spark, sf).withColumn("updated_at", F.floor(F.col("updated_at") / 864000000))
-    return scoring.conflict_winner(scoring.conflict_candidates(coarse)).select("a_id", "b_id", "reason", "winner_id")
+    return _decided(spark, sf).select("a_id", "b_id", "reason", "winner_id")
+
+
+@query("conflict_decisions", f"""SELECT 'decision-' || md5(winner_id || '|' || loser_id) AS id, reason AS decision, winner_id, loser_id, {t.EVENT_NOW} AS ts,
+    printf('staleness: a=%.2f, b=%.2f; validated: a=%d, b=%d; source: a=%s, b=%s', sa, sb, an, bn, oa, ob) AS reason FROM decided WHERE reason <> 'merge'""", _PAIRS)
+def conflict_decisions(spark, sf):
+    return scoring.conflict_decisions(_decided(spark, sf), t.EVENT_NOW)
+
+
+@query("conflict_applied", f"SELECT n.id, CASE WHEN l.loser_id IS NULL THEN state ELSE 'superseded' END AS state, CASE WHEN l.loser_id IS NULL THEN staleness_score ELSE 1.0::DOUBLE END AS staleness_score, CASE WHEN l.loser_id IS NULL THEN valid_to ELSE {t.EVENT_NOW} END AS valid_to, l.superseded_by FROM nodes n LEFT JOIN lost l ON n.id = l.loser_id", _PAIRS)
+def conflict_applied(spark, sf):
+    return scoring.apply_conflicts(t.nodes(spark, sf), _decided(spark, sf, 100), t.EVENT_NOW).select("id", "state", "staleness_score", "valid_to", "superseded_by")
+
+
+@query("conflict_faded", "SELECT from_id, to_id, type, round(CASE WHEN from_id IN (SELECT loser_id FROM lost) AND type NOT IN ('NEXT_SESSION', 'CONTAINS') THEN weight * 0.1::DOUBLE ELSE weight END, 6) AS weight FROM structural", _PAIRS)
+def conflict_faded(spark, sf):
+    return _rounded(scoring.fade_losers(t.structural(t.edges(spark, sf)), _decided(spark, sf, 100)))
+
+
+_MERGED = _PAIRS | {
+    "merging": "SELECT loser_id AS merge_id, min(winner_id) AS keep_id FROM decided WHERE reason = 'merge' GROUP BY 1",
+    "ended": "WITH RECURSIVE r AS (SELECT merge_id, keep_id FROM merging UNION SELECT r.merge_id, m.keep_id FROM r JOIN merging m ON r.keep_id = m.merge_id) SELECT merge_id, keep_id FROM r WHERE keep_id NOT IN (SELECT merge_id FROM merging)",
+    "grouped": "SELECT merge_id AS id, keep_id FROM ended UNION SELECT keep_id, keep_id FROM ended",
+    "united": "SELECT keep_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY id) FILTER (content <> '') AS content, sum(validated_count)::BIGINT AS n FROM grouped JOIN nodes USING (id) GROUP BY 1",
+    "rest": "SELECT * FROM structural WHERE from_id NOT IN (SELECT merge_id FROM ended) AND to_id NOT IN (SELECT merge_id FROM ended)",
+    "copied": "SELECT DISTINCT keep_id AS from_id, to_id, type FROM structural JOIN ended ON from_id = merge_id WHERE type NOT IN ('NEXT_SESSION', 'CONTAINS') AND to_id NOT IN (SELECT merge_id FROM ended) AND keep_id <> to_id",
+}
 
 
-@query("conflict_incremental", """SELECT name, max_by(id, (coalesce(updated_at, 0), id)) AS winner_id, count(*) - 1 AS losers FROM own WHERE name IN (SELECT name FROM own WHERE validated_count % 4 = 1) GROUP BY name HAVING count(*) > 1""", _PAIRS)
+def _merged(spark, sf):
+    return scoring.merge_conflicts(t.nodes(spark, sf), t.structural(t.edges(spark, sf)), _decided(spark, sf))
+
+
+@query("conflict_merged_nodes", "SELECT id, md5(coalesce(CASE WHEN u.keep_id IS NULL THEN s.content ELSE u.content END, '')) AS content, CASE WHEN u.keep_id IS NULL THEN validated_count ELSE n END AS validated_count, CASE WHEN u.keep_id IS NULL THEN state ELSE 'current' END AS state FROM nodes s LEFT JOIN united u ON id = keep_id WHERE id NOT IN (SELECT merge_id FROM ended)", _MERGED)
+def conflict_merged_nodes(spark, sf):
+    return _merged(spark, sf)[0].select("id", F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("content"), "validated_count", "state")
+
+
+@query("conflict_merged_edges", "SELECT coalesce(r.from_id, c.from_id) AS from_id, coalesce(r.to_id, c.to_id) AS to_id, coalesce(r.type, c.type) AS type, round(CASE WHEN c.from_id IS NOT NULL THEN coalesce(r.weight, 1.0::DOUBLE) * 0.5::DOUBLE ELSE r.weight END, 6) AS weight FROM rest r FULL JOIN copied c ON r.from_id = c.from_id AND r.to_id = c.to_id AND r.type = c.type", _MERGED)
+def conflict_merged_edges(spark, sf):
+    return _rounded(_merged(spark, sf)[1])
+
+
+@query("conflict_incremental", """SELECT older AS id, max_by(newer, (t, newer)) AS superseded_by FROM (SELECT CASE WHEN n.t >= m.t THEN m.id ELSE n.id END AS older, CASE WHEN n.t >= m.t THEN n.id ELSE m.id END AS newer, greatest(n.t, m.t) AS t
+    FROM (SELECT id, name, coalesce(updated_at, 0) AS t FROM nodes WHERE validated_count % 4 = 1) n JOIN (SELECT id, name, coalesce(updated_at, 0) AS t FROM nodes) m ON n.name = m.name AND n.id <> m.id) GROUP BY 1""", _PAIRS)
 def conflict_incremental(spark, sf):
-    return scoring.conflict_incremental(t.event_nodes(spark, sf), _dirty(spark, sf))
+    return scoring.conflict_incremental(t.nodes(spark, sf), _dirty(spark, sf))
 
 
 _WEIGHTS = {
     "used_nodes": "SELECT DISTINCT feedback_id, node_id FROM judged WHERE verdict = 'used'",
-    "skill_edges": "SELECT * FROM edges WHERE type IN ('PATCHES', 'CONFLICTS_WITH', 'SOLVED_BY', 'LEADS_TO')",
     "usage": "SELECT a.node_id AS a, b.node_id AS b, count(*) AS n FROM used_nodes a JOIN used_nodes b ON a.feedback_id = b.feedback_id AND a.node_id < b.node_id GROUP BY 1, 2",
-    "strong": "SELECT from_id, to_id, type, CASE WHEN n IS NULL THEN weight ELSE least(5.0::DOUBLE, weight * 1.1::DOUBLE * (1 + 0.05::DOUBLE * n)) END AS weight FROM skill_edges LEFT JOIN usage ON a = least(from_id, to_id) AND b = greatest(from_id, to_id)",
+    "strong": "SELECT from_id, to_id, type, CASE WHEN n IS NULL OR type IN ('NEXT_SESSION', 'CONTAINS') THEN weight ELSE least(5.0::DOUBLE, weight * 1.1::DOUBLE * (1 + 0.05::DOUBLE * n)) END AS weight FROM structural LEFT JOIN usage ON a = least(from_id, to_id) AND b = greatest(from_id, to_id)",
     "unused_nodes": "SELECT DISTINCT node_id FROM judged WHERE verdict = 'unused'",
 }
-_DECAY = "SELECT from_id, to_id, type, round(CASE WHEN weight > 0.1::DOUBLE AND (from_id IN (SELECT node_id FROM unused_nodes) OR to_id IN (SELECT node_id FROM unused_nodes)) THEN greatest(0.1::DOUBLE, weight * 0.95::DOUBLE) ELSE weight END, 6) AS weight FROM "
+_DECAY = "SELECT from_id, to_id, type, round(CASE WHEN weight > 0.1::DOUBLE AND type NOT IN ('NEXT_SESSION', 'CONTAINS') AND (from_id IN (SELECT node_id FROM unused_nodes) OR to_id IN (SELECT node_id FROM unused_nodes)) THEN greatest(0.1::DOUBLE, weight * 0.95::DOUBLE) ELSE weight END, 6) AS weight FROM "
 
 
-def _skill_edges(spark, sf):
-    return t.edges(spark, sf).where("type in ('PATCHES', 'CONFLICTS_WITH', 'SOLVED_BY', 'LEADS_TO')")
+def _weighed(spark, sf):
+    return t.structural(t.edges(spark, sf))
 
 
 def _rounded(edges):
@@ -119,17 +176,17 @@ def _rounded(edges):
 
 @query("edge_strengthen", "SELECT from_id, to_id, type, round(weight, 6) AS weight FROM strong", _WEIGHTS)
 def edge_strengthen(spark, sf):
-    return _rounded(scoring.strengthen(_skill_edges(spark, sf), t.judged(spark, sf)))
+    return _rounded(scoring.strengthen(_weighed(spark, sf), t.judged(spark, sf)))
 
 
-@query("edge_decay", _DECAY + "skill_edges", _WEIGHTS)
+@query("edge_decay", _DECAY + "structural", _WEIGHTS)
 def edge_decay(spark, sf):
-    return _rounded(scoring.decay(_skill_edges(spark, sf), t.judged(spark, sf)))
+    return _rounded(scoring.decay(_weighed(spark, sf), t.judged(spark, sf)))
 
 
 @query("edge_weights_chain", _DECAY + "strong", _WEIGHTS)
 def edge_weights_chain(spark, sf):
-    return _rounded(scoring.reweigh(_skill_edges(spark, sf), t.judged(spark, sf)))
+    return _rounded(scoring.reweigh(_weighed(spark, sf), t.judged(spark, sf)))
 
 
 @query("edge_weights_incremental", "SELECT from_id, to_id, type, round(CASE WHEN type IN ('CAUSED_BY', 'LEADS_TO') AND (from_id IN (SELECT id FROM nodes WHERE validated_count % 4 = 1) OR to_id IN (SELECT id FROM nodes WHERE validated_count % 4 = 1)) THEN greatest(0.1::DOUBLE, least(5.0::DOUBLE, weight * 1.1::DOUBLE)) ELSE weight END, 6) AS weight FROM edges")
@@ -138,7 +195,7 @@ def edge_weights_incremental(spark, sf):
 
 
 _STATS = {"stats": "SELECT node_id, count(*) FILTER (verdict = 'used') AS used, count(*) FILTER (verdict = 'unused') AS unused, max(ts) FILTER (verdict = 'used') AS last_used FROM judged GROUP BY 1",
-          "own": "SELECT * FROM skills JOIN stats ON id = node_id WHERE status = 'active'"}
+          "own": "SELECT * FROM nodes JOIN stats ON id = node_id WHERE status = 'active'"}
 
 
 @query("feedback_stats", "SELECT node_id, used, unused, last_used FROM stats", _STATS)
@@ -154,4 +211,27 @@ def feedback_reward(spark, sf):
 @query("reverse_memory", """SELECT id, 'decay' AS change, round(least(1.0::DOUBLE, staleness_score + 0.1::DOUBLE), 6) AS staleness, CASE WHEN least(1.0::DOUBLE, staleness_score + 0.1::DOUBLE) > 0.9 THEN 'transitional' ELSE state END AS state
     FROM (SELECT * FROM own WHERE unused >= 10 AND importance_score < 0.2 ORDER BY unused DESC, id LIMIT 200) UNION ALL SELECT id, 'recover', 0.0::DOUBLE, 'current' FROM own WHERE state = 'transitional' AND last_used > coalesce(updated_at, 0)""", _STATS)
 def reverse_memory(spark, sf):
-    return scoring.reverse_memory(t.skills(spark, sf), t.judged(spark, sf))
+    return scoring.reverse_memory(t.nodes(spark, sf), t.judged(spark, sf))
+
+
+@query("feedback_count", "SELECT count(DISTINCT feedback_id) AS feedbacks FROM judged")
+def feedback_count(spark, sf):
+    return scoring.feedback_count(t.judged(spark, sf))
+
+
+_PAST = {
+    "asked": "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 10 = 0",
+    "past": "SELECT vec_id AS past_id, embedding AS p, (label - 4) / 5.0::DOUBLE AS reward FROM embeddings WHERE vec_id % 10 <> 0",
+    "history": "SELECT query_id, past_id, reward, list_cosine_similarity(q::DOUBLE[], p::DOUBLE[]) AS similarity FROM asked, past",
+    "nearest": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, past_id) AS nth FROM history",
+}
+
+
+@query("history_gain", "SELECT query_id, round(avg(reward * similarity), 6) AS gain FROM nearest WHERE nth <= 5 GROUP BY 1", _PAST)
+def history_gain(spark, sf):
+    """A tenth of the vectors are queries, asked of all others."""
+    rows = t.read(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    past = rows.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("past_id"), F.col("embedding").alias("p"), ((F.col("label") - 4) / 5).alias("reward"))
+    history = past.crossJoin(asked).withColumn("similarity", scores.cosine(F.col("q"), F.col("p")))
+    return scoring.near_history_gain(history).select("query_id", F.round("gain", _R).alias("gain"))

@@ -110,12 +110,15 @@ def upsert_nodes(spark, sf):
 
 
 @query("upsert_edges", """SELECT coalesce(s.from_id, i.from_id) AS from_id, coalesce(s.to_id, i.to_id) AS to_id, coalesce(s.type, i.type) AS type, coalesce(i.w, s.weight) AS weight
-    FROM (SELECT * FROM edges WHERE type = 'USED_SKILL') s FULL JOIN (SELECT from_id, to_id, 'USED_SKILL' AS type, weight + 5 AS w FROM edges WHERE type = 'LEADS_TO' OR (type = 'USED_SKILL' AND weight > 1)) i ON s.from_id = i.from_id AND s.to_id = i.to_id AND s.type = i.type
+    FROM edges s FULL JOIN (SELECT from_id, to_id, CASE WHEN type = 'LEADS_TO' THEN 'RELATES_TO' ELSE type END AS type, weight + 5 AS w FROM edges WHERE type = 'LEADS_TO' OR weight > 1 UNION ALL SELECT 'S1', 'S' || l_partkey, 'PATCHES', 2.0::DOUBLE FROM (SELECT DISTINCT l_partkey + 1000000 * (l_partkey % 2) AS l_partkey FROM lineitem WHERE l_partkey < 40)) i ON s.from_id = i.from_id AND s.to_id = i.to_id AND s.type = i.type
     WHERE i.from_id IS NULL OR (i.from_id IN (SELECT id FROM nodes) AND i.to_id IN (SELECT id FROM nodes))""")
 def upsert_edges(spark, sf):
     edges = t.edges(spark, sf)
-    more = edges.where("type = 'LEADS_TO' or (type = 'USED_SKILL' and weight > 1)").withColumns({"type": F.lit("USED_SKILL"), "weight": F.col("weight") + 5})
-    return store.upsert_edges(edges.where("type = 'USED_SKILL'"), more, t.nodes(spark, sf))
+    more = edges.where("type = 'LEADS_TO' or weight > 1").withColumns({"type": F.when(F.col("type") == "LEADS_TO", "RELATES_TO").otherwise(F.col("type")), "weight": F.col("weight") + 5})
+    # Half of these ends are no nodes.
+    part = F.col("l_partkey")
+    lost = t.read(spark, sf, "lineitem").where("l_partkey < 40").select(F.lit("S1").alias("from_id"), F.concat(F.lit("S"), part + 1000000 * (part % 2)).alias("to_id"), F.lit("PATCHES").alias("type"), F.lit(2.0).alias("weight")).distinct()
+    return store.upsert_edges(edges, more.unionByName(lost), t.nodes(spark, sf))
 
 
 @query("evolvable_embedding", """SELECT vec_id, label % 2 = 0 AND label <> 4 AS changed, CASE WHEN label % 2 = 0 AND label <> 4 THEN least(3, label + 1) ELSE label END::BIGINT AS history, CASE WHEN label % 2 = 0 AND label <> 4 THEN NULL ELSE 'h' || (label // 2) END AS embedding_hash,
@@ -133,22 +136,28 @@ def evolvable_embedding(spark, sf):
 _MERGE = {"pairs": "SELECT id AS merge_id, 'S' || (substr(id, 2)::INT - 1) AS keep_id FROM skills WHERE substr(id, 2)::INT % 10 = 1"}
 
 
-@query("merge_redirect", """SELECT from_id, to_id, type, sum(weight) AS weight FROM (SELECT coalesce(a.keep_id, e.from_id) AS from_id, coalesce(b.keep_id, e.to_id) AS to_id, e.type, e.weight, a.keep_id IS NOT NULL OR b.keep_id IS NOT NULL AS touched
-    FROM edges e LEFT JOIN pairs a ON e.from_id = a.merge_id LEFT JOIN pairs b ON e.to_id = b.merge_id) WHERE NOT touched OR from_id <> to_id GROUP BY 1, 2, 3
-    UNION ALL SELECT from_id, to_id, type, 0.1::DOUBLE FROM edges WHERE from_id IN (SELECT merge_id FROM pairs) OR to_id IN (SELECT merge_id FROM pairs)""", _MERGE)
+_TOLD = "SELECT *, CASE WHEN weight > 1 THEN 'often' WHEN type = 'PATCHES' THEN 'patch ' || to_id END AS instruction FROM structural"
+
+
+@query("merge_redirect", """SELECT from_id, to_id, type, round(sum(weight), 6) AS weight, nullif(string_agg(instruction, ' | ' ORDER BY touched, a, b), '') AS instruction FROM (SELECT coalesce(x.keep_id, e.from_id) AS from_id, coalesce(y.keep_id, e.to_id) AS to_id, e.type, e.weight, x.keep_id IS NOT NULL OR y.keep_id IS NOT NULL AS touched, e.from_id AS a, e.to_id AS b,
+    CASE WHEN row_number() OVER (PARTITION BY coalesce(x.keep_id, e.from_id), coalesce(y.keep_id, e.to_id), e.type, instruction, from_id <> to_id ORDER BY x.keep_id IS NOT NULL OR y.keep_id IS NOT NULL, e.from_id, e.to_id) = 1 THEN instruction END AS instruction
+    FROM told e LEFT JOIN pairs x ON e.from_id = x.merge_id LEFT JOIN pairs y ON e.to_id = y.merge_id) WHERE NOT touched OR from_id <> to_id GROUP BY 1, 2, 3
+    UNION ALL SELECT from_id, to_id, type, CASE WHEN type IN ('NEXT_SESSION', 'CONTAINS', 'MENTIONS') THEN weight ELSE 0.1::DOUBLE END, instruction FROM told WHERE from_id IN (SELECT merge_id FROM pairs) OR to_id IN (SELECT merge_id FROM pairs)""", _MERGE | {"told": _TOLD})
 def merge_redirect(spark, sf):
     n = F.substring("id", 2, 9).cast("int")
     pairs = t.skills(spark, sf).where(n % 10 == 1).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - 1).alias("keep_id"))
-    return store.merge_redirect(t.edges(spark, sf), pairs)
+    told = F.when(F.col("weight") > 1, "often").when(F.col("type") == "PATCHES", F.concat(F.lit("patch "), "to_id"))
+    edges = t.structural(t.edges(spark, sf)).withColumn("instruction", told)
+    return store.merge_redirect(edges, pairs).withColumn("weight", F.round("weight", 6))
 
 
-@query("merge_nodes", """SELECT s.id, s.validated_count + CASE WHEN p.merge_id IS NULL THEN coalesce(g.gain, 0) ELSE 0 END AS validated_count, CASE WHEN p.merge_id IS NULL THEN s.status ELSE 'merged' END AS status, CASE WHEN p.merge_id IS NULL THEN s.state ELSE 'superseded' END AS state, p.keep_id AS superseded_by
+@query("merge_nodes", """SELECT s.id, s.validated_count + CASE WHEN p.merge_id IS NULL THEN coalesce(g.gain, 0) ELSE 0 END AS validated_count, CASE WHEN p.merge_id IS NULL THEN s.status ELSE 'merged' END AS status, CASE WHEN p.merge_id IS NULL THEN s.state ELSE 'superseded' END AS state, CASE WHEN p.merge_id IS NULL THEN s.valid_to ELSE 1007164800000 END AS valid_to, CASE WHEN p.merge_id IS NULL THEN s.updated_at ELSE 1007164800000 END AS updated_at, p.keep_id AS superseded_by
     FROM skills s LEFT JOIN pairs p ON s.id = p.merge_id LEFT JOIN (SELECT keep_id, sum(validated_count)::BIGINT AS gain FROM pairs JOIN skills ON id = merge_id GROUP BY 1) g ON s.id = g.keep_id""", _MERGE)
 def merge_nodes(spark, sf):
     skills = t.skills(spark, sf)
     n = F.substring("id", 2, 9).cast("int")
     pairs = skills.where(n % 10 == 1).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - 1).alias("keep_id"))
-    return store.merge_nodes(skills, pairs, t.PART_NOW).select("id", "validated_count", "status", "state", "superseded_by")
+    return store.merge_nodes(skills, pairs, t.PART_NOW).select("id", "validated_count", "status", "state", "valid_to", "updated_at", "superseded_by")
 
 
 @query("timestamp_backfill", """SELECT id, coalesce(u, c, 1007164800000) AS updated_at, coalesce(c, coalesce(u, c, 1007164800000)) AS created_at, coalesce(r, c, u, 1007164800000) AS recorded_at
@@ -173,3 +182,78 @@ def model_distribution(spark, sf):
 def model_migration(spark, sf):
     out = store.migrate_model(_with_model(t.read(spark, sf, "embeddings")), "m1")
     return out.select("vec_id", F.col("embedding").isNotNull().alias("has_embedding"), "embedding_hash")
+
+
+def _records(spark, sf):
+    k = F.substring("id", 2, 9).cast("int")
+    nodes = t.nodes(spark, sf)
+    missing = {"type": F.when(k % 3 != 0, F.col("type")), "name": F.when(k % 4 != 0, F.col("name")), "validated_count": F.when(k % 5 != 0, F.col("validated_count")), "created_at": F.lit(None).cast("long"), "label": F.when(k % 2 == 0, F.initcap("type"))}
+    return nodes.select("id", "description", "content", "status", "pagerank", "updated_at", "type", "name", "validated_count").withColumns(missing)
+
+
+_RECORDS = {"records": "SELECT id, description, content, status, pagerank, updated_at, CASE WHEN substr(id, 2)::INT % 3 <> 0 THEN type END AS type, CASE WHEN substr(id, 2)::INT % 4 <> 0 THEN name END AS name, CASE WHEN substr(id, 2)::INT % 5 <> 0 THEN validated_count END AS validated_count, CASE WHEN substr(id, 2)::INT % 2 = 0 THEN type END AS label FROM nodes"}
+
+
+@query("node_projection", "SELECT id, coalesce(type, upper(label), 'TASK') AS type, coalesce(name, '') AS name, coalesce(status, 'active') AS status, coalesce(validated_count, 0) AS validated_count, 0::BIGINT AS created_at, coalesce(updated_at, 0) AS updated_at FROM records", _RECORDS)
+def node_projection(spark, sf):
+    return store.project_nodes(_records(spark, sf)).select("id", "type", "name", "status", "validated_count", "created_at", "updated_at")
+
+
+@query("edge_projection", "SELECT from_id || '-' || to_id || '-' || type AS id, CASE WHEN weight > 1 THEN weight ELSE 1.0::DOUBLE END AS weight, '' AS instruction, 0::BIGINT AS created_at FROM edges")
+def edge_projection(spark, sf):
+    none = F.lit(None).cast("string")
+    rows = t.edges(spark, sf).withColumns({"id": none, "instruction": none, "condition": none, "weight": F.when(F.col("weight") > 1, F.col("weight")), "created_at": F.lit(None).cast("long"), "updated_at": F.lit(None).cast("long")})
+    return store.project_edges(rows).select("id", "weight", "instruction", "created_at")
+
+
+@query("scope_filter", "SELECT id FROM nodes WHERE validated_count % 6 <> 2")
+def scope_filter(spark, sf):
+    scope = F.when(F.col("validated_count") % 6 == 2, "benchmark").when(F.col("validated_count") % 6 == 3, "production")
+    return store.in_scope(t.nodes(spark, sf).withColumn("scope", scope)).select("id")
+
+
+@query("prefix_delete", "SELECT 'node' AS kind, count(*) AS n FROM nodes WHERE id NOT LIKE 'E1%' UNION ALL SELECT 'edge', count(*) FROM edges WHERE from_id NOT LIKE 'E1%' AND to_id NOT LIKE 'E1%'")
+def prefix_delete(spark, sf):
+    nodes, edges = store.without_prefix(t.nodes(spark, sf), t.edges(spark, sf), "E1")
+    return nodes.agg(F.lit("node").alias("kind"), F.count(F.lit(1)).alias("n")).unionByName(edges.agg(F.lit("edge").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
+@query("session_exclusion", "SELECT session_key FROM (SELECT DISTINCT CASE conv_id % 4 WHEN 0 THEN conv_id || ':active-memory:x' WHEN 1 THEN 'dreaming-narrative-rem' || conv_id ELSE conv_id::VARCHAR END AS session_key FROM conversations WHERE conv_id % 4 > 1)")
+def session_exclusion(spark, sf):
+    conv = F.col("conv_id")
+    keys = t.read(spark, sf, "conversations").select(F.when(conv % 4 == 0, F.concat(conv, F.lit(":active-memory:x"))).when(conv % 4 == 1, F.concat(F.lit("dreaming-narrative-rem"), conv)).otherwise(conv.cast("string")).alias("session_key"))
+    return store.without_sessions(keys.distinct())
+
+
+_MESSAGES = {"stored_messages": "SELECT *, turn * 10 AS created_at, CASE WHEN turn = 0 THEN 5::BIGINT END AS mark FROM messages WHERE turn < 4", "new_messages": "SELECT *, turn * 10 + 1 AS created_at FROM messages WHERE turn > 1"}
+
+
+@query("message_upsert", "SELECT coalesce(i.id, s.id) AS id, CASE WHEN i.id IS NULL THEN s.content ELSE '> ' || i.content END AS content, coalesce(i.created_at, s.created_at) AS created_at, s.mark AS rebuild_processed_at FROM stored_messages s FULL JOIN new_messages i ON s.id = i.id", _MESSAGES)
+def message_upsert(spark, sf):
+    rows = t.messages(spark, sf)
+    stored = rows.where("turn < 4").withColumns({"created_at": F.col("turn") * 10, "rebuild_processed_at": F.when(F.col("turn") == 0, F.lit(5).cast("long"))})
+    new = rows.where("turn > 1").withColumns({"created_at": F.col("turn") * 10 + 1, "content": F.concat(F.lit("> "), "content")})
+    return store.upsert_messages(stored, new).select("id", "content", "created_at", "rebuild_processed_at")
+
+
+@query("message_page_open", "SELECT id, created_at FROM (SELECT id, CASE WHEN turn % 2 = 0 THEN turn * 1000 ELSE turn * 1000 END AS created_at, turn FROM messages WHERE session_key = '5') WHERE (created_at > 1000 OR (created_at = 1000 AND id > 'm5-0')) AND turn % 3 <> 2 ORDER BY created_at, id LIMIT 4")
+def message_page_open(spark, sf):
+    """Times are numbers or text; processed rows don't count on any page."""
+    turn = F.col("turn")
+    iso = F.date_format(F.timestamp_millis(turn * 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = t.messages(spark, sf).withColumns({"created_at": F.when(turn % 2 == 0, (turn * 1000).cast("string")).otherwise(iso), "rebuild_processed_at": F.when(turn % 3 == 2, F.lit(1).cast("long"))})
+    return store.tolerant_page(rows, "5", 1000, "m5-0", 4, only_open=True).select("id", "created_at")
+
+
+@query("vectors_saved", "SELECT id, CASE WHEN vec_id IS NULL THEN NULL ELSE 'h' || label END AS embedding_hash, CASE WHEN vec_id IS NULL THEN NULL ELSE len(embedding) END AS dims FROM skills LEFT JOIN embeddings ON id = 'S' || vec_id")
+def vectors_saved(spark, sf):
+    none = F.lit(None)
+    nodes = t.nodes(spark, sf).where("type = 'SKILL'").withColumns({"embedding": none.cast("array<float>"), "embedding_hash": none.cast("string"), "embedding_model": none.cast("string")})
+    vectors = t.read(spark, sf, "embeddings").select(F.concat(F.lit("S"), "vec_id").alias("id"), "embedding", F.concat(F.lit("h"), "label").alias("embedding_hash"), F.lit("m").alias("embedding_model"))
+    return store.save_vectors(nodes, vectors).select("id", "embedding_hash", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
+
+
+@query("cleared_graph", "SELECT (SELECT count(*) FROM nodes WHERE false) AS nodes, (SELECT count(*) FROM edges WHERE false) AS edges")
+def cleared_graph(spark, sf):
+    nodes, edges = store.cleared(t.nodes(spark, sf), t.edges(spark, sf))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each

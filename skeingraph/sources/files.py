@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SESSION_QA = "question string, answer string, category string, timestamp string, session struct<messages:array<struct<role:string,content:string>>>"
@@ -39,6 +40,27 @@ def dialogue_cases(rows: DataFrame) -> DataFrame:
     return each.select(F.concat_ws("-", "sample_id", "pos").alias("id"), "q.category", F.col("q.question").alias("query"), F.col("q.answer").alias("expected_answer"), F.col("q.evidence").alias("expected_ids"))
 
 
+DIALOGUE_TURNS = "sample_id string, sessions array<struct<nth:int,turns:array<struct<speaker:string,dia_id:string,text:string>>>>, qa array<struct<question:string,answer:string,category:string,evidence:array<string>>>"
+
+
+def dialogue_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and expected ids of long dialogues.
+
+    A session is an EVENT node with its turns as content; neighbouring sessions have a
+    NEXT_SESSION edge; the evidence of a question (turn ids) names the nodes of its sessions.
+    """
+    each = rows.select("sample_id", F.explode("sessions").alias("s")).select("sample_id", "s.nth", "s.turns")
+    node = F.concat_ws("-", F.lit("bench"), "sample_id", F.concat(F.lit("session"), "nth"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat_ws(": ", t["speaker"], t["text"])), "\n")
+    nodes = each.select("sample_id", "nth", node.alias("id"), F.lit("EVENT").alias("type"), F.concat(F.lit("session"), "nth").alias("name"), lines.alias("content"), "turns")
+    after = F.lead("id").over(Window.partitionBy("sample_id").orderBy("nth"))
+    edges = nodes.withColumn("to_id", after).where("to_id is not null").select(F.col("id").alias("from_id"), "to_id", F.lit("NEXT_SESSION").alias("type"))
+    asked = rows.select("sample_id", F.posexplode("qa").alias("pos", "q")).select("sample_id", "pos", F.explode("q.evidence").alias("dia_id"))
+    spoken = nodes.select("sample_id", "id", F.explode("turns.dia_id").alias("dia_id"))
+    expected = asked.join(spoken, ["sample_id", "dia_id"]).select(F.concat_ws("-", "sample_id", "pos").alias("case_id"), "id").distinct()
+    return nodes.drop("turns", "sample_id", "nth"), edges, expected
+
+
 def trajectory_cases(questions: DataFrame, haystack: DataFrame, trajectories: DataFrame, per_state: int = 2000, per_trajectory: int = 8000, most: int = 20) -> DataFrame:
     """(question_id, texts): the trajectories of each question, cut per state and as a whole.
 
@@ -86,3 +108,18 @@ def repair_transcript(messages: list[dict]) -> list[dict]:
         out.append(m)
         out += [results.get(c) or {"role": "tool", "call_id": c, "content": "[no result]"} for c in m.get("calls") or []]
     return out
+
+
+def repair_sessions(messages: DataFrame) -> DataFrame:
+    """:func:`repair_transcript` of each session (session_key, turn, role, call_id, calls, content), in its order."""
+    schema = "session_key string, turn long, role string, call_id string, calls array<string>, content string"
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("turn").to_dict("records")
+        for r in rows:
+            r["calls"] = list(r["calls"]) if r["calls"] is not None else []
+        out = repair_transcript(rows)
+        columns = ["role", "call_id", "calls", "content"]
+        return pd.DataFrame([(key[0], i, *[m.get(c) for c in columns]) for i, m in enumerate(out)], columns=["session_key", "turn", *columns])
+
+    return messages.groupBy("session_key").applyInPandas(run, schema)

@@ -7,9 +7,13 @@ functions of the key, written once as SQL so that any engine can repeat them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import exists, keep
+
 #: Fixed clocks: events, customers and orders, parts and line items.
 EVENT_NOW, ORDER_NOW, PART_NOW = 1706745600000, 996710400000, 1007164800000
 
@@ -22,11 +26,30 @@ BY_KEY = {
     "pagerank": "({k} % 97) / CAST(97 AS DOUBLE)",
     "importance_score": "({k} % 10) / CAST(10 AS DOUBLE)",
     "staleness_score": "({k} % 9) / CAST(10 AS DOUBLE)",
+    "valid_from": "CASE WHEN {k} % 7 = 6 THEN NULL ELSE CAST(({k} % 4) * 864000000 AS BIGINT) END",
+    "valid_to": "CASE WHEN {k} % 19 = 3 THEN CAST(946684800000 AS BIGINT) END",
     "community_id": "CASE WHEN {k} % 25 = 24 THEN NULL ELSE concat('c-', CAST({k} % 20 + 1 AS VARCHAR(9))) END",
 }
 NODE_COLUMNS = ["id", "type", "name", "description", "content", *BY_KEY, "updated_at"]
 
 
+_kept: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def projected(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The projection ``name`` of the tables in ``sf_dir``, written once in a session and read by every query after."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept or not exists(spark, _kept[key][0]):
+        _kept[key] = keep(make())
+    return _kept[key][1]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Drops the projections of ``sf_dir``, whose tables have changed."""
+    for key in [k for k in _kept if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+        del _kept[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -63,11 +86,19 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected(spark, sf_dir, "nodes", lambda: _nodes(spark, sf_dir))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).unionByName(skills(spark, sf_dir)).unionByName(event_nodes(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(from_id, to_id, type, weight); the key is (from_id, type, to_id)."""
+    return projected(spark, sf_dir, "edges", lambda: _edges(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     part, events, customer = (read(spark, sf_dir, t) for t in ("part", "events", "customer"))
 
@@ -126,3 +157,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("event_type") == "purchase", "used").otherwise("unused")
     keyed = rows.select(feedback.alias("feedback_id"), F.concat(F.lit("S"), F.col("event_id") % 50).alias("node_id"), verdict.alias("verdict"), F.col("at").alias("ts"))
     return keyed.groupBy("feedback_id", "node_id").agg(F.max("verdict").alias("verdict"), F.max("ts").alias("ts"))
+
+
+def structural(edges: DataFrame) -> DataFrame:
+    """``edges`` with some of three types renamed to the structural ones, which the tables lack."""
+    kind = F.col("type")
+    return edges.withColumn("type", F.when((kind == "PATCHES") & F.col("from_id").endswith("3"), "NEXT_SESSION").when((kind == "CONFLICTS_WITH") & F.col("to_id").endswith("7"), "CONTAINS").when((kind == "SOLVED_BY") & F.col("to_id").endswith("1"), "MENTIONS").otherwise(kind))

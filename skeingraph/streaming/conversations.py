@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,36 +59,141 @@ def stream_distinct(messages: DataFrame, least: int = 40, most: int = 4000, late
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["content"])
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream yields from the input that is there, as a table in the shared folder."""
-    spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def _folder(stream: DataFrame, folder: str | None) -> str:
+    return folder or f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """What a stream yields from the input that is there, as a table.
+
+    ``folder`` holds the stream's progress and output; given again, a run that failed goes
+    on where it stopped, and one that ended takes up what came since.
+    """
+    spark, folder = stream.sparkSession, _folder(stream, folder)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_whole(stream: DataFrame) -> DataFrame:
+def drain_whole(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """What an aggregation yields from the input that is there, windows still open at its end included.
 
     Append mode would hold those back for a watermark that never comes; here each
     micro-batch writes the whole result and the last one stands.
     """
-    spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    written = []
+    spark, folder = stream.sparkSession, _folder(stream, folder)
 
     def write(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        written.append(number)
+        rows.sparkSession.range(1).write.mode("overwrite").parquet(f"{folder}/last/{number}")
 
     writer = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(written)}") if written else spark.createDataFrame([], stream.schema)
+    done = [n for n in _numbers(spark, f"{folder}/last")]
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(done)}") if done else spark.createDataFrame([], stream.schema)
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbered folders below ``folder``, one for each micro-batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [int(x.getPath().getName()) for x in files.listStatus(path)] if files.exists(path) else []
+
+
+def each_batch(stream: DataFrame, refresh: Callable[[DataFrame, int], None], folder: str | None = None) -> str:
+    """Calls ``refresh`` with every micro-batch, and the folder of its progress; a batch that failed comes again with its number."""
+    folder = _folder(stream, folder)
+    stream.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+def dirty_refresh(changes: DataFrame, nodes: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Rows of ``score(nodes, dirty)`` for the nodes that a stream of changes (node_id) names; a node named again is scored again.
+
+    Each micro-batch writes its own folder, so one that comes again replaces itself.
+    """
+    spark, folder = changes.sparkSession, _folder(changes, folder)
+
+    def refresh(rows: DataFrame, number: int) -> None:
+        score(nodes, rows.select("node_id").distinct()).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+    each_batch(changes, refresh, folder)
+    if not _numbers_of(spark, f"{folder}/out"):
+        return score(nodes, spark.createDataFrame([], "node_id string"))
+    held = spark.read.parquet(f"{folder}/out").drop("number")
+    newest = Window.partitionBy("id").orderBy(F.col("batch").desc())
+    return held.withColumn("nth", F.row_number().over(newest)).where("nth = 1").drop("nth", "batch")
+
+
+def _numbers_of(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+_FLUSH = "session_key string, flush long, n long, texts array<string>"
 
 
-def each_batch(stream: DataFrame, refresh: Callable[[DataFrame, int], None]) -> None:
-    """Calls ``refresh`` with every micro-batch; a batch that failed comes again with its number."""
-    spark = stream.sparkSession
-    state = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(refresh).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def _flush_of(turns: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        flushed, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        out = []
+        for row in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
+            held.append(row.content)
+            if len(held) == turns:
+                out.append((key[0], flushed, turns, held))
+                flushed, held = flushed + 1, []
+        state.update((flushed, held))
+        yield pd.DataFrame(out, columns=["session_key", "flush", "n", "texts"])
+
+    return run
+
+
+def stream_flushes(messages: DataFrame, turns: int = 15) -> DataFrame:
+    """(session_key, flush, n, texts): the texts of a session each time that so many have come; the rest waits."""
+    return messages.groupBy("session_key").applyInPandasWithState(_flush_of(turns), _FLUSH, "flushed long, held array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+RECALL = "session_key string, ts long, kind string, query string, ids array<string>"
+_CONSUMED = "session_key string, ts long, query string, ids array<string>"
+
+
+def _consume(records: int, ttl_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, queries, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False]).itertuples(index=False):
+            if row.kind == "recall":
+                times, queries, ids = [*times, row.ts][-records:], [*queries, row.query][-records:], [*ids, list(row.ids)][-records:]
+                continue
+            fresh = [i for i, at in enumerate(times) if row.ts - at < ttl_ms]
+            if fresh:
+                out.append((key[0], row.ts, queries[fresh[-1]], list(dict.fromkeys(x for i in fresh for x in ids[i]))))
+            times, queries, ids = [], [], []
+        state.update((times, queries, ids))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=["session_key", "ts", "query", "ids"])
+
+    return run
+
+
+def stream_recalls(events: DataFrame, records: int = 5, ttl_ms: int = 30 * 60_000) -> DataFrame:
+    """What each session recalled, when it ends: the last query and all ids of its last ``records`` recalls that are not older than the time to live.
+
+    State is kept by session and goes when a session has been silent for that time.
+    """
+    return events.groupBy("session_key").applyInPandasWithState(_consume(records, ttl_ms), _CONSUMED, "times array<long>, queries array<string>, ids array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def learn_from(stream: DataFrame, learner, order: str = "ts", folder: str | None = None) -> None:
+    """Feeds a stream of feedback (query, target, reward) to a learner on the driver, in order; an online update is sequential.
+
+    A batch is taken whole to the driver: the trigger's size bounds it.
+    """
+    def refresh(rows: DataFrame, number: int) -> None:
+        for r in rows.orderBy(order).collect():
+            learner.learn(r["query"], r["target"], r["reward"])
+
+    each_batch(stream, refresh, folder)

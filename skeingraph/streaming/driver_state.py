@@ -57,6 +57,20 @@ class Breaker:
         return out
 
 
+class Memo:
+    """One call for each different argument, however often it is asked for."""
+
+    def __init__(self, work: Callable[[Hashable], Any]):
+        self._work, self._known = work, {}
+        self.calls = 0
+
+    def __call__(self, key: Hashable) -> Any:
+        if key not in self._known:
+            self.calls += 1
+            self._known[key] = self._work(key)
+        return self._known[key]
+
+
 class RecallRecords:
     """The last recalls of each session until it ends or falls silent."""
 
