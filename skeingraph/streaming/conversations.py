@@ -163,8 +163,9 @@ def _consume(records: int, ttl_ms: int):
             state.remove()
             return
         times, queries, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False]).itertuples(index=False):
+        out, rows = [], pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False])
+        last = int(rows["ts"].max())
+        for row in rows.itertuples(index=False):
             if row.kind == "recall":
                 times, queries, ids = [*times, row.ts][-records:], [*queries, row.query][-records:], [*ids, list(row.ids)][-records:]
                 continue
@@ -173,7 +174,7 @@ def _consume(records: int, ttl_ms: int):
                 out.append((key[0], row.ts, queries[fresh[-1]], list(dict.fromkeys(x for i in fresh for x in ids[i]))))
             times, queries, ids = [], [], []
         state.update((times, queries, ids))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_key", "ts", "query", "ids"])
 
     return run
@@ -182,9 +183,10 @@ def _consume(records: int, ttl_ms: int):
 def stream_recalls(events: DataFrame, records: int = 5, ttl_ms: int = 30 * 60_000) -> DataFrame:
     """What each session recalled, when it ends: the last query and all ids of its last ``records`` recalls that are not older than the time to live.
 
-    State is kept by session and goes when a session has been silent for that time.
+    State is kept by session and goes when the events' time has left a silent session that far behind.
     """
-    return events.groupBy("session_key").applyInPandasWithState(_consume(records, ttl_ms), _CONSUMED, "times array<long>, queries array<string>, ids array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", "10 minutes")
+    return timed.groupBy("session_key").applyInPandasWithState(_consume(records, ttl_ms), _CONSUMED, "times array<long>, queries array<string>, ids array<array<string>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def learn_from(stream: DataFrame, learner, order: str = "ts", folder: str | None = None) -> None:

@@ -45,7 +45,7 @@ def test_transcripts():
 def test_tuning():
     start = {k: low for k, (low, _, _) in tuning.BOUNDS.items()}
     best, seen = tuning.tune(start, lambda p: tuning.Round(p, p["recall_limit"] / 20, 0.1, 0.25, 0.0), rounds=8)
-    assert best.parameters["recall_limit"] == 11 and len(seen) == 9
+    assert best.parameters["recall_limit"] == 15 and len(seen) == 9
     assert tuning.diagnose(tuning.Round({}, 0.1, 0.5, 0.1, 0.9)) == ["ranking", "coverage", "latency", "answers"]
 
 
@@ -53,3 +53,18 @@ def test_greedy_merges(spark):
     pairs = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.98), ("c", "d", 0.97)], "a string, b string, similarity double")
     nodes = spark.createDataFrame([("a", 5, 0), ("b", 1, 0), ("c", 1, 1), ("d", 1, 2)], "id string, validated_count long, updated_at long")
     assert vectors.greedy_merges(pairs, nodes) == [("b", "a"), ("c", "d")]
+
+
+def test_dialogue_graph(spark):
+    turns = [(1, [("A", "D1:1", "hi"), ("B", "D1:2", "yes")]), (2, [("A", "D2:1", "later")])]
+    rows = spark.createDataFrame([("s", turns, [("q", "a", "1", ["D1:2", "D2:1"])])], files.DIALOGUE_TURNS)
+    nodes, edges, expected = files.dialogue_graph(rows)
+    assert {(r["id"], r["content"]) for r in nodes.collect()} == {("bench-s-session1", "A: hi\nB: yes"), ("bench-s-session2", "A: later")}
+    assert [tuple(r) for r in edges.collect()] == [("bench-s-session1", "bench-s-session2", "NEXT_SESSION")]
+    assert {tuple(r) for r in expected.collect()} == {("s-0", "bench-s-session1"), ("s-0", "bench-s-session2")}
+
+
+def test_repaired_sessions(spark):
+    rows = [("s", 0, "assistant", None, ["1", "2"], "call"), ("s", 1, "tool", "1", None, "x"), ("t", 0, "tool", "9", None, "stray"), ("t", 1, "user", None, None, "hi")]
+    got = files.repair_sessions(spark.createDataFrame(rows, "session_key string, turn long, role string, call_id string, calls array<string>, content string")).collect()
+    assert sorted((r["session_key"], r["turn"], r["role"], r["content"]) for r in got) == [("s", 0, "assistant", "call"), ("s", 1, "tool", "x"), ("s", 2, "tool", "[no result]"), ("t", 0, "user", "hi")]

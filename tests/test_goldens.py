@@ -98,18 +98,48 @@ def test_pairing(spark):
     assert len(pairs("user", "assistant", "user", "assistant", after=1)) == 1
 
 
-def test_conflicts(spark):
-    columns = "name string, a_id string, b_id string, a_type string, b_type string, a_updated_at long, b_updated_at long, a_source string, b_source string, a_validated_count long, b_validated_count long, a_staleness_score double, b_staleness_score double"
+_SIDES = [("type", "string"), ("valid_from", "long"), ("source", "string"), ("validated_count", "long"), ("staleness_score", "double")]
+
+
+def _pair(spark, a, b, kinds=("TASK", "TASK")):
+    columns = "a_id string, b_id string, " + ", ".join(f"{s}_{c} {t}" for s in "ab" for c, t in _SIDES)
+    return spark.createDataFrame([("a", "b", kinds[0], *a, kinds[1], *b)], columns)
 
-    def winner(*row, **kw):
-        got = scoring.conflict_winner(spark.createDataFrame([("n", "a", "b", "TASK", "TASK", *row)], columns), **kw).first()
+
+def test_conflicts(spark):
+    def winner(a, b, **kw):
+        got = scoring.conflict_winner(_pair(spark, a, b), **kw).first()
         return got["winner_id"], got["reason"]
 
-    assert winner(1000, 2000, "experience", "experience", 1, 1, 0.0, 0.0) == ("b", "temporal")
-    assert winner(1, 1, "experience", "knowledge", 1, 1, 0.0, 0.0) == ("b", "source")
-    assert winner(1, 1, "experience", "experience", 10, 20, 0.0, 0.0) == ("b", "confidence")
-    assert winner(1, 1, "experience", "experience", 10, 12, 0.5, 0.1) == ("b", "merge")
-    assert winner(1, 2, "experience", "experience", 1, 1, 0.0, 0.0, temporal=False)[0] == "a"
+    assert winner((1000, "experience", 1, 0.0), (2000, "experience", 1, 0.0)) == ("b", "temporal")
+    assert winner((1, "experience", 1, 0.0), (1, "knowledge", 1, 0.0)) == ("b", "source")
+    assert winner((1, "experience", 10, 0.0), (1, "experience", 20, 0.0)) == ("b", "confidence")
+    assert winner((1, "experience", 10, 0.5), (1, "experience", 12, 0.1)) == ("b", "merge")
+    assert winner((1, None, 10, 0.0), (None, "experience", 10, 0.0)) == ("a", "temporal")
+    assert winner((1, "experience", 1, 0.0), (2, "experience", 1, 0.0), temporal=False) == ("a", "temporal")
+    assert winner((1, "experience", 10, 0.0), (1, "knowledge", 20, 0.0), source=False) == ("b", "confidence")
+    assert scoring.conflict_winner(_pair(spark, (1, "x", 1, 0.0), (2, "x", 1, 0.0), ("TASK", "SKILL"))).count() == 0
+
+
+def test_conflict_candidates_follow_the_open_sides(spark):
+    rows = [("a", "n", "current", 0.0), ("b", "n", "transitional", 0.0), ("c", "n", "current", 0.0), ("d", "m", "current", 0.7), ("e", "m", "current", 0.8), ("f", "k", "current", 0.0), ("g", "k", "current", 0.0)]
+    nodes = spark.createDataFrame([(i, n, "TASK", "", s, 0, "experience", 1, x, "active") for i, n, s, x in rows], "id string, name string, type string, content string, state string, valid_from long, source string, validated_count long, staleness_score double, status string")
+    assert [(r["a_id"], r["b_id"]) for r in scoring.conflict_candidates(nodes, 100).collect()] == [("a", "b"), ("b", "c"), ("d", "e")]
+
+
+def test_conflict_effects(spark):
+    nodes = spark.createDataFrame([("a", "one", 10, "transitional", 0.5, 5), ("b", "two", 12, "current", 0.1, None), ("c", "other", 1, "current", 0.0, 9)], "id string, content string, validated_count long, state string, staleness_score double, valid_to long")
+    edges = spark.createDataFrame([("a", "x", "R", 1.0), ("b", "x", "R", 2.0), ("a", "y", "R", 4.0), ("a", "z", "CONTAINS", 4.0), ("q", "a", "R", 1.0)], "from_id string, to_id string, type string, weight double")
+    merge = spark.createDataFrame([("b", "a", "merge")], "winner_id string, loser_id string, reason string")
+    kept, left = scoring.merge_conflicts(nodes, edges, merge)
+    got = {r["id"]: (r["content"], r["validated_count"], r["state"], r["staleness_score"]) for r in kept.collect()}
+    assert got == {"b": ("one\n---\ntwo", 22, "current", 0.0), "c": ("other", 1, "current", 0.0)}
+    assert {(r["from_id"], r["to_id"], r["weight"]) for r in left.collect()} == {("b", "x", 1.0), ("b", "y", 0.5)}
+    lost = spark.createDataFrame([("b", "a", "source")], "winner_id string, loser_id string, reason string")
+    after = {r["id"]: (r["state"], r["valid_to"], r["superseded_by"], r["staleness_score"]) for r in scoring.apply_conflicts(nodes, lost, 77).collect()}
+    assert after == {"a": ("superseded", 77, "b", 1.0), "b": ("current", None, None, 0.1), "c": ("current", 9, None, 0.0)}
+    faded = {(r["from_id"], r["to_id"]): round(r["weight"], 6) for r in scoring.fade_losers(edges, lost).collect()}
+    assert faded == {("a", "x"): 0.1, ("b", "x"): 2.0, ("a", "y"): 0.4, ("a", "z"): 4.0, ("q", "a"): 1.0}
 
 
 def test_judge(spark):
@@ -122,6 +152,11 @@ def test_merge(spark):
     pairs = spark.createDataFrame([("b", "a")], "merge_id string, keep_id string")
     got = {(r["from_id"], r["to_id"], r["weight"]) for r in store.merge_redirect(edges, pairs).collect()}
     assert got == {("a", "x", 3.0), ("b", "x", 0.1), ("a", "b", 0.1)}
+    told = spark.createDataFrame([("b", "x", "R", 1.0, "one"), ("a", "x", "R", 2.0, "two"), ("b", "c", "MENTIONS", 3.0, None)], "from_id string, to_id string, type string, weight double, instruction string")
+    got = {(r["from_id"], r["to_id"], r["weight"], r["instruction"]) for r in store.merge_redirect(told, pairs).collect()}
+    assert got == {("a", "x", 3.0, "two | one"), ("b", "x", 0.1, "one"), ("a", "c", 3.0, None), ("b", "c", 3.0, None)}
+    with pytest.raises(ValueError):
+        store.merge_targets(spark.createDataFrame([("c", "b"), ("b", "c")], "merge_id string, keep_id string"))
     chain = spark.createDataFrame([("c", "b"), ("b", "a")], "merge_id string, keep_id string")
     assert {(r[0], r[1]) for r in store.merge_targets(chain).collect()} == {("c", "a"), ("b", "a")}
 
@@ -144,7 +179,7 @@ def test_graph_loops(spark):
     assert labels["z"] == "z" and set(labels) == set("abcdz")
     links = spark.createDataFrame([("a", "b", 3), ("c", "d", 2), ("b", "c", 1)], "a string, b string, weight long")
     four = spark.createDataFrame([(c, c) for c in "abcd"], "id string, label string")
-    assert len({c for _, c in graph.hierarchy_level(links, four)}) == 2
+    assert {(r["label"], r["cluster"]) for r in graph.hierarchy_level(links, four).collect()} == {("a", "h-1"), ("b", "h-1"), ("c", "h-2"), ("d", "h-2")}
 
 
 def test_matrix():
@@ -154,8 +189,14 @@ def test_matrix():
     q = np.array([1.0, 0.0])
     assert learner.learn(q, q, 1.0) and not learner.learn(q, q, -1.0)
     assert not matrix.Association(2, least_gain=0.5).learn(q, q, 0.3)
-    zero = matrix.Association.load('{"size": 2, "feedback": 3, "m": [[0, 0], [0, 0]], "bias": [0, 0]}')
-    assert (zero.m == np.eye(2)).all()
+    learner.feedback, learner.row_scale = 50, np.array([1.0, 2.0])
+    again = matrix.Association.load(learner.dump())
+    probe = np.array([0.3, -0.7])
+    assert (again.transform(probe) == learner.transform(probe)).all() and again.learn(probe, q, 2.0) and learner.learn(probe, q, 2.0)
+    assert (again.m == learner.m).all() and (again.mean == learner.mean).all()
+    zero = matrix.Association(2)
+    zero.m = np.zeros((2, 2))
+    assert (matrix.Association.load(zero.dump()).m == np.eye(2)).all()
 
 
 def test_driver_state():
