@@ -355,7 +355,7 @@ def stream_flushes(spark, sf):
 
 @query("stream_distinct", "SELECT DISTINCT md5(content) AS hash FROM messages WHERE role IN ('user', 'assistant') AND length(content) BETWEEN 40 AND 4000")
 def stream_distinct(spark, sf):
-    rows = streams.message_stream(spark, f"{sf}/conversations.parquet*").withColumn("ts", F.timestamp_seconds("turn"))
+    rows = streams.message_stream(spark, f"{sf}/conversations.parquet*").withColumn("ts", F.timestamp_seconds(F.col("turn") + 1_700_000_000))
     return streams.drain(streams.stream_distinct(rows, late="1 day")).select(F.md5(F.col("content").cast("binary")).alias("hash"))
 
 
