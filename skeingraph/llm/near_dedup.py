@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, drop, replace, settings
 from ._arrays import LOWER, RollingHash, mix, small_batches, text_blocks, words
-from ._cluster import components
+from ..operators.components import components
 
 #: Buckets of a large set, registers of a band, bits of mantissa in a register.
 REGISTERS, BAND, MANTISSA = 256, 6, 10
