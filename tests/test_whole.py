@@ -28,7 +28,7 @@ def test_sessions_equal_the_batch_form(spark, tmp_path):
             if after is None or after > ts + gap:
                 want.append((user, first, ts + gap, n))
                 first, n = after, 0
-    utc = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    utc = [F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("start_us", "end_us")]
     got = plans.QUERIES["stream_sessions"](spark, str(tmp_path)).select("user_id", *utc, "n").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
