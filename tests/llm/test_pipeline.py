@@ -1,10 +1,13 @@
 """The pipeline on a small table: toxic rows go, one of each group stays, secrets are hidden, ids decode."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from skeingraph.lineage import shared_folder
 from skeingraph.llm import bpe
 from skeingraph.llm.queries import DOCUMENTS, PATTERN, RANKS
 
@@ -41,3 +44,36 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     ranks = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)
     assert rows and all(len(r["ids"]) == r["n_tokens"] and ranks.decode(r["ids"]) for r in rows) and not any(r["doc_id"] % 5 == 0 for r in rows)
+
+
+def _tables(spark, path, docs, labels):
+    spark.createDataFrame(docs, DOCUMENTS).withColumns({"key": F.lit("clash"), "n": F.lit(1)}).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    _tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty and very long texts, repeated rows, other columns; no labels at all."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60000))
+    docs = [(None, "alpha beta gamma delta epsilon zeta", None, None, None), (1, None, "en", None, 0), (2, "", "en", "s", 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, long, "en", None, len(long)), (5, " \n ", None, "s", 3)]
+    _tables(spark, tmp_path, docs, [])
+    near = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_toxic(spark, spark.read.schema(DOCUMENTS).parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)), str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "2", "3", "5", "None"]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ranks = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)
+    known = {(i, t or "") for i, t, *_ in docs}
+    assert rows and all((r["doc_id"], ranks.decode(r["ids"]).decode()) in known for r in rows)
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_what_a_stage_wrote_goes(spark, folder):
+    """After a run only the last stage's input is left below the shared folder."""
+    base = shared_folder(spark)
+    before = {d for d in os.listdir(base.removeprefix("file:"))}
+    corpus_pipeline.run(spark, folder).collect()
+    new = set(os.listdir(base.removeprefix("file:"))) - before
+    assert len(new) == 1 and os.listdir(f"{base.removeprefix('file:')}/{new.pop()}") == ["mixing"]
