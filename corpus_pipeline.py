@@ -22,32 +22,48 @@ from pyspark.sql import functions as F
 
 from skeingraph.lineage import delete, released, shared_folder
 from skeingraph.llm import bpe, mixing, near_dedup, secret_scan, toxicity
+from skeingraph.llm._arrays import small_batches
 from skeingraph.llm.queries import DOCUMENTS, PATTERN, RANKS, learned_labels
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in a session that has no bound, as the job that owns it.
+
+    Stages are read after their function returned, so the bound cannot end with it; at the
+    default of 64 MB the batches of two tasks take several hundred MB of an executor.
+    """
+    for key, value in small_batches(spark).items():
+        spark.conf.set(key, value)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    _bounded(spark)
     weights = toxicity.train(toxicity.bounded_sample(learned_labels(spark, sf_dir), docs))
     return toxicity.reject(docs, weights) if len(weights.index) else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    _bounded(spark)
     return near_dedup.keep_one(docs, shingle=5, percent=80)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by their kind."""
+    _bounded(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source is sampled to its target; a document taken twice is there twice."""
+    _bounded(spark)
     return mixing.emit_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    _bounded(spark)
     return bpe.encode_documents(docs, RANKS, PATTERN)
 
 
