@@ -82,14 +82,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _train(texts: pa.Array, labels: np.ndarray, epochs: int) -> Weights:
-    """Passes over the rows in a fixed shuffled order; a rarer toxic label counts for more."""
-    index: list[np.ndarray] = []
-    for _, _, data, offsets in text_blocks(texts):
+def _rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct indices of each text, the bias last; views of one array for each block."""
+    for first, end, data, offsets in text_blocks(texts):
         row, feature = features(data, offsets)
-        key = np.unique(row << BITS | feature)
-        cuts = np.searchsorted(key >> BITS, np.arange(1, len(offsets) - 1))
-        index += [np.append(x & BIAS, BIAS).astype(np.int32) for x in np.split(key, cuts)]
+        own = np.arange(end - first)
+        key = np.unique(np.concatenate([row << BITS | feature, own << BITS | BIAS]))
+        yield from np.split((key & BIAS).astype(np.int32), np.searchsorted(key >> BITS, own[1:]))
+
+
+def _train(index: list[np.ndarray], labels: np.ndarray, epochs: int) -> Weights:
+    """Passes over the rows in a fixed shuffled order; a rarer toxic label counts for more."""
     model = Ftrl()
     toxic = max(1, int(labels.sum()))
     importance = (1.0, max(1.0, (len(labels) / toxic - 1) ** 0.5))
@@ -106,16 +109,23 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxi
     """Weights from labelled rows, learned in one task on an executor.
 
     The caller bounds the rows (:func:`bounded_sample`): online learning is sequential.
-    Rows with a null label are left out; without rows all scores are 0.5.  Order ties
-    are broken by text, so reruns agree.
+    The task keeps four bytes for each feature of a row, and no text.  Rows with a null
+    label are left out; without rows all scores are 0.5.  Order ties are broken by a hash
+    of the text, so reruns agree.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(order_col).alias("pos"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+    text = F.coalesce(text_col, F.lit(""))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(order_col).alias("pos"), F.sha2(text, 256).alias("tie"), F.col(label_col).cast("int").alias("label"), text.alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, index = [], []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.select(["pos", "tie", "label"]))
+                index += _rows(batch.column(3))
         if held:
-            table = pa.Table.from_batches(held).sort_by([("pos", "ascending"), ("text", "ascending")])
-            got = _train(table.column("text").combine_chunks(), table.column("label").to_numpy(), epochs)
+            table = pa.Table.from_batches(held).append_column("at", pa.array(range(len(index)), pa.int64()))
+            table = table.sort_by([("pos", "ascending"), ("tie", "ascending")])
+            got = _train([index[i] for i in table.column("at").to_pylist()], table.column("label").to_numpy(), epochs)
             yield pa.RecordBatch.from_arrays([pa.array(got.index, pa.int64()), pa.array(got.weight, pa.float64())], names=["i", "w"])
 
     # At most 2 ** BITS rows come back.
