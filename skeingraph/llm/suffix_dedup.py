@@ -8,7 +8,7 @@ the same document or another.  All strings are judged on the input.
    segment (of at most 4096 windows), so a run of one byte is a few segments and not one
    for each byte.  Segments are written once, some 1.2 for each 100 bytes.
 2. Segments of one content (anchor, 64 bits of hash, length) are counted, combined batch by
-   batch before the shuffle.  Contents whose anchor occurs at one place only are unique.  Of all others
+   batch before the shuffle.  Contents whose anchor occurs at one place only, their own inside included, are unique.  Of all others
    the bytes are cut out of the texts, of a content that occurs twice or more at two places.
 3. The contents that share an anchor meet in one task, and their suffixes are sorted.  A
    window repeats if its neighbour in the array has a common prefix of ``length`` bytes or
@@ -54,13 +54,14 @@ _SEPARATOR = 255
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Per segment of a block: row, start in the row, windows, anchor, content hash."""
+    """Per segment of a block: row, start in the row, windows, anchor, content hash, whether the anchor recurs inside."""
     gram = min(ANCHOR, length)
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     rolling = RollingHash(data, seed=5)
-    anchor = _sliding_min(_anchors(rolling, gram), length - gram + 1)
+    hashes = _anchors(rolling, gram)
+    anchor = _sliding_min(hashes, length - gram + 1)
     opens = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, offsets[:-1], np.maximum(offsets[1:] - length + 1, 0)))
     opens = np.unique(opens[opens < n])
     # A run of windows lies in one row whole or reaches over its end from the first.
@@ -74,7 +75,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     start, windows = opens + nth * LONGEST, np.minimum(windows - nth * LONGEST, LONGEST)
     size = windows + length - 1
     name = mix(rolling.ranges(start, start + size) + size.astype(np.uint64) * np.uint64(31))
-    return row, start - offsets[row], windows, anchor[start], name
+    return row, start - offsets[row], windows, anchor[start], name, _recurs(hashes, start, windows, length - gram + 1)
+
+
+def _recurs(hashes: np.ndarray, start: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
+    """Whether the anchor's first place in a segment's first window is another than its last place in the last window."""
+    out = windows > width
+    view = np.lib.stride_tricks.sliding_window_view(hashes, width)
+    few = np.flatnonzero(~out)
+    for some in np.split(few, range(4096, len(few), 4096)):
+        first, last = start[some], start[some] + windows[some] - 1
+        out[some] = first + view[first].argmin(axis=1) < last + width - 1 - view[last][:, ::-1].argmin(axis=1)
+    return out
 
 
 def _anchors(rolling: RollingHash, gram: int) -> np.ndarray:
@@ -234,7 +246,7 @@ def _equal(words: np.ndarray, one: np.ndarray, two: np.ndarray, places: Iterable
     return out
 
 
-_SEGMENT = "anchor long, content long, windows int, key long, key2 int, start int, n long"
+_SEGMENT = "anchor long, content long, windows int, key long, key2 int, start int, n long, again boolean"
 
 
 def _emit_segments(length: int):
@@ -244,13 +256,13 @@ def _emit_segments(length: int):
         for batch in batches:
             held = []
             for first, end, data, offsets in text_blocks(batch.column(2)):
-                row, start, windows, anchor, content = segments(data, offsets, length)
-                held.append((anchor, content, windows, row + first, start))
+                row, start, windows, anchor, content, again = segments(data, offsets, length)
+                held.append((anchor, content, windows, row + first, start, again))
             if not held:
                 continue
-            anchor, content, windows, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, content, windows, row, start, again = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.lexsort((content, anchor))
-            anchor, content, windows, row, start = (x[by] for x in (anchor, content, windows, row, start))
+            anchor, content, windows, row, start, again = (x[by] for x in (anchor, content, windows, row, start, again))
             new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))[: len(anchor)]
             opens = np.flatnonzero(new)
             size = np.diff(np.append(opens, len(anchor)))
@@ -258,8 +270,8 @@ def _emit_segments(length: int):
             n[opens] = np.maximum(size - 1, 1)
             n[opens[size > 1] + 1] = 1
             keys = [batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1)]
-            columns = (anchor.view(np.int64), content.view(np.int64), windows.astype(np.int32), *keys, start.astype(np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "windows", "key", "key2", "start", "n"])
+            columns = (anchor.view(np.int64), content.view(np.int64), windows.astype(np.int32), *keys, start.astype(np.int32), n, again)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "content", "windows", "key", "key2", "start", "n", "again"])
 
     return run
 
@@ -410,11 +422,11 @@ def repeated_spans(source: DataFrame, length: int, crowd: int = CROWD) -> DataFr
     place = ["key", "key2", "start"]
     # Dealt by anchor alone: contents and anchors are both summed on the one exchange.
     ends = [f(c).alias(f"{n}_{c}") for n, f in (("first", F.first), ("last", F.last)) for c in place]
-    contents = found.where("n > 0").repartition("anchor").groupBy(*content).agg(F.sum("n").alias("n"), *ends)
+    contents = found.where("n > 0").repartition("anchor").groupBy(*content).agg(F.sum("n").alias("n"), F.max("again").alias("again"), *ends)
     total = F.sum("n").over(Window.partitionBy("anchor"))
     # The number of a content is fixed by the table that is written here.
-    # More windows than one place of an anchor can serve mean that the anchor recurs inside the segment.
-    contents = cut(contents.withColumn("total", total).where(f"total > 1 or windows > {length - min(ANCHOR, length) + 1}").drop("total").withColumn("id", F.monotonically_increasing_id()))
+    # Of an anchor at one place in all, windows differ; one that recurs inside its only segment may have equal ones there.
+    contents = cut(contents.withColumn("total", total).where("total > 1 or again").drop("total", "again").withColumn("id", F.monotonically_increasing_id()))
     asked = [contents.where(f"n > {k}").select(F.col("anchor").alias("bucket"), "id", F.lit(k).alias("rep"), "windows", *[F.col(f"{n}_{c}").alias(c) for c in place]) for k, n in enumerate(("first", "last"))]
     lists = asked[0].unionByName(asked[1]).groupBy("key", "key2").agg(F.collect_list(F.struct("bucket", "id", "rep", "start", "windows")).alias("asked"))
     # Rows that repeat in id and text have one key, and one of them is cut.

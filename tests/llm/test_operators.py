@@ -394,6 +394,16 @@ def test_suffix_dedup_of_runs_and_crowds(spark):
         assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
 
 
+def test_suffix_dedup_of_short_runs_seen_once(spark):
+    """Runs and periods of little more than a window, each in one text and nowhere else, repeat in themselves."""
+    texts = ["q" * 201, "é" * 130, "xy" * 110, "abc" * 75 + prose(30), prose(20) + "-" * 250, prose(20) + "=+" * 140 + prose(20), "0123456789" * 29, (prose(30)[:150] + "~") * 3, "r" * 200]
+    texts += [prose(15) + chr(97 + n % 26) * (195 + n) + prose(15) for n in range(0, 60, 3)]
+    want = removed_by_force([t.encode() for t in texts])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(table).collect()}
+    assert [(rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) for i in range(len(texts))] == want
+
+
 def test_a_megabyte_of_one_byte_is_few_segments():
     row, start, windows, *_ = suffix_dedup.segments(np.zeros(1 << 20, np.uint8), np.array([0, 1 << 20]), 200)
     assert len(row) == -(-((1 << 20) - 199) // suffix_dedup.LONGEST) and windows.sum() == (1 << 20) - 199
