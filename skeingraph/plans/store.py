@@ -255,5 +255,5 @@ def vectors_saved(spark, sf):
 
 @query("cleared_graph", "SELECT (SELECT count(*) FROM nodes WHERE false) AS nodes, (SELECT count(*) FROM edges WHERE false) AS edges")
 def cleared_graph(spark, sf):
-    nodes, edges = store.cleared(t.nodes(spark, sf), t.edges(spark, sf))
+    nodes, edges = store.cleared(t.unwritten_nodes(spark, sf), t.unwritten_edges(spark, sf))
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
