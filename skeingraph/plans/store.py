@@ -72,7 +72,7 @@ def schema_counts(spark, sf):
 
 @query("edge_type_counts", "SELECT coalesce(type, 'total') AS type, count(*) AS n FROM edges GROUP BY ROLLUP (type)")
 def edge_type_counts(spark, sf):
-    return t.edges(spark, sf).rollup("type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("type", F.lit("total")).alias("type"), "n")
+    return t.edge_counts(spark, sf).rollup("type").agg(F.sum("n").alias("n")).select(F.coalesce("type", F.lit("total")).alias("type"), "n")
 
 
 @query("relates_from_mentions", "SELECT a.node_id AS a, b.node_id AS b, count(DISTINCT a.msg_id) AS weight FROM mentions a JOIN mentions b ON a.msg_id = b.msg_id AND a.node_id < b.node_id GROUP BY 1, 2 HAVING count(DISTINCT a.msg_id) >= 2")
