@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..lineage import cut
 from . import graph, search, store, vectors
 
 
@@ -19,11 +20,11 @@ def seeds(nodes: DataFrame, embeddings: DataFrame, text: str, query: list[float]
     return both.withColumn("pos", place).groupBy("id").agg(F.min("pos").alias("pos")).orderBy("pos", "id").limit(limit)
 
 
-def precise(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, text: str, query: list[float], *, limit: int = 6, depth: int = 2, rounds: int = 10) -> DataFrame:
-    """(id, rank) of the best nodes near the seeds by personalised PageRank."""
-    start = seeds(nodes, embeddings, text, query, limit).select("id")
-    near = graph.walk(edges, start, depth).select("id").unionByName(start).distinct()
-    ranks = graph.pagerank(nodes, edges, start, rounds=rounds)
+def precise(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, text: str, query: list[float], *, limit: int = 6, depth: int = 2, rounds: int = 10, cliques: DataFrame | None = None) -> DataFrame:
+    """(id, rank) of the best nodes near the seeds by personalised PageRank; ``cliques`` are edges too."""
+    start = cut(seeds(nodes, embeddings, text, query, limit).select("id"))
+    near = graph.walk(edges, start, depth, cliques=cliques).select("id").unionByName(start).distinct()
+    ranks = graph.pagerank(nodes, edges, start, rounds=rounds, cliques=cliques)
     found = ranks.join(near, "id", "left_semi").join(nodes.where(store.active()).select("id"), "id", "left_semi")
     return found.orderBy(F.round("rank", 9).desc(), "id").limit(limit)
 
@@ -94,11 +95,11 @@ def similar_cached(cache: DataFrame, query: list[float], least: float = 0.95, ne
     return best.select("key", "s", F.explode("nodes").alias("n")).select("key", "n.id", (F.col("n.pagerank") * factor * F.col("s")).alias("pagerank"))
 
 
-def general(nodes: DataFrame, edges: DataFrame, community_vectors: DataFrame, query: list[float], *, near: int = 5, per_community: int = 2, limit: int = 6, rounds: int = 10) -> DataFrame:
+def general(nodes: DataFrame, edges: DataFrame, community_vectors: DataFrame, query: list[float], *, near: int = 5, per_community: int = 2, limit: int = 6, rounds: int = 10, cliques: DataFrame | None = None) -> DataFrame:
     """(id, rank): representatives of the nearest communities by personalised PageRank from all of them."""
     close = vectors.top_k(community_vectors, query, near).select(F.col("id").alias("community_id"))
-    reps = graph.representatives(nodes, per_community).join(close, "community_id", "left_semi").select("id")
-    return graph.pagerank(nodes, edges, reps, rounds=rounds).join(reps, "id", "left_semi").orderBy(F.round("rank", 9).desc(), "id").limit(limit)
+    reps = cut(graph.representatives(nodes, per_community).join(close, "community_id", "left_semi").select("id"))
+    return graph.pagerank(nodes, edges, reps, rounds=rounds, cliques=cliques).join(reps, "id", "left_semi").orderBy(F.round("rank", 9).desc(), "id").limit(limit)
 
 
 def merged(nodes: DataFrame, precise_ids: DataFrame, general_ids: DataFrame, now_ms: int, temporal_weight: float = 0.3, drop_superseded: bool = False) -> DataFrame:

@@ -40,3 +40,36 @@ def test_no_edge_is_written_for_queries_that_return_none(spark, monkeypatch):
     monkeypatch.setattr(t, "edges", refuse)
     assert [tuple(r) for r in plans.QUERIES["cleared_graph"](spark, SF).collect()] == [(0, 0)]
     assert plans.QUERIES["maintenance_incremental"](spark, SF).count() == t.nodes(spark, SF).count()
+
+
+def test_cliques_stand_for_their_pairs(spark, tmp_path):
+    sf = _odd_parts(spark, tmp_path)
+    # A part that is in two groups, and two groups that share a part.
+    part = t.read(spark, sf, "part")
+    other = part.where("p_size = 7 and p_type = 'lone'").limit(2).withColumn("p_type", F.lit("other"))
+    (tmp_path / "more").mkdir()
+    for name in ("customer", "orders", "lineitem", "events", "embeddings"):
+        (tmp_path / "more" / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    part.unionByName(other).coalesce(1).write.parquet(str(tmp_path / "more" / "part.parquet"))
+    sf = str(tmp_path / "more")
+    nodes, edges, plain, cliques = t.nodes(spark, sf), t.unwritten_edges(spark, sf), t.plain_edges(spark, sf), t.cliques(spark, sf)
+    assert plain.where("type = 'CONFLICTS_WITH'").isEmpty() and cliques.groupBy("id").count().where("count > 1").count() == 2
+
+    def rows(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.distinct().collect())
+
+    seeds = nodes.where("id in ('T3', 'S11')").select("id")
+    assert rows(graph.pagerank(nodes, plain, seeds, rounds=3, cliques=cliques)) == rows(graph.pagerank(nodes, edges, seeds, rounds=3))
+    assert rows(graph.walk(plain, seeds, 2, cliques=cliques)) == rows(graph.walk(edges, seeds, 2))
+    labels = graph.label_propagation(nodes, plain, 4, cliques=cliques)
+    assert rows(labels) == rows(graph.label_propagation(nodes, edges, 4, stop_early=False))
+    once = labels.distinct()
+    assert rows(graph.community_links(plain, once, cliques)) == rows(graph.community_links(edges, once))
+
+
+def test_labels_that_take_turns_end_the_rounds(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b")], "from_id string, to_id string")
+    for rounds in (4, 5, 300, 301):
+        want = {"a": "ab"[rounds % 2], "b": "ba"[rounds % 2]}
+        assert {r["id"]: r["label"] for r in graph.label_propagation(nodes, edges, rounds).collect()} == want
