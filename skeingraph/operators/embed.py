@@ -22,8 +22,15 @@ def hashed(value: Column, dims: int = DIMS) -> Column:
     """Unit vector of a text: each token adds 1 or -1 to the place that its MD5 chooses; zeros for no token."""
     marks = F.transform(text.tokens(value), lambda t: F.md5(t.cast("binary")))
     spots = F.transform(marks, lambda m: F.struct((F.conv(F.substring(m, 1, 8), 16, 10).cast("long") % dims).alias("at"), F.when(F.conv(F.substring(m, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(spots, lambda s: s["at"] == i), F.lit(0.0), lambda total, s: total + s["sign"]))
-    return F.get(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(scores.norm(v) > 0, x / scores.norm(v)).otherwise(0.0))), F.lit(0))
+
+    def once(x: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of ``x``, which is computed once rather than wherever a lambda names it."""
+        return F.get(F.transform(F.array(x), use), F.lit(0))
+
+    def raw(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(s, lambda p: p["at"] == i), F.lit(0.0), lambda total, p: total + p["sign"]))
+
+    return once(spots, lambda s: once(raw(s), lambda v: once(scores.norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))))
 
 
 def embed_nodes(nodes: DataFrame, model: str, embedder: Embedder = hashed, *, chunk: int = 400, overlap: int = 40, least: int = 800) -> DataFrame:
