@@ -202,7 +202,7 @@ def node_projection(spark, sf):
 @query("edge_projection", "SELECT from_id || '-' || to_id || '-' || type AS id, CASE WHEN weight > 1 THEN weight ELSE 1.0::DOUBLE END AS weight, '' AS instruction, 0::BIGINT AS created_at FROM edges")
 def edge_projection(spark, sf):
     none = F.lit(None).cast("string")
-    rows = t.edges(spark, sf).withColumns({"id": none, "instruction": none, "condition": none, "weight": F.when(F.col("weight") > 1, F.col("weight")), "created_at": F.lit(None).cast("long"), "updated_at": F.lit(None).cast("long")})
+    rows = t.unwritten_edges(spark, sf).withColumns({"id": none, "instruction": none, "condition": none, "weight": F.when(F.col("weight") > 1, F.col("weight")), "created_at": F.lit(None).cast("long"), "updated_at": F.lit(None).cast("long")})
     return store.project_edges(rows).select("id", "weight", "instruction", "created_at")
 
 
