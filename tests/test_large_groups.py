@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from skeingraph import plans
-from skeingraph.operators import graph
+from skeingraph.functions import scores
+from skeingraph.operators import graph, scoring, vectors
 from skeingraph.sources import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,52 @@ def test_labels_that_take_turns_end_the_rounds(spark):
     for rounds in (4, 5, 300, 301):
         want = {"a": "ab"[rounds % 2], "b": "ba"[rounds % 2]}
         assert {r["id"]: r["label"] for r in graph.label_propagation(nodes, edges, rounds).collect()} == want
+
+
+def test_queries_of_every_edge_write_no_copy_of_them(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("all edges were written")
+
+    monkeypatch.setattr(t, "edges", refuse)
+    n = t.unwritten_edges(spark, SF).count()
+    for name in ("edge_ids", "edge_projection", "edge_decay", "edge_strengthen", "conflict_faded"):
+        assert plans.QUERIES[name](spark, SF).count() == n
+    assert not plans.QUERIES["conflict_merged_nodes"](spark, SF).isEmpty() and not plans.QUERIES["conflict_merged_edges"](spark, SF).isEmpty()
+
+
+def _named(spark):
+    """Nodes that conflict in many ways, some by nulls."""
+    k = F.col("id")
+    nulls = F.lit(None)
+    return spark.range(400).select(
+        F.format_string("n%03d", k).alias("id"), F.when(k % 41 != 0, F.concat(F.lit("name"), k % 3)).alias("name"), F.when(k % 5 == 0, "TASK").otherwise("SKILL").alias("type"), F.lit("x").alias("content"),
+        F.when(k % 13 != 0, "active").alias("status"), F.when(k % 7 == 0, "transitional").when(k % 11 != 0, "current").alias("state"), F.when(k % 4 == 0, nulls).otherwise((k % 2) * 100).cast("long").alias("valid_from"),
+        F.when(k % 3 == 0, "knowledge").when(k % 6 != 1, "experience").alias("source"), F.when(k % 17 != 0, k % 6).cast("long").alias("validated_count"), F.when(k % 19 != 0, k % 10 / 10).alias("staleness_score"),
+    )
+
+
+def test_merging_makes_no_pairs_and_finds_those_of_all_pairs(spark, monkeypatch):
+    nodes = _named(spark)
+    decided = scoring.conflict_winner(scoring.conflict_candidates(nodes))
+    want = decided.where("reason = 'merge'").groupBy("loser_id").agg(F.min("winner_id")).collect()
+    assert len(want) > 20 and sorted(map(tuple, scoring.merging(nodes).collect())) == sorted(map(tuple, want))
+    monkeypatch.setattr(scoring, "conflict_candidates", None)
+    plans.QUERIES["conflict_merged_nodes"](spark, SF)
+
+
+def test_first_candidates_are_those_of_all_pairs(spark):
+    nodes = _named(spark)
+    every = sorted((r["a_id"], r["b_id"]) for r in scoring.conflict_candidates(nodes).select("a_id", "b_id").collect())
+    for limit in (1, 7, 500, 10**6):
+        found = scoring.conflict_candidates(nodes, limit)
+        assert [(r["a_id"], r["b_id"]) for r in found.select("a_id", "b_id").collect()] == every[:limit]
+
+
+def test_nearest_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rows = [(i, None if i % 29 == 0 else [] if i % 31 == 0 else [1.0, None, 2.0, 0.0] if i % 23 == 0 else [0.0] * 4 if i % 37 == 0 else [float("nan"), 1.0, 1.0, 1.0] if i == 50 else [1.0, 2.0][: i % 19] if i % 19 == 2 else [float(i % 3), float(i * 7 % 5 - 2), i * 11 % 13 / 3, 1.0]) for i in range(200)]
+    every = spark.createDataFrame(rows, "id long, v array<double>")
+    asked, past = every.where("id % 5 = 0").toDF("query_id", "q"), every.where("id % 5 <> 0").toDF("past_id", "p").withColumn("reward", F.col("past_id") % 7 / 7)
+    whole = scoring.near_history_gain(past.crossJoin(asked).withColumn("similarity", scores.cosine(F.col("q"), F.col("p"))))
+    tiled = scoring.near_history_gain(vectors.nearest(asked, past, 5).join(past.select("past_id", "reward"), "past_id"))
+    assert sorted((r[0], f"{r[1]:.12f}") for r in tiled.collect()) == sorted((r[0], f"{r[1]:.12f}") for r in whole.collect())
