@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import store
 from ..sources import tables as t
 from .registry import query
@@ -144,11 +145,16 @@ _TOLD = "SELECT *, CASE WHEN weight > 1 THEN 'often' WHEN type = 'PATCHES' THEN
     FROM told e LEFT JOIN pairs x ON e.from_id = x.merge_id LEFT JOIN pairs y ON e.to_id = y.merge_id) WHERE NOT touched OR from_id <> to_id GROUP BY 1, 2, 3
     UNION ALL SELECT from_id, to_id, type, CASE WHEN type IN ('NEXT_SESSION', 'CONTAINS', 'MENTIONS') THEN weight ELSE 0.1::DOUBLE END, instruction FROM told WHERE from_id IN (SELECT merge_id FROM pairs) OR to_id IN (SELECT merge_id FROM pairs)""", _MERGE | {"told": _TOLD})
 def merge_redirect(spark, sf):
+    """Conflicting parts' edges are of types that no other edge has, so they are redirected apart from the others, as they are made."""
     n = F.substring("id", 2, 9).cast("int")
-    pairs = t.skills(spark, sf).where(n % 10 == 1).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - 1).alias("keep_id"))
+    parts = t.read(spark, sf, "part").select(F.concat(F.lit("S"), "p_partkey").alias("id"))
+    # Written first, so its size is known and edges are not shuffled for a small one.
+    pairs = cut(parts.where(n % 10 == 1).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - 1).alias("keep_id")))
     told = F.when(F.col("weight") > 1, "often").when(F.col("type") == "PATCHES", F.concat(F.lit("patch "), "to_id"))
-    edges = t.structural(t.edges(spark, sf)).withColumn("instruction", told)
-    return store.merge_redirect(edges, pairs).withColumn("weight", F.round("weight", 6))
+    plain, rivals = (t.structural(e).withColumn("instruction", told) for e in (t.plain_edges(spark, sf), t.rival_edges(spark, sf, pairs)))
+    # A customer and a part have one edge, whose weight counts how often.
+    out = store.merge_redirect(plain, pairs, keyed=F.col("type") == "USED_SKILL").unionByName(store.redirect(rivals))
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 @query("merge_nodes", """SELECT s.id, s.validated_count + CASE WHEN p.merge_id IS NULL THEN coalesce(g.gain, 0) ELSE 0 END AS validated_count, CASE WHEN p.merge_id IS NULL THEN s.status ELSE 'merged' END AS status, CASE WHEN p.merge_id IS NULL THEN s.state ELSE 'superseded' END AS state, CASE WHEN p.merge_id IS NULL THEN s.valid_to ELSE 1007164800000 END AS valid_to, CASE WHEN p.merge_id IS NULL THEN s.updated_at ELSE 1007164800000 END AS updated_at, p.keep_id AS superseded_by

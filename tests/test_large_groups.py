@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skeingraph import plans
 from skeingraph.functions import scores
-from skeingraph.operators import graph, scoring, vectors
+from skeingraph.operators import graph, scoring, store, vectors
 from skeingraph.sources import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,34 @@ def test_nearest_is_that_of_all_pairs(spark, monkeypatch):
     whole = scoring.near_history_gain(past.crossJoin(asked).withColumn("similarity", scores.cosine(F.col("q"), F.col("p"))))
     tiled = scoring.near_history_gain(vectors.nearest(asked, past, 5).join(past.select("past_id", "reward"), "past_id"))
     assert sorted((r[0], f"{r[1]:.12f}") for r in tiled.collect()) == sorted((r[0], f"{r[1]:.12f}") for r in whole.collect())
+
+
+def _dense_parts(spark, tmp_path):
+    """The tables with parts of few types and sizes, so merged and kept parts meet in many groups; some parts repeat or are in two groups."""
+    for name in ("customer", "orders", "lineitem", "events", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    part, key = t.read(spark, SF, "part"), F.col("p_partkey")
+    size = part.schema["p_size"].dataType
+    dense = part.withColumns({"p_size": (F.floor(key / 3) % 4).cast(size), "p_type": F.concat(F.lit("t"), key % 2)})
+    twice = dense.where(key % 10 == 4).unionByName(dense.where(key % 20 == 0).withColumn("p_size", F.lit(3).cast(size)))
+    dense.unionByName(twice).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_merge_redirect_groups_only_edges_that_meet(spark, tmp_path, monkeypatch):
+    sf = _dense_parts(spark, tmp_path)
+    n = F.substring("id", 2, 9).cast("int")
+    pairs = t.skills(spark, sf).where(n % 10 == 1).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - 1).alias("keep_id"))
+    told = F.when(F.col("weight") > 1, "often").when(F.col("type") == "PATCHES", F.concat(F.lit("patch "), "to_id"))
+    whole = store.merge_redirect(t.structural(t.unwritten_edges(spark, sf)).withColumn("instruction", told), pairs).withColumn("weight", F.round("weight", 6))
+    want = sorted(map(str, whole.collect()))
+
+    def refuse(*_):
+        raise AssertionError("all edges were written")
+
+    monkeypatch.setattr(t, "edges", refuse)
+    assert sorted(map(str, plans.QUERIES["merge_redirect"](spark, sf).collect())) == want
+    alone = t.rival_edges(spark, sf, pairs).where("alone")
+    ends = t.rival_edges(spark, sf, pairs).select(F.coalesce("keep_from", "from_id").alias("a"), F.coalesce("keep_to", "to_id").alias("b")).groupBy("a", "b").count()
+    met = alone.select(F.coalesce("keep_from", "from_id").alias("a"), F.coalesce("keep_to", "to_id").alias("b")).join(ends, ["a", "b"])
+    assert ends.where("count > 1").count() > 50 and met.where("count > 1").isEmpty() and met.count() > ends.count() / 2
