@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from skeingraph import plans
 from skeingraph.functions import scores
-from skeingraph.operators import graph, scoring, store, vectors
+from skeingraph.operators import graph, maintenance, scoring, store, vectors
+from skeingraph.plans import upkeep
 from skeingraph.sources import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +155,26 @@ def test_merge_redirect_groups_only_edges_that_meet(spark, tmp_path, monkeypatch
     ends = t.rival_edges(spark, sf, pairs).select(F.coalesce("keep_from", "from_id").alias("a"), F.coalesce("keep_to", "to_id").alias("b")).groupBy("a", "b").count()
     met = alone.select(F.coalesce("keep_from", "from_id").alias("a"), F.coalesce("keep_to", "to_id").alias("b")).join(ends, ["a", "b"])
     assert ends.where("count > 1").count() > 50 and met.where("count > 1").isEmpty() and met.count() > ends.count() / 2
+
+
+def test_maintenance_counts_groups_and_its_nodes_are_those_of_all_pairs(spark, tmp_path, monkeypatch):
+    sf = _odd_parts(spark, tmp_path)
+    every = t.unwritten_edges(spark, sf)
+    got, want = (sorted(map(tuple, scoring.in_degree(*e).where("in_degree > 0").collect())) for e in ((t.plain_edges(spark, sf), t.cliques(spark, sf)), (every,)))
+    assert got == want
+
+    def refuse(*_):
+        raise AssertionError("all edges were written")
+
+    monkeypatch.setattr(t, "edges", refuse)
+    run, short = maintenance.run, maintenance.Phases(pagerank_rounds=2, label_rounds=2)
+    monkeypatch.setattr(maintenance, "run", lambda state, now_ms: run(state, now_ms, short))
+    counted = plans.QUERIES["maintenance_full"](spark, sf)
+    whole = maintenance.run(upkeep._whole(spark, sf, t.unwritten_edges), t.PART_NOW)[0].nodes
+    rounded = [F.round(c, 5).alias(c) for c in ("pagerank", "staleness_score", "importance_score")]
+    assert sorted(map(str, counted.collect())) == sorted(map(str, whole.select("id", "community_id", "state", *rounded).collect()))
+    # Merged nodes make edges that no group stands for.
+    near = spark.createDataFrame([("S1", [1.0, 0.0]), ("S2", [1.0, 0.01])], "id string, embedding array<double>")
+    state = maintenance.GraphState(t.nodes(spark, sf), every, embeddings=near, plain=t.plain_edges(spark, sf), cliques=t.cliques(spark, sf))
+    merged = maintenance.merge_duplicates(state, 7)
+    assert merged.cliques is None and merged.edges.count() > every.distinct().count()
