@@ -178,3 +178,21 @@ def test_maintenance_counts_groups_and_its_nodes_are_those_of_all_pairs(spark, t
     state = maintenance.GraphState(t.nodes(spark, sf), every, embeddings=near, plain=t.plain_edges(spark, sf), cliques=t.cliques(spark, sf))
     merged = maintenance.merge_duplicates(state, 7)
     assert merged.cliques is None and merged.edges.count() > every.distinct().count()
+
+
+def test_decided_pairs_are_those_of_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TILE", 8)
+    nodes = _named(spark).withColumn("source", F.when(F.substring("id", 2, 3).cast("int") % 4 == 1, "knowledge").otherwise(F.col("source")))
+    whole, tiled = scoring.conflict_winner(scoring.conflict_candidates(nodes)), scoring.decided_pairs(nodes)
+    asked = ["a_id", "b_id", "reason", "winner_id", "loser_id"]
+    want = sorted(map(tuple, whole.select(*asked).collect()))
+    assert len(want) > 1000 and {r[2] for r in want} == {"temporal", "source", "confidence", "merge"}
+    assert sorted(map(tuple, tiled.select(*asked).collect())) == want
+    assert sorted(map(tuple, scoring.conflict_decisions(tiled, 5).collect())) == sorted(map(tuple, scoring.conflict_decisions(whole, 5).collect()))
+
+    def refuse(*_):
+        raise AssertionError("all nodes were written")
+
+    monkeypatch.setattr(t, "nodes", refuse)
+    for name in ("conflict_winners", "conflict_decisions"):
+        assert not plans.QUERIES[name](spark, SF).isEmpty()
