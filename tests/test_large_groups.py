@@ -196,3 +196,31 @@ def test_decided_pairs_are_those_of_all_candidates(spark, monkeypatch):
     monkeypatch.setattr(t, "nodes", refuse)
     for name in ("conflict_winners", "conflict_decisions"):
         assert not plans.QUERIES[name](spark, SF).isEmpty()
+
+
+def test_conflicts_are_resolved_for_all_pairs_and_none_is_made(spark, monkeypatch):
+    """Far more than a hundred pairs, which is where faded edges and maintenance stopped before."""
+    nodes = _named(spark).withColumn("source", F.when(F.substring("id", 2, 3).cast("int") % 4 == 1, "knowledge").otherwise(F.col("source")))
+    decided = scoring.conflict_winner(scoring.conflict_candidates(nodes))
+    want = {kind: sorted(map(tuple, decided.where(f"reason {'=' if kind else '<>'} 'merge'").groupBy("loser_id").agg(F.min("winner_id")).collect())) for kind in (True, False)}
+    assert len(want[True]) > 20 and len(want[False]) > 100
+    got = scoring.resolved(nodes)
+    for kind in want:
+        assert sorted(map(tuple, got.where(f"reason {'=' if kind else '<>'} 'merge'").select("loser_id", "winner_id").collect())) == want[kind]
+    whole = nodes.withColumns({"valid_to": F.lit(None).cast("long"), "superseded_by": F.lit(None).cast("string")})
+    ids = [r["id"] for r in nodes.orderBy("id").select("id").collect()]
+    edges = spark.createDataFrame([(a, b, "CAUSED_BY", 1.0) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)], "from_id string, to_id string, type string, weight double")
+    applied = scoring.apply_conflicts(whole, decided, 77).select(*whole.columns)
+    every = [sorted(map(str, df.collect())) for df in scoring.merge_conflicts(applied, scoring.fade_losers(edges, decided), decided)]
+    monkeypatch.setattr(scoring, "conflict_candidates", None)
+    state = maintenance.resolve_conflicts(maintenance.GraphState(whole, edges), 77)
+    assert [sorted(map(str, df.collect())) for df in (state.nodes, state.edges)] == every
+
+
+def test_faded_edges_are_those_of_the_losers_of_all_pairs(spark, tmp_path):
+    sf = _odd_parts(spark, tmp_path)
+    decided = scoring.conflict_winner(scoring.conflict_candidates(t.nodes(spark, sf)))
+    assert decided.where("reason <> 'merge'").count() > 100
+    whole = scoring.fade_losers(t.structural(t.unwritten_edges(spark, sf)), decided).withColumn("weight", F.round("weight", 6))
+    want = sorted(map(tuple, whole.select("from_id", "to_id", "type", "weight").collect()))
+    assert sorted(map(tuple, plans.QUERIES["conflict_faded"](spark, sf).collect())) == want
