@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skeingraph import plans
 from skeingraph.functions import scores
-from skeingraph.operators import graph, maintenance, scoring, store, vectors
+from skeingraph.operators import arrays, graph, maintenance, scoring, store, vectors
 from skeingraph.plans import upkeep
 from skeingraph.sources import tables as t
 
@@ -69,6 +69,26 @@ def test_cliques_stand_for_their_pairs(spark, tmp_path):
     assert rows(graph.community_links(plain, once, cliques)) == rows(graph.community_links(edges, once))
 
 
+def test_rounds_over_arrays_are_those_that_shuffle(spark, tmp_path, monkeypatch):
+    """Edges to what is no node, loops, parallel edges and nodes without any included; nothing is shuffled in a round."""
+    sf = _dense_parts(spark, tmp_path)
+    extra = spark.createDataFrame([("S1", "nowhere", "X", 1.0), ("S2", "S2", "X", 1.0), ("S3", "S4", "X", 1.0), ("S4", "S3", "X", 1.0)], "from_id string, to_id string, type string, weight double")
+    nodes, plain, cliques = t.nodes(spark, sf).select("id").unionByName(spark.createDataFrame([("alone",)], "id string")), t.plain_edges(spark, sf).unionByName(extra), t.cliques(spark, sf)
+    seeds = nodes.where("id in ('T3', 'S2')")
+
+    def found():
+        labels = [sorted(map(tuple, graph.label_propagation(nodes, plain, k, cliques=cliques).collect())) for k in (1, 5)]
+        whole = graph.pagerank(nodes, plain, rounds=3, cliques=cliques), graph.pagerank(nodes, plain, seeds, rounds=2)
+        return labels, [sorted((r["id"], f"{r['rank']:.9f}") for r in df.collect()) for df in whole]
+
+    monkeypatch.setattr(arrays, "STEPS", 100)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "partitioned", None)
+        got = found()
+    monkeypatch.setattr(arrays, "MOST", 0)
+    assert got == found()
+
+
 def test_labels_that_take_turns_end_the_rounds(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     edges = spark.createDataFrame([("a", "b")], "from_id string, to_id string")
