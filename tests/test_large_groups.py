@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skeingraph import plans
-from skeingraph.functions import scores
+from skeingraph.functions import scores, text
 from skeingraph.operators import arrays, graph, maintenance, scoring, store, vectors
 from skeingraph.plans import graphs, upkeep
 from skeingraph.sources import tables as t
@@ -108,6 +108,14 @@ def test_queries_of_every_edge_write_no_copy_of_them(spark, monkeypatch):
     assert not plans.QUERIES["conflict_merged_nodes"](spark, SF).isEmpty() and not plans.QUERIES["conflict_merged_edges"](spark, SF).isEmpty()
 
 
+def test_edge_ids_hash_a_part_once_and_are_those_of_the_whole_text(spark, tmp_path, monkeypatch):
+    sf = _odd_parts(spark, tmp_path)
+    edges = t.unwritten_edges(spark, sf)
+    want = sorted(map(tuple, edges.select("from_id", "to_id", "type", text.edge_id(F.col("from_id"), F.col("to_id"), F.col("type"))).collect()))
+    monkeypatch.setattr(t, "unwritten_edges", None)
+    assert sorted(map(tuple, plans.QUERIES["edge_ids"](spark, sf).collect())) == want
+
+
 def _named(spark):
     """Nodes that conflict in many ways, some by nulls."""
     k = F.col("id")
