@@ -269,3 +269,18 @@ def test_faded_edges_are_those_of_the_losers_of_all_pairs(spark, tmp_path):
     whole = scoring.fade_losers(t.structural(t.unwritten_edges(spark, sf)), decided).withColumn("weight", F.round("weight", 6))
     want = sorted(map(tuple, whole.select("from_id", "to_id", "type", "weight").collect()))
     assert sorted(map(tuple, plans.QUERIES["conflict_faded"](spark, sf).collect())) == want
+
+
+def test_merged_edges_look_up_no_pair_and_are_those_of_all_edges(spark, tmp_path, monkeypatch):
+    sf = _dense_parts(spark, tmp_path)
+    n = F.substring("id", 2, 9).cast("int")
+    # Many merges, also into later parts and of parts that repeat or are in two groups.
+    mapping = t.skills(spark, sf).select("id").distinct().where(n % 5 < 2).select(F.col("id").alias("merge_id"), F.concat(F.lit("S"), n - n % 5 + 2 + n % 2).alias("keep_id"))
+    monkeypatch.setattr(store, "merge_targets", lambda pairs: mapping)
+    whole = scoring.merged_edges(t.structural(t.unwritten_edges(spark, sf)), mapping).withColumn("weight", F.round("weight", 6))
+    want = sorted(map(tuple, whole.select("from_id", "to_id", "type", "weight").collect()))
+    assert {r[3] for r in want if r[2] == "CONFLICTS_WITH"} == {0.5, 1.0}
+    monkeypatch.setattr(t, "unwritten_edges", None)
+    assert sorted(map(tuple, plans.QUERIES["conflict_merged_edges"](spark, sf).collect())) == want
+    pairs, rest = t.merged_rivals(spark, sf, mapping)
+    assert pairs.where("left").count() > 100 and pairs.where("copied and not left").count() > 100 and not rest.isEmpty()
